@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame, Row, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 
 from maskloom.functions.text import norm_bpe, split_whitespace
 from maskloom.operators.tokens import BPE_SPECIALS, characters, decode_table
@@ -33,6 +33,15 @@ def symbol_id(char: str) -> int:
     return (code if code < 0xD800 else code - 0x800) - 1
 
 
+def _merged(sym: Column, batch: list[tuple[str, str]]) -> Column:
+    """Apply the merges of a round one after the other.
+
+    The merges are one array literal, so all rounds share the same generated code.
+    """
+    rules = F.array(*[F.struct(F.lit(p).alias("pair"), F.lit(n).alias("new")) for p, n in batch])
+    return F.aggregate(rules, sym, lambda acc, rule: F.replace(acc, rule["pair"], rule["new"]))
+
+
 @dataclass
 class BpeModel:
     """Vocabulary in id order and merges in rank order as (left, right, merged) ids."""
@@ -122,28 +131,37 @@ def bpe_train(
     """
     spark = words.sparkSession
     shared_dir(spark)
+    # The corpus is read once. Word types are spread evenly: adaptive coalescing would
+    # leave the rounds to few tasks.
+    parallel = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    base = words.repartition(parallel, "word").checkpoint()
     # distinct characters are bounded by Unicode
     alphabet = sorted(
         row["c"]
-        for row in words.select(F.explode(characters(F.col("word"))).alias("c")).distinct().collect()
+        for row in base.select(F.explode(characters(F.col("word"))).alias("c")).distinct().collect()
     )
     model = BpeModel([*BPE_SPECIALS, *alphabet])
     ids = {token: i for i, token in enumerate(model.tokens)}
-    base = _symbol_words(words, alphabet).where(F.length("sym") > 1).checkpoint()
-    current, pending = base, 0
+    current = _symbol_words(base, alphabet).where(F.length("sym") > 1).persist()
+    held, pending = None, 0
     while len(ids) < vocab_size:
-        batch = _safe_prefix(_top_pairs(current, candidates), model, ids, vocab_size, min_frequency)
+        top = _top_pairs(current, candidates)
+        if held is not None:
+            held.unpersist()
+            held = None
+        batch = _safe_prefix(top, model, ids, vocab_size, min_frequency)
         if not batch:
             break
         model.rounds += 1
-        merged = F.col("sym")
-        for pair, new in batch:
-            merged = F.replace(merged, F.lit(pair), F.lit(new))
-        current = current.select(merged.alias("sym"), "n")
-        pending += len(batch)
-        if pending >= PENDING_MERGES:
+        held, pending = current, pending + len(batch)
+        current = current.select(_merged(F.col("sym"), batch).alias("sym"), "n")
+        if pending < PENDING_MERGES:
+            # the next count fills the cache; a lost block is redone from the checkpoint
+            current = current.persist()
+        else:
             # words that became one symbol have no pairs left
-            current, pending = current.where(F.length("sym") > 1).checkpoint(), 0
+            current, pending = current.where(F.length("sym") > 1).checkpoint().persist(), 0
+    current.unpersist()
     return model
 
 

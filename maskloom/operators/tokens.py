@@ -47,8 +47,12 @@ def decode_table(df: DataFrame, vocab: DataFrame, ids: str = "ids", joiner: str
     """
     entries = F.array_sort(F.collect_list(F.struct("id", "token")))
     tokens = vocab.agg(F.transform(entries, lambda e: e["token"])).scalar()
-    pieces = F.transform(F.col(ids), lambda i: F.get(tokens, i))
-    return df.withColumn("decoded", F.array_join(pieces, joiner))
+    pieces = F.transform(F.col(ids), lambda i: F.get(F.col("_tokens"), i))
+    return (
+        df.withColumn("_tokens", tokens)
+        .withColumn("decoded", F.array_join(pieces, joiner))
+        .drop("_tokens")
+    )
 
 
 def word_counts(df: DataFrame, text: str = "text") -> DataFrame:
