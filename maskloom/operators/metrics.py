@@ -80,10 +80,10 @@ def cross_entropy_weighted(
     return df.groupBy(*by).agg(F.try_divide(F.sum(ce * w), F.sum(w)).alias("loss"))
 
 
-def energy_residual(ar: DataFrame, diffusion: DataFrame, keys: list[str], seq: str) -> DataFrame:
+def energy_residual(ar: DataFrame, diffusion: DataFrame, seq: str) -> DataFrame:
     """Sequence energy: diffusion log-probability minus autoregressive log-probability.
 
-    Both inputs are ``(keys..., log_p)`` per position. Each side is summed before the
+    Both inputs hold one ``log_p`` per position. Each side is summed before the
     join, so a sequence of any length meets as one row.
     """
     left = ar.groupBy(seq).agg(F.sum("log_p").alias("_ar"))
@@ -158,7 +158,9 @@ def sample_entropy(df: DataFrame, ids: str) -> DataFrame:
 
 
 def metric_time(df: DataFrame, start: str, end: str, by: list[str]) -> DataFrame:
-    seconds = F.unix_micros(end) - F.unix_micros(start)
+    seconds = F.unix_micros(F.col(end).cast("timestamp")) - F.unix_micros(
+        F.col(start).cast("timestamp")
+    )
     return df.groupBy(*by).agg((F.avg(seconds) / F.lit(1e6)).alias("seconds"))
 
 

@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from maskloom.plans import corruption, text, tokens  # noqa: F401
+from maskloom.plans import corruption, metrics, order, scores, sources, text, tokens  # noqa: F401
 from maskloom.plans.registry import QUERIES, SQL  # noqa: F401

@@ -77,7 +77,12 @@ if __name__ == "__main__":
     from maskloom.session import build_session
 
     scale = sys.argv[1]
-    chosen = sys.argv[2:] or list(QUERIES)
+    # names, or module names of maskloom.plans
+    chosen = [
+        name
+        for name, build in QUERIES.items()
+        if not sys.argv[2:] or name in sys.argv[2:] or build.__module__.split(".")[-1] in sys.argv[2:]
+    ]
     folder = f"{DATA}/{scale}"
     spark = build_session(
         master="local[8]",
