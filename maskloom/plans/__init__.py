@@ -1,4 +1,6 @@
 """All registered queries."""
 
-from maskloom.plans import corruption, metrics, order, scores, sources, text, tokens  # noqa: F401
+from maskloom.plans import (  # noqa: F401
+    corruption, draws, metrics, order, scores, sources, streams, text, tokens,
+)
 from maskloom.plans.registry import QUERIES, SQL  # noqa: F401

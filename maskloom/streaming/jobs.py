@@ -113,6 +113,21 @@ def stream_metrics(
     )
 
 
+def run_metrics(metrics: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Keep the current metric table, one row per epoch, in a folder."""
+
+    def one_batch(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/data")
+
+    return (
+        metrics.writeStream.outputMode("complete")
+        .foreachBatch(one_batch)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
 def stream_ema(
     stream: DataFrame,
     by: list[str],

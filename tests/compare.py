@@ -24,6 +24,7 @@ TYPES = {
     "double": "DOUBLE",
     "boolean": "BOOLEAN",
     "timestamp": "TIMESTAMP",
+    "timestamp_ntz": "TIMESTAMP",
 }
 
 
