@@ -7,59 +7,92 @@ the offsets. Buckets follow from the data alone, so retries cannot move a row.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from maskloom.functions.rand import uniform
 
-ROWS_PER_BUCKET = 1_000_000
-MAX_BUCKETS = 2048
-HASH_BUCKETS = 4096
+ROWS_PER_BUCKET = 10_000
+COARSE_BUCKETS = 1024
+MAX_BUCKETS = 1 << 20
+HASH_BUCKETS = 1 << 16
+
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """One partition per core for an input that comes in fewer splits than cores.
 
-def range_splits(
+    A table of more splits, as any large one is, passes through without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
+@dataclass(frozen=True)
+class Ranges:
+    """Order-preserving buckets of a numeric key: quantile ranges, each cut evenly."""
+
+    low: float
+    cuts: list[float]
+    high: float
+    fine: int
+
+    def add(self, df: DataFrame, key: str, name: str) -> DataFrame:
+        value = F.col(key).cast("double")
+        if not self.cuts:
+            coarse, starts, widths = df.withColumn(name, F.lit(0)), F.lit(self.low), self.high - self.low
+            width = F.lit(float(widths))
+        else:
+            edges = [float("-inf"), *self.cuts, float("inf")]
+            numeric = df.withColumn(name + "_in", value)
+            coarse = Bucketizer(splits=edges, inputCol=name + "_in", outputCol=name).transform(numeric)
+            coarse = coarse.withColumn(name, F.col(name).cast("int")).drop(name + "_in")
+            ends = [self.low, *self.cuts, self.high]
+            starts = F.get(F.lit(ends[:-1]), F.col(name))
+            width = F.get(F.lit([b - a for a, b in zip(ends, ends[1:])]), F.col(name))
+        if self.fine == 1:
+            return coarse
+        # the share of the range below the key, in order even where ids are uneven
+        share = F.coalesce(F.try_divide(value - starts, width), F.lit(0.0))
+        part = F.least(F.floor(share * self.fine), F.lit(self.fine - 1)).cast("int")
+        return coarse.withColumn(name, F.col(name) * self.fine + F.greatest(part, F.lit(0)))
+
+
+def ranges(
     df: DataFrame,
     key: str,
     rows_per_bucket: int = ROWS_PER_BUCKET,
+    coarse_buckets: int = COARSE_BUCKETS,
     max_buckets: int = MAX_BUCKETS,
-) -> list[float]:
-    """Bucket boundaries of near-equal row counts for a numeric key.
+) -> Ranges:
+    """Buckets of about ``rows_per_bucket`` rows, at least one per shuffle partition.
 
-    Reads the key column only; at most ``max_buckets`` numbers reach the driver.
+    Reads the key column only; a bounded number of quantiles reaches the driver.
     """
-    fractions = F.lit([i / max_buckets for i in range(1, max_buckets)])
+    fractions = F.lit([i / coarse_buckets for i in range(1, coarse_buckets)])
     row = df.agg(
-        F.count(key).alias("n"), F.percentile_approx(key, fractions, 10_000).alias("cuts")
+        F.count(key).alias("n"),
+        F.min(key).alias("low"),
+        F.max(key).alias("high"),
+        F.percentile_approx(key, fractions, 10_000).alias("cuts"),
     ).first()
     if not row["n"]:
-        return []
+        return Ranges(0.0, [], 0.0, 1)
     parallel = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     wanted = min(max_buckets, max(parallel, -(-row["n"] // rows_per_bucket)))
-    picked = {row["cuts"][i * max_buckets // wanted - 1] for i in range(1, wanted)}
-    return sorted(float(cut) for cut in picked)
-
-
-def range_bucket(df: DataFrame, key: str, splits: list[float], name: str) -> DataFrame:
-    """Add the index of the range that holds the key."""
-    if not splits:
-        return df.withColumn(name, F.lit(0))
-    edges = [float("-inf"), *splits, float("inf")]
-    numeric = df.withColumn(name + "_in", F.col(key).cast("double"))
-    bucketed = Bucketizer(splits=edges, inputCol=name + "_in", outputCol=name).transform(numeric)
-    return bucketed.withColumn(name, F.col(name).cast("int")).drop(name + "_in")
+    coarse = min(wanted, coarse_buckets)
+    picked = {float(row["cuts"][i * coarse_buckets // coarse - 1]) for i in range(1, coarse)}
+    return Ranges(float(row["low"]), sorted(picked), float(row["high"]), -(-wanted // coarse))
 
 
 def _rank_in_buckets(
-    df: DataFrame,
-    order: list[Column],
-    by: list[str],
-    weight: Column | None,
-    bounded: bool,
+    df: DataFrame, order: list[Column], by: list[str], weight: Column | None
 ) -> DataFrame:
     keys = [*by, "_bucket"]
     load = F.lit(0) if weight is None else weight
     totals = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.sum(load.cast("long")).alias("_w")
+        F.count(F.lit(1)).alias("_n"), F.sum(load.cast("long")).alias("bucket_weight")
     )
     earlier = (
         (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0)))
@@ -68,22 +101,25 @@ def _rank_in_buckets(
     )
     offsets = totals.select(
         *keys,
+        "bucket_weight",
         F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_rows_before"),
-        F.coalesce(F.sum("_w").over(earlier), F.lit(0)).alias("_weight_before"),
+        F.coalesce(F.sum("bucket_weight").over(earlier), F.lit(0)).alias("bucket_start"),
     )
     inside = Window.partitionBy(*keys).orderBy(*order)
-    ranked = df.withColumn("_rank", (F.row_number().over(inside) - 1).cast("long"))
+    ranked_rows = df.withColumn("_rank", (F.row_number().over(inside) - 1).cast("long"))
     if weight is not None:
         running = F.sum(load.cast("long")).over(
             inside.rowsBetween(Window.unboundedPreceding, -1)
         )
-        ranked = ranked.withColumn("_prefix", F.coalesce(running, F.lit(0)))
-    # without groups the offsets have one row per bucket
-    joined = ranked.join(F.broadcast(offsets) if bounded and not by else offsets, keys)
-    joined = joined.withColumn("rank", F.col("_rank") + F.col("_rows_before"))
+        ranked_rows = ranked_rows.withColumn("_prefix", F.coalesce(running, F.lit(0)))
+    # The rows are already laid out by bucket, so this join moves the offsets only;
+    # adaptive execution broadcasts them when they turn out small.
+    placed = ranked_rows.join(offsets, keys).withColumn(
+        "rank", F.col("_rank") + F.col("_rows_before")
+    )
     if weight is not None:
-        joined = joined.withColumn("before", F.col("_prefix") + F.col("_weight_before"))
-    return joined.drop("_rank", "_prefix", "_rows_before", "_weight_before")
+        placed = placed.withColumn("before", F.col("_prefix") + F.col("bucket_start"))
+    return placed.drop("_rank", "_prefix", "_rows_before")
 
 
 def ranked(
@@ -91,19 +127,18 @@ def ranked(
     key: str,
     by: list[str] | None = None,
     weight: Column | None = None,
-    splits: list[float] | None = None,
-    keep_bucket: bool = False,
+    buckets: Ranges | None = None,
+    keep_buckets: bool = False,
 ) -> DataFrame:
     """Add the zero-based ``rank`` in the order of a unique numeric key.
 
     With ``weight`` also ``before``, the sum of the weights of all earlier rows.
     ``by`` ranks within groups; a group of any size is spread over the buckets.
+    ``keep_buckets`` keeps ``_bucket`` and the weight span of its rows.
     """
-    cuts = range_splits(df, key) if splits is None else splits
-    out = _rank_in_buckets(
-        range_bucket(df, key, cuts, "_bucket"), [F.col(key)], by or [], weight, bounded=True
-    )
-    return out if keep_bucket else out.drop("_bucket")
+    found = ranges(df, key) if buckets is None else buckets
+    out = _rank_in_buckets(found.add(df, key, "_bucket"), [F.col(key)], by or [], weight)
+    return out if keep_buckets else out.drop("_bucket", "bucket_weight", "bucket_start")
 
 
 def shuffled(
@@ -117,10 +152,8 @@ def shuffled(
     drawn = df.withColumn("_u", uniform(seed, key)).withColumn(
         "_bucket", F.floor(F.col("_u") * buckets).cast("int")
     )
-    out = _rank_in_buckets(
-        drawn, [F.col("_u"), F.col(key)], by or [], None, bounded=True
-    )
-    return out.drop("_u", "_bucket")
+    out = _rank_in_buckets(drawn, [F.col("_u"), F.col(key)], by or [], None)
+    return out.drop("_u", "_bucket", "bucket_weight", "bucket_start")
 
 
 def row_total(df: DataFrame) -> Column:

@@ -47,26 +47,75 @@ def frame_block(df: DataFrame, keys: list[str], bos: int, eos: int, size: int) -
     )
 
 
-def pack_pieces(
-    df: DataFrame, key: str, ids: str, body: int, offset: int = 0, length: Column | None = None
+def _placed(
+    df: DataFrame, key: str, ids: Column, length: Column, offset: int
 ) -> DataFrame:
-    """Pieces ``(_bucket, block, at, ids)`` of rows joined in key order from ``offset`` on.
-
-    ``length`` is a cheaper expression for the number of ids, used for the bucket totals.
-    """
-    placed = ranked(df, key, weight=F.size(ids) if length is None else length, keep_bucket=True)
-    start = F.col("before") + F.lit(offset)
+    """Rows with their position in the stream. ``ids`` is computed behind the shuffle,
+    so that the shuffle carries the columns it is made of (text rather than arrays)."""
+    placed = ranked(df, key, weight=length, keep_buckets=True)
     return (
-        placed.where(F.size(ids) > 0)
-        .select("_bucket", F.explode(_pieces(F.col(ids), start, body)).alias("p"))
-        .select("_bucket", "p.*")
+        placed.where(length > 0)
+        .withColumn("_start", F.col("before") + F.lit(offset))
+        .withColumn("_first", F.col("bucket_start") + F.lit(offset))
+        .withColumn("_last", F.col("_first") + F.col("bucket_weight") - 1)
+        .withColumn("_ids", ids)
+    )
+
+
+def _cut(placed: DataFrame, body: int) -> DataFrame:
+    return placed.select(
+        "_bucket",
+        "_first",
+        "_last",
+        F.explode(_pieces(F.col("_ids"), F.col("_start"), body)).alias("p"),
+    ).select(
+        "_bucket",
+        "p.*",
+        # the first and the last block of a bucket may continue in a neighbour
+        (
+            (F.col("p.block") > F.floor(F.col("_first") / F.lit(body)))
+            & (F.col("p.block") < F.floor(F.col("_last") / F.lit(body)))
+        ).alias("inside"),
     )
 
 
+def _touches_edge(body: int, length: Column) -> Column:
+    """Rows with a piece in the first or last block of their bucket."""
+    start, end = F.col("_start"), F.col("_start") + length - 1
+    return (F.floor(start / F.lit(body)) <= F.floor(F.col("_first") / F.lit(body))) | (
+        F.floor(end / F.lit(body)) >= F.floor(F.col("_last") / F.lit(body))
+    )
+
+
+def pack_stream(
+    df: DataFrame,
+    key: str,
+    ids: Column,
+    length: Column,
+    body: int,
+    offset: int = 0,
+    opening: DataFrame | None = None,
+) -> DataFrame:
+    """Blocks ``(block, ids)`` of rows joined in key order, the last one maybe short.
+
+    Rows are shuffled once, by range bucket, and blocks inside a bucket are complete
+    there. Only the pieces of the first and last block of each bucket move again, and
+    only the rows that hold them are cut a second time. ``opening`` holds pieces that
+    come before the rows.
+    """
+    placed = _placed(df, key, ids, length, offset)
+    inner = glue(_cut(placed, body).where("inside"), ["_bucket", "block"])
+    edges = _cut(placed.where(_touches_edge(body, length)), body).where("NOT inside")
+    edges = edges.select("block", "at", "ids")
+    if opening is not None:
+        edges = edges.unionByName(opening)
+    return inner.select("block", "ids").unionByName(glue(edges, ["block"]).select("block", "ids"))
+
+
 def pack_blocks_global(
     df: DataFrame,
     key: str,
-    ids: str,
+    ids: Column | str,
     block_size: int,
     bos: int,
     eos: int,
@@ -74,31 +123,38 @@ def pack_blocks_global(
 ) -> DataFrame:
     """Concatenate rows in key order and cut blocks; only the last remainder is dropped.
 
-    Tokens are shuffled once, by range bucket. Blocks inside a bucket are complete
-    there; of each bucket at most the first and last piece move again.
+    ``length`` is a cheaper expression for the number of ids.
     """
-    body = block_size - 2
-    local = glue(pack_pieces(df, key, ids, body, 0, length), ["_bucket", "block"])
-    whole = local.where(F.size("ids") == body).select("block", "ids")
-    split = glue(local.where(F.size("ids") < body), ["block"])
-    blocks = whole.unionByName(split.where(F.size("ids") == body).select("block", "ids"))
+    tokens = F.col(ids) if isinstance(ids, str) else ids
+    blocks = pack_stream(
+        df, key, tokens, F.size(tokens) if length is None else length, block_size - 2
+    ).where(F.size("ids") == block_size - 2)
     return frame_block(
         blocks.withColumnRenamed("block", "block_id"), ["block_id"], bos, eos, block_size
     )
 
 
 def pack_blocks(
-    df: DataFrame, key: str, ids: str, block_size: int, bos: int, eos: int, group_size: int = 1000
+    df: DataFrame,
+    key: str,
+    ids: Column | str,
+    block_size: int,
+    bos: int,
+    eos: int,
+    group_size: int = 1000,
+    length: Column | None = None,
 ) -> DataFrame:
     """Pack groups of ``group_size`` consecutive rows; every group drops its remainder."""
     body = block_size - 2
-    spans = ranked(df.select(F.col(key), F.col(ids)), key, weight=F.size(ids)).withColumn(
+    tokens = F.col(ids) if isinstance(ids, str) else ids
+    size = F.size(tokens) if length is None else length
+    spans = ranked(df, key, weight=size).withColumn(
         "group_id", F.floor(F.col("rank") / F.lit(group_size)).cast("long")
     )
     start = F.col("before") - F.min("before").over(Window.partitionBy("group_id"))
-    placed = spans.withColumn("start", start).where(F.size(ids) > 0)
+    placed = spans.withColumn("_start", start).where(size > 0).withColumn("_ids", tokens)
     pieces = placed.select(
-        "group_id", F.explode(_pieces(F.col(ids), F.col("start"), body)).alias("p")
+        "group_id", F.explode(_pieces(F.col("_ids"), F.col("_start"), body)).alias("p")
     ).select("group_id", "p.*")
     blocks = glue(pieces, ["group_id", "block"]).where(F.size("ids") == body)
     return frame_block(

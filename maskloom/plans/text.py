@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from maskloom.functions import text as tx
+from maskloom.operators.order import spread
 from maskloom.plans.registry import query, table
 
 # the same white space and word classes for the SQL engine's regular expressions
@@ -17,10 +18,14 @@ WORD = r"[\pL\pN_]"
 SPACED = r"regexp_replace(text, '([.,:;!?()\[\]])', ' \1 ', 'g')"
 
 
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    return spread(table(spark, folder, "documents").select("doc_id", "source", "text"), "doc_id")
+
+
 def spaced(spark: SparkSession, folder: str) -> DataFrame:
     """Documents with blanks around punctuation, so that every rule has work."""
     text = F.regexp_replace("text", r"([.,:;!?()\[\]])", " $1 ")
-    return table(spark, folder, "documents").select("doc_id", "source", text.alias("text"))
+    return documents(spark, folder).select("doc_id", "source", text.alias("text"))
 
 
 def quote(value: str) -> str:
@@ -141,7 +146,7 @@ def detok_dispatch(spark: SparkSession, folder: str) -> DataFrame:
         FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)) WHERE text <> ''""",
 )
 def strip_lines(spark: SparkSession, folder: str) -> DataFrame:
-    lines = table(spark, folder, "documents").select(
+    lines = documents(spark, folder).select(
         "doc_id", F.explode(F.split("text", "\n")).alias("line")
     )
     return lines.select("doc_id", tx.strip(F.col("line")).alias("text")).where("text <> ''")
@@ -149,7 +154,7 @@ def strip_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("norm_bpe", "SELECT doc_id, strip_accents(lower(text)) AS text FROM documents")
 def norm_bpe(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select("doc_id", tx.norm_bpe(F.col("text")).alias("text"))
+    return documents(spark, folder).select("doc_id", tx.norm_bpe(F.col("text")).alias("text"))
 
 
 @query(
@@ -158,6 +163,6 @@ def norm_bpe(spark: SparkSession, folder: str) -> DataFrame:
         len(list_filter(string_split_regex(text, '{WS}+'), lambda w: w <> ''))::INTEGER AS n FROM documents""",
 )
 def split_whitespace(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select(
+    return documents(spark, folder).select(
         "doc_id", tx.split_whitespace(F.col("text")).alias("w")
     ).select("doc_id", F.array_join("w", "|").alias("words"), F.size("w").alias("n"))

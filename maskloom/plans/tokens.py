@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from maskloom.functions.rand import uniform
-from maskloom.functions.text import norm_bpe, split_whitespace
 from maskloom.operators import bpe, sequence as sq, splits as sp, tokens as tk
+from maskloom.operators.order import spread
 from maskloom.plans.registry import joined, query, sql_u, table
 from maskloom.plans.text import WS
 
@@ -25,23 +25,35 @@ PACKED = (
 )
 
 
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    return spread(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
+
+
+def token_ids() -> Column:
+    """Character ids with EOS."""
+    return tk.append_eos(tk.char_encode(F.col("text")), tk.CHAR_EOS)
+
+
+def token_count() -> Column:
+    """Their number, without making them."""
+    return F.length(F.lower("text")) + 1
+
+
 def encoded(spark: SparkSession, folder: str) -> DataFrame:
     """Character ids with EOS per document."""
-    return table(spark, folder, "documents").select(
-        "doc_id", tk.append_eos(tk.char_encode(F.col("text")), tk.CHAR_EOS).alias("ids"), "text"
-    )
+    return documents(spark, folder).withColumn("ids", token_ids())
 
 
 def packed(spark: SparkSession, folder: str, block: int = BLOCK) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
     return sq.pack_blocks_global(
-        encoded(spark, folder), "doc_id", "ids", block, tk.CHAR_BOS, tk.CHAR_EOS,
-        length=F.length("text") + 1,
+        docs, "doc_id", token_ids(), block, tk.CHAR_BOS, tk.CHAR_EOS, length=token_count()
     )
 
 
 @query("char_encode", f"SELECT doc_id, array_to_string({CHARS_SQL.format('text')}, ' ') AS ids FROM documents")
 def char_encode(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select(
+    return documents(spark, folder).select(
         "doc_id", joined(tk.char_encode(F.col("text"))).alias("ids")
     )
 
@@ -84,7 +96,7 @@ ALPHABET_SQL = (
 
 
 def words(spark: SparkSession, folder: str) -> DataFrame:
-    return tk.word_counts(table(spark, folder, "documents"))
+    return tk.word_counts(documents(spark, folder))
 
 
 @query("word_counts", f"WITH {WORDS_SQL} SELECT word, n FROM words")
@@ -118,7 +130,7 @@ def bpe_train(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("bpe_encode")
 def bpe_encode(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select("doc_id", "text")
+    docs = documents(spark, folder)
     model = bpe.bpe_train(tk.word_counts(docs), vocab_size=200)
     return bpe.bpe_encode(docs, model).select("doc_id", joined("ids").alias("ids"))
 
@@ -227,7 +239,14 @@ def retokenize(spark: SparkSession, folder: str) -> DataFrame:
 )
 def pack_blocks(spark: SparkSession, folder: str) -> DataFrame:
     out = sq.pack_blocks(
-        encoded(spark, folder), "doc_id", "ids", BLOCK, tk.CHAR_BOS, tk.CHAR_EOS, group_size=100
+        table(spark, folder, "documents").select("doc_id", "text"),
+        "doc_id",
+        token_ids(),
+        BLOCK,
+        tk.CHAR_BOS,
+        tk.CHAR_EOS,
+        group_size=100,
+        length=token_count(),
     )
     return out.select("group_id", "block_id", joined("input_ids").alias("input_ids"))
 

@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from maskloom.functions.text import detok_for
 from maskloom.operators.ema import ema_warmup
-from maskloom.operators.sequence import glue, pack_pieces
+from maskloom.operators.sequence import pack_stream
 from maskloom.operators.tokens import append_eos, char_encode
 
 
@@ -62,16 +62,16 @@ def stream_pack(
         offset = carried["offset"] if carried else 0
         # fewer than block_size ids
         rest = carried["ids"] if carried else []
-        pieces = pack_pieces(batch, key, ids, block_size - 2, offset).drop("_bucket")
+        body = block_size - 2
+        opening = None
         if rest:
             opening = spark.createDataFrame(
-                [(offset // (block_size - 2), offset - len(rest), rest)],
+                [(offset // body, offset - len(rest), rest)],
                 "block bigint, at bigint, ids array<int>",
             )
-            pieces = pieces.unionByName(opening)
-        glued = glue(pieces, ["block"]).persist()
+        glued = pack_stream(batch, key, F.col(ids), F.size(ids), body, offset, opening).persist()
         try:
-            full = F.size("ids") == block_size - 2
+            full = F.size("ids") == body
             glued.where(full).select(
                 F.col("block").alias("block_id"),
                 F.concat(F.array(F.lit(bos)), F.col("ids"), F.array(F.lit(eos))).alias("input_ids"),
