@@ -29,8 +29,8 @@ def uniform_open(seed: object, *keys: Column | str) -> Column:
     return (head + F.lit(0.5)) / F.lit(_TWO_52)
 
 
-def uniforms(seed: object, keys: list[Column | str], n: Column) -> Column:
-    """``n`` 32-bit uniforms in (0, 1) for one row.
+def hex_lanes(seed: object, keys: list[Column | str], n: Column) -> Column:
+    """``n`` random 32-bit numbers for one row, as strings of eight hex digits.
 
     One digest feeds four neighbouring positions, which takes three quarters off
     the hashing of long sequences.
@@ -43,7 +43,23 @@ def uniforms(seed: object, keys: list[Column | str], n: Column) -> Column:
             lambda d: F.array(*[F.substring(d, 1 + 8 * lane, 8) for lane in range(4)]),
         )
     )
-    numbers = F.transform(
-        lanes, lambda h: (F.conv(h, 16, 10).cast("long") + F.lit(0.5)) / F.lit(_TWO_32)
+    return F.slice(lanes, F.lit(1), n.cast("int"))
+
+
+def uniforms(seed: object, keys: list[Column | str], n: Column) -> Column:
+    """``n`` 32-bit uniforms in (0, 1) for one row."""
+    return F.transform(
+        hex_lanes(seed, keys, n),
+        lambda h: (F.conv(h, 16, 10).cast("long") + F.lit(0.5)) / F.lit(_TWO_32),
+    )
+
+
+def hex_threshold(chance: Column) -> Column:
+    """The bound for which ``lane < bound`` is the same as ``uniform < chance``.
+
+    Hex digits of equal length compare like the numbers, so no lane is parsed.
+    """
+    bound = F.ceil(chance * F.lit(_TWO_32) - F.lit(0.5))
+    return F.when(bound >= F.lit(1 << 32), F.lit("g")).otherwise(
+        F.lpad(F.lower(F.hex(F.greatest(bound, F.lit(0)))), 8, "0")
     )
-    return F.slice(numbers, F.lit(1), n.cast("int"))

@@ -4,15 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from maskloom.functions.arrays import let
 from maskloom.functions.losses import weight
 from maskloom.functions.noise import EPS, Schedule, move_chance, spread_t
-from maskloom.functions.rand import uniform, uniforms
+from maskloom.functions.rand import hex_lanes, hex_threshold, uniform
 
 
 def mask_tokens(ids: Column, chance: Column, mask: int, seed: object, *keys: Column | str) -> Column:
     """Each token becomes ``mask`` with the given probability."""
-    noise = uniforms(seed, list(keys), F.size(ids))
-    return F.zip_with(ids, noise, lambda x, u: F.when(u < chance, F.lit(mask)).otherwise(x))
+    lanes = hex_lanes(seed, list(keys), F.size(ids))
+    return let(
+        hex_threshold(chance),
+        lambda bound: F.zip_with(
+            ids, lanes, lambda x, h: F.when(h < bound, F.lit(mask)).otherwise(x)
+        ),
+    )
 
 
 def prior_mask(length: Column, mask: int) -> Column:

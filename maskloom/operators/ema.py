@@ -57,7 +57,7 @@ def _chained(maps: DataFrame, by: list[str], chunk: int, levels: int) -> DataFra
         return maps.withColumn("start", _compose(F.collect_list(F.struct("a", "b")).over(before)))
     grouped = maps.withColumn("_g", F.floor(F.col("c") / chunk).cast("long"))
     upper = grouped.groupBy(*by, "_g").agg(
-        _compose(F.array_sort(F.collect_list(F.struct("c", "a", "b")))).alias("m")
+        _compose(F.sort_array(F.collect_list(F.struct("c", "a", "b")))).alias("m")
     )
     upper = upper.select(
         *by, F.col("_g").alias("c"), F.col("m.a").alias("a"), F.col("m.b").alias("b")
@@ -104,7 +104,7 @@ def ema_warmup(
         steps.withColumn("c", F.floor(F.col("rank") / chunk).cast("long"))
         .groupBy(*by, "c")
         .agg(
-            F.array_sort(
+            F.sort_array(
                 F.collect_list(F.struct("k", F.col(value).cast("double").alias("value")))
             ).alias("items"),
             F.first("_s").alias("_s"),

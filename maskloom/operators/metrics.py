@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from maskloom.functions.arrays import let, total
 
 
 def _sums(df: DataFrame, nll: str, mask: str, by: list[str]) -> DataFrame:
@@ -91,65 +93,60 @@ def energy_residual(ar: DataFrame, diffusion: DataFrame, seq: str) -> DataFrame:
     return left.join(right, seq).select(seq, (F.col("_diffusion") - F.col("_ar")).alias("energy"))
 
 
-def gen_ppl(windows: DataFrame, ids: str, log_p: str, eos: int) -> DataFrame:
-    """Perplexity of context windows under given token log-probabilities.
+def counted_tokens(windows: DataFrame, ids: str, eos: int, keep: list[str]) -> DataFrame:
+    """One row ``(keep..., i, id)`` per token of a context window that counts.
 
     The first token of a window has no prediction; EOS counts once per window.
     """
-    first = F.array_position(ids, eos)
-    cells = F.zip_with(
-        F.col(ids),
-        F.col(log_p),
-        lambda x, lp: F.struct(x.alias("id"), lp.alias("lp")),
-    )
-    weighted = F.aggregate(
-        F.transform(
-            cells,
-            lambda c, i: F.struct(
-                F.when((i > 0) & ((c["id"] != eos) | (i + 1 == first)), -c["lp"])
-                .otherwise(F.lit(0.0))
-                .alias("nll"),
-                F.when((i > 0) & ((c["id"] != eos) | (i + 1 == first)), F.lit(1.0))
-                .otherwise(F.lit(0.0))
-                .alias("w"),
-            ),
-        ),
-        F.struct(F.lit(0.0).alias("nll"), F.lit(0.0).alias("w")),
-        lambda acc, c: F.struct(
-            (acc["nll"] + c["nll"]).alias("nll"), (acc["w"] + c["w"]).alias("w")
-        ),
-    )
-    sums = windows.select(weighted.alias("s")).agg(
-        F.sum("s.nll").alias("_nll"), F.sum("s.w").alias("_weight")
+    first = F.array_position(ids, eos).cast("int") - 1
+    cells = windows.select(*keep, first.alias("_eos_at"), F.posexplode(ids).alias("i", "id"))
+    return cells.where(
+        (F.col("i") > 0) & ((F.col("id") != eos) | (F.col("i") == F.col("_eos_at")))
+    ).drop("_eos_at")
+
+
+def gen_ppl(tokens: DataFrame, scores: DataFrame, keys: list[str]) -> DataFrame:
+    """Perplexity of counted tokens under a ``(keys..., lp)`` score table.
+
+    Keys are the window and position for a model's scores, or the token id for a
+    table of vocabulary size. Tokens without a score count as missing.
+    """
+    sums = tokens.join(scores, keys, "left").agg(
+        F.sum(-F.col("lp")).alias("_nll"),
+        F.count("lp").alias("_weight"),
+        F.count_if(F.col("lp").isNull()).alias("unscored"),
     )
     return sums.select(
-        F.col("_weight").cast("long").alias("tokens"), F.exp(mean_nll(sums)).alias("gen_ppl")
+        F.col("_weight").alias("tokens"), F.exp(mean_nll(sums)).alias("gen_ppl"), "unscored"
     )
 
 
 def entropy_of_ids(ids: Column) -> Column:
-    """Shannon entropy in bits of the token counts of one row."""
-    ordered = F.array_sort(ids)
-    # run lengths of the sorted ids, as c * log2(c) sums
-    state = F.struct(
-        F.lit(None).cast("int").alias("id"), F.lit(0.0).alias("run"), F.lit(0.0).alias("sum")
-    )
+    """Shannon entropy in bits of the token counts of one row.
+
+    With n tokens and counts c it is log2(n) - sum(c * log2(c)) / n; the counts are
+    the run lengths of the sorted ids.
+    """
+
+    def counts(s: Column) -> Column:
+        starts = F.filter(
+            F.sequence(F.lit(1), F.size(s)),
+            lambda i: (i == 1) | (F.get(s, i - 1) != F.get(s, i - 2)),
+        )
+        return let(
+            starts,
+            lambda b: F.zip_with(
+                b,
+                F.concat(F.slice(b, F.lit(2), F.size(b)), F.array(F.size(s) + 1)),
+                lambda a, e: (e - a).cast("double"),
+            ),
+        )
 
-    def closed(acc: Column) -> Column:
-        return F.when(acc["run"] > 0, acc["run"] * F.log2(acc["run"])).otherwise(F.lit(0.0))
-
-    folded = F.aggregate(
-        ordered,
-        state,
-        lambda acc, x: F.struct(
-            x.cast("int").alias("id"),
-            F.when(acc["id"] == x, acc["run"] + 1.0).otherwise(F.lit(1.0)).alias("run"),
-            F.when(acc["id"] == x, acc["sum"]).otherwise(acc["sum"] + closed(acc)).alias("sum"),
-        ),
-        lambda acc: acc["sum"] + closed(acc),
-    )
     n = F.size(ids).cast("double")
-    return F.when(F.size(ids) > 0, F.log2(n) - folded / n)
+    spread = let(
+        F.sort_array(ids), lambda s: total(F.transform(counts(s), lambda c: c * F.log2(c)))
+    )
+    return F.when(F.size(ids) > 0, F.log2(n) - spread / n)
 
 
 def sample_entropy(df: DataFrame, ids: str) -> DataFrame:

@@ -66,7 +66,7 @@ def ranges(
     coarse_buckets: int = COARSE_BUCKETS,
     max_buckets: int = MAX_BUCKETS,
 ) -> Ranges:
-    """Buckets of about ``rows_per_bucket`` rows, at least one per shuffle partition.
+    """Buckets of about ``rows_per_bucket`` rows, and several per shuffle partition.
 
     Reads the key column only; a bounded number of quantiles reaches the driver.
     """
@@ -80,7 +80,8 @@ def ranges(
     if not row["n"]:
         return Ranges(0.0, [], 0.0, 1)
     parallel = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    wanted = min(max_buckets, max(parallel, -(-row["n"] // rows_per_bucket)))
+    # several buckets per partition even out how they hash to partitions
+    wanted = min(max_buckets, max(16 * parallel, -(-row["n"] // rows_per_bucket)))
     coarse = min(wanted, coarse_buckets)
     picked = {float(row["cuts"][i * coarse_buckets // coarse - 1]) for i in range(1, coarse)}
     return Ranges(float(row["low"]), sorted(picked), float(row["high"]), -(-wanted // coarse))

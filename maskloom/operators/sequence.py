@@ -32,7 +32,7 @@ def glue(pieces: DataFrame, keys: list[str]) -> DataFrame:
     return pieces.groupBy(*keys).agg(
         F.flatten(
             F.transform(
-                F.array_sort(F.collect_list(F.struct("at", "ids"))), lambda p: p["ids"]
+                F.sort_array(F.collect_list(F.struct("at", "ids"))), lambda p: p["ids"]
             )
         ).alias("ids"),
         F.min("at").alias("at"),
@@ -227,7 +227,7 @@ def char_chunks(
     chunks = pieces.groupBy("split", "width", (F.col("first") + F.col("i")).alias("chunk_id")).agg(
         F.array_join(
             F.transform(
-                F.array_sort(F.collect_list(F.struct("start", "piece"))), lambda p: p["piece"]
+                F.sort_array(F.collect_list(F.struct("start", "piece"))), lambda p: p["piece"]
             ),
             "",
         ).alias("text")

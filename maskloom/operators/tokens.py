@@ -45,7 +45,7 @@ def decode_table(df: DataFrame, vocab: DataFrame, ids: str = "ids", joiner: str
     Ids are dense from 0, so the vocabulary becomes one array indexed by id. Its size
     is the tokenizer's vocabulary size, never that of the corpus.
     """
-    entries = F.array_sort(F.collect_list(F.struct("id", "token")))
+    entries = F.sort_array(F.collect_list(F.struct("id", "token")))
     tokens = vocab.agg(F.transform(entries, lambda e: e["token"])).scalar()
     pieces = F.transform(F.col(ids), lambda i: F.get(F.col("_tokens"), i))
     return (

@@ -78,7 +78,7 @@ UNIGRAM_SQL = (
 
 def unigram(blocks: DataFrame) -> DataFrame:
     """Log-probability of every token id: a score table of vocabulary size."""
-    counts = blocks.select(F.explode("input_ids").alias("id")).groupBy("id").agg(
+    counts = blocks.select(F.explode("ids").alias("id")).groupBy("id").agg(
         F.count(F.lit(1)).alias("n")
     )
     return counts.select("id", F.log(F.col("n") / counts.agg(F.sum("n")).scalar()).alias("lp"))
@@ -90,14 +90,11 @@ def unigram(blocks: DataFrame) -> DataFrame:
     SELECT count(*) AS tokens, {s6('exp(-avg(lp))')} AS gen_ppl FROM kept""",
 )
 def gen_ppl(spark: SparkSession, folder: str) -> DataFrame:
-    blocks = packed(spark, folder)
-    scores = unigram(blocks).agg(F.map_from_entries(F.collect_list(F.struct("id", "lp"))).alias("m"))
-    # one row holding one entry per vocabulary id
-    windows = sq.context_split(blocks.select("block_id", F.col("input_ids").alias("ids")), "ids", 64)
-    scored = windows.withColumn("_lp", scores.scalar()).withColumn(
-        "log_p", F.transform("ids", lambda i: F.try_element_at("_lp", i))
-    )
-    out = mt.gen_ppl(scored, "ids", "log_p", tk.CHAR_EOS)
+    blocks = packed(spark, folder).select("block_id", F.col("input_ids").alias("ids"))
+    windows = sq.context_split(blocks, "ids", 64)
+    tokens = mt.counted_tokens(windows, "ids", tk.CHAR_EOS, [])
+    # one row per vocabulary id
+    out = mt.gen_ppl(tokens, F.broadcast(unigram(blocks)), ["id"])
     return out.select("tokens", r6("gen_ppl").alias("gen_ppl"))
 
 

@@ -8,7 +8,7 @@ from maskloom.operators import tokens as tk
 from maskloom.plans.metrics import EMA_SQL
 from maskloom.plans.registry import joined, query, r6, s6, table
 from maskloom.plans.text import SPACED, SQL_CORPUS, corpus_of, sql_lambada, sql_lm1b, sql_ptb, sql_wikitext
-from maskloom.plans.tokens import BLOCK, CHARS_SQL, PACKED
+from maskloom.plans.tokens import BLOCK, CHARS_SQL, PACKED, token_count, token_ids
 from maskloom.session import scratch_path
 from maskloom.streaming import jobs
 
@@ -52,11 +52,11 @@ def stream_tokenize(spark: SparkSession, folder: str) -> DataFrame:
 
 def packed_stream(spark: SparkSession, folder: str, label: str) -> DataFrame:
     path = scratch_path(spark, label)
-    coded = jobs.stream_tokenize(stream(spark, folder, "documents"), "doc_id", "text", tk.CHAR_EOS)
+    docs = stream(spark, folder, "documents").select("doc_id", "text")
     jobs.stream_pack(
-        coded, "doc_id", "ids", BLOCK, tk.CHAR_BOS, tk.CHAR_EOS, path, f"{path}/checkpoint"
+        docs, "doc_id", token_ids(), BLOCK, path, f"{path}/checkpoint", length=token_count()
     ).awaitTermination()
-    return spark.read.parquet(f"{path}/blocks")
+    return jobs.packed_blocks(spark, path, BLOCK, tk.CHAR_BOS, tk.CHAR_EOS)
 
 
 @query("stream_pack", f"WITH {PACKED} SELECT block_id, array_to_string(ids, ' ') AS input_ids FROM blocks")

@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from maskloom.functions.text import detok_for
 from maskloom.operators.ema import ema_warmup
-from maskloom.operators.sequence import pack_stream
+from maskloom.operators.sequence import frame_block, pack_stream
 from maskloom.operators.tokens import append_eos, char_encode
 
 
@@ -40,20 +40,23 @@ def _previous(spark: SparkSession, path: str, epoch: int) -> DataFrame | None:
 
 
 def stream_pack(
-    tokens: DataFrame,
+    stream: DataFrame,
     key: str,
-    ids: str,
+    ids: Column | str,
     block_size: int,
-    bos: int,
-    eos: int,
     out: str,
     checkpoint: str,
+    length: Column | None = None,
 ) -> StreamingQuery:
-    """Pack a token stream; the unfinished block of a micro-batch opens the next one.
+    """Pack a stream; the unfinished block of a micro-batch opens the next one.
 
     Rows are ordered by key inside a micro-batch and by arrival between them. For
-    input in key order the blocks equal those of ``pack_blocks_global``.
+    input in key order the blocks equal those of ``pack_blocks_global``. Read them
+    with ``packed_blocks``.
     """
+    tokens = F.col(ids) if isinstance(ids, str) else ids
+    size = F.size(tokens) if length is None else length
+    body = block_size - 2
 
     def one_batch(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
@@ -62,37 +65,43 @@ def stream_pack(
         offset = carried["offset"] if carried else 0
         # fewer than block_size ids
         rest = carried["ids"] if carried else []
-        body = block_size - 2
         opening = None
         if rest:
             opening = spark.createDataFrame(
                 [(offset // body, offset - len(rest), rest)],
                 "block bigint, at bigint, ids array<int>",
             )
-        glued = pack_stream(batch, key, F.col(ids), F.size(ids), body, offset, opening).persist()
-        try:
-            full = F.size("ids") == body
-            glued.where(full).select(
-                F.col("block").alias("block_id"),
-                F.concat(F.array(F.lit(bos)), F.col("ids"), F.array(F.lit(eos))).alias("input_ids"),
-            ).write.mode("overwrite").parquet(f"{out}/blocks/epoch={epoch}")
-            left = glued.where(~full).select("ids").first()
-            remainder = left["ids"] if left else []
-            seen = offset - len(rest) + (glued.agg(F.sum(F.size("ids"))).first()[0] or 0)
-        finally:
-            glued.unpersist()
-        spark.createDataFrame([(seen, remainder)], "offset bigint, ids array<int>").coalesce(
+        path = f"{out}/blocks/epoch={epoch}"
+        pack_stream(batch, key, tokens, size, body, offset, opening).select(
+            "block", (F.size("ids") == body).alias("whole"), "ids"
+        ).write.mode("overwrite").parquet(path)
+        written = spark.read.parquet(path)
+        left = written.where("NOT whole").select("block", "ids").first()
+        if left:
+            seen, rest = left["block"] * body + len(left["ids"]), left["ids"]
+        else:
+            top = written.agg(F.max("block")).first()[0]
+            seen, rest = (offset if top is None else (top + 1) * body), []
+        spark.createDataFrame([(seen, rest)], "offset bigint, ids array<int>").coalesce(
             1
         ).write.mode("overwrite").parquet(f"{out}/state/epoch={epoch}")
 
     return (
-        tokens.writeStream.foreachBatch(one_batch)
+        stream.writeStream.foreachBatch(one_batch)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
 
 
+def packed_blocks(spark: SparkSession, out: str, block_size: int, bos: int, eos: int) -> DataFrame:
+    """The finished blocks that ``stream_pack`` wrote so far."""
+    whole = spark.read.parquet(f"{out}/blocks").where("whole")
+    return frame_block(
+        whole.withColumnRenamed("block", "block_id"), ["block_id"], bos, eos, block_size
+    )
+
+
 def stream_metrics(
     stream: DataFrame, nll: str, mask: str, event_time: str, epoch: str = "1 hour", late: str = "1 hour"
 ) -> DataFrame:
