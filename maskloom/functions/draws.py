@@ -43,8 +43,9 @@ def carry_over(xt: Column, new: Column, mask: int) -> Column:
 
 
 def ddpm_probs(probs: Column, chance_t: Column, chance_s: Column, mask: int) -> Column:
-    return replace_at(
-        F.transform(probs, lambda p: p * (chance_t - chance_s)), mask, chance_s
+    return let(
+        F.array(chance_t - chance_s, chance_s),
+        lambda c: F.transform(probs, lambda p, i: F.when(i == mask, c[1]).otherwise(p * c[0])),
     )
 
 

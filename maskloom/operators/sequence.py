@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from maskloom.functions.arrays import let
 from maskloom.operators.order import ranked
 
 
@@ -24,7 +25,7 @@ def _pieces(ids: Column, start: Column, body: int) -> Column:
             F.slice(ids, low + 1, high - low).alias("ids"),
         )
 
-    return F.transform(F.sequence(first, last), piece)
+    return F.when(F.size(ids) > 0, F.transform(F.sequence(first, last), piece))
 
 
 def glue(pieces: DataFrame, keys: list[str]) -> DataFrame:
@@ -54,8 +55,7 @@ def _placed(
     so that the shuffle carries the columns it is made of (text rather than arrays)."""
     placed = ranked(df, key, weight=length, keep_buckets=True)
     return (
-        placed.where(length > 0)
-        .withColumn("_start", F.col("before") + F.lit(offset))
+        placed.withColumn("_start", F.col("before") + F.lit(offset))
         .withColumn("_first", F.col("bucket_start") + F.lit(offset))
         .withColumn("_last", F.col("_first") + F.col("bucket_weight") - 1)
         .withColumn("_ids", ids)
@@ -152,7 +152,7 @@ def pack_blocks(
         "group_id", F.floor(F.col("rank") / F.lit(group_size)).cast("long")
     )
     start = F.col("before") - F.min("before").over(Window.partitionBy("group_id"))
-    placed = spans.withColumn("_start", start).where(size > 0).withColumn("_ids", tokens)
+    placed = spans.withColumn("_start", start).withColumn("_ids", tokens)
     pieces = placed.select(
         "group_id", F.explode(_pieces(F.col("_ids"), F.col("_start"), body)).alias("p")
     ).select("group_id", "p.*")
@@ -265,8 +265,10 @@ def context_split(df: DataFrame, ids: str, width: int) -> DataFrame:
         F.sequence(F.lit(0), F.floor((F.size(ids) - 1) / F.lit(width)).cast("int")),
         lambda i: F.slice(F.col(ids), i * width + 1, F.lit(width)),
     )
+    # an empty row has no window; a filter here would be pushed below and compute the ids twice
+    cells = F.when(F.size(ids) > 0, cells)
     others = [c for c in df.columns if c != ids]
-    return df.where(F.size(ids) > 0).select(
+    return df.select(
         *others, F.posexplode(cells).alias("window_id", ids)
     )
 
@@ -297,11 +299,12 @@ def first_eos_mask(ids: Column, eos: int, until_first_eos: bool = False) -> Colu
 
     ``until_first_eos`` also drops what follows the first EOS.
     """
-    first = F.array_position(ids, eos)
-    if until_first_eos:
-        return F.transform(
-            ids, lambda x, i: F.when((first == 0) | (i < first), F.lit(1)).otherwise(F.lit(0))
-        )
-    return F.transform(
-        ids, lambda x, i: F.when((x != eos) | (i + 1 == first), F.lit(1)).otherwise(F.lit(0))
-    )
+
+    def mask(first: Column) -> Column:
+        if until_first_eos:
+            counts = lambda x, i: (first == 0) | (i < first)
+        else:
+            counts = lambda x, i: (x != eos) | (i + 1 == first)
+        return F.transform(ids, lambda x, i: F.when(counts(x, i), F.lit(1)).otherwise(F.lit(0)))
+
+    return let(F.array_position(ids, eos), mask)

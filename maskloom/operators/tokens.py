@@ -18,18 +18,19 @@ BPE_SPECIALS = ["[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]", "[BOS]", "[EOS]"]
 
 def characters(text: Column) -> Column:
     """Code points of a string; an empty string has none."""
-    return F.filter(F.split(text, ""), lambda c: c != "")
+    return F.when(F.length(text) > 0, F.split(text, "")).otherwise(
+        F.array().cast("array<string>")
+    )
 
 
 def char_encode(text: Column) -> Column:
     """Lower-cased characters to ids; anything but a-z and the blank is [UNK]."""
     first = len(CHAR_SPECIALS)
-    code = F.ascii
+    known = {ord(c): first + i for i, c in enumerate(CHAR_LETTERS)}
+    by_code = F.lit([known.get(code, CHAR_UNK) for code in range(max(known) + 1)])
     return F.transform(
         characters(F.lower(text)),
-        lambda c: F.when(code(c).between(97, 122), code(c) - 97 + first)
-        .when(code(c) == 32, F.lit(first + 26))
-        .otherwise(F.lit(CHAR_UNK)),
+        lambda c: F.coalesce(F.get(by_code, F.ascii(c)), F.lit(CHAR_UNK)),
     )
 
 
