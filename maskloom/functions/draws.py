@@ -11,6 +11,8 @@ from maskloom.functions.scores import softmax, staggered, transition
 # Fixed value: keeps the logarithms and divisions of the draws finite.
 TINY = 1e-10
 
+CHUNK = 256
+
 
 def categorical(probs: Column, noise: Column) -> Column:
     """Index drawn with probability proportional to ``probs`` (exponential race)."""
@@ -20,10 +22,67 @@ def categorical(probs: Column, noise: Column) -> Column:
     return argmax(race)
 
 
-def draw(probs: Column, seed: object, *keys: Column | str) -> Column:
+def draw_race(probs: Column, seed: object, *keys: Column | str) -> Column:
+    """Categorical draw with one uniform per vocabulary entry."""
     return let(probs, lambda p: categorical(p, uniforms(seed, list(keys), F.size(p))))
 
 
+def _reach(weights: Column, target: Column) -> Column:
+    """Struct of the first index whose running sum reaches ``target`` and the sum before it.
+
+    Entries that are not positive are never chosen; the last positive one closes the gap
+    that rounding may leave at the end.
+    """
+    start = F.struct(
+        F.lit(0).alias("i"),
+        F.lit(0.0).alias("sum"),
+        F.lit(0).alias("at"),
+        F.lit(0.0).alias("before"),
+    )
+
+    def step(acc: Column, w: Column) -> Column:
+        here = (w > 0) & (acc["sum"] < target)
+        return F.struct(
+            (acc["i"] + 1).alias("i"),
+            F.when(here, acc["sum"] + w).otherwise(acc["sum"]).alias("sum"),
+            F.when(here, acc["i"]).otherwise(acc["at"]).alias("at"),
+            F.when(here, acc["sum"]).otherwise(acc["before"]).alias("before"),
+        )
+
+    return F.aggregate(weights, start, step)
+
+
+def inverse(probs: Column, u: Column) -> Column:
+    """Index drawn with probability proportional to ``probs`` from one uniform.
+
+    The running sum is walked over chunks first and then inside one chunk, so that a
+    large vocabulary costs little more than its plain sum.
+    """
+
+    def walk(p: Column) -> Column:
+        chunks = F.transform(
+            F.sequence(F.lit(0), F.floor((F.size(p) - 1) / F.lit(CHUNK)).cast("int")),
+            lambda c: F.aggregate(
+                F.slice(p, c * CHUNK + 1, F.lit(CHUNK)),
+                F.lit(0.0),
+                lambda acc, x: acc + F.greatest(x, F.lit(0.0)),
+            ),
+        )
+        return let(chunks, lambda c: let(total(c) * u, lambda t: let(
+            _reach(c, t),
+            lambda hit: hit["at"] * CHUNK + _reach(
+                F.slice(p, hit["at"] * CHUNK + 1, F.lit(CHUNK)), t - hit["before"]
+            )["at"],
+        )))
+
+    return let(probs, walk)
+
+
+def draw(probs: Column, seed: object, *keys: Column | str) -> Column:
+    """Categorical draw with a single uniform per row."""
+    return inverse(probs, uniform_open(seed, *keys))
+
+
 def gumbel(logits: Column, seed: object, *keys: Column | str) -> Column:
     """argmax(logits + Gumbel noise)."""
     return let(

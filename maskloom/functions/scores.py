@@ -90,6 +90,11 @@ def parameterize(
     return scores
 
 
+def log_prob(scores: Column, token: Column) -> Column:
+    """Log-probability of one token of raw scores, without normalizing the others."""
+    return let(scores, lambda s: at(s, token) - logsumexp(s))
+
+
 def gather(scores: Column, token: Column) -> Column:
     return at(scores, token)
 

@@ -40,19 +40,29 @@ def winner(source: str, weight: str, extra: str = "") -> str:
     )
 
 
+def reached(source: str, weight: str, seed: str, *keys: str, extra: str = "") -> str:
+    """SQL of a draw with one uniform: the first token whose running sum reaches its share."""
+    by = f"seq_id, pos{extra}"
+    return (
+        f"SELECT {by}, min(tok) FILTER (WHERE w > 0 AND upto >= u * whole) AS token FROM "
+        f"(SELECT *, sum(w) OVER (PARTITION BY {by} ORDER BY tok) AS upto, sum(w) OVER (PARTITION BY {by}) AS whole, "
+        f"{sql_u_open(seed, *keys)} AS u FROM (SELECT *, greatest({weight}, 0) AS w FROM {source})) GROUP BY {by}"
+    )
+
+
 def drawn(spark: SparkSession, folder: str, token: Column) -> DataFrame:
     return positions(spark, folder).select(*KEYS, token.alias("token"))
 
 
 @query("draw_categorical", f"WITH {LONG_SQL} {winner('lf', race('exp(x - z)', 'cat', 'seq_id', 'pos'))}")
 def draw_categorical(spark: SparkSession, folder: str) -> DataFrame:
-    return drawn(spark, folder, dr.draw(sc.softmax(F.col("s")), "cat", *KEYS))
+    return drawn(spark, folder, dr.draw_race(sc.softmax(F.col("s")), "cat", *KEYS))
 
 
 @query(
     "draw_k_candidates",
     f"""WITH {LONG_SQL}, k AS (SELECT *, unnest(range(3))::INTEGER AS cand_id FROM lf)
-    {winner('k', race('exp(x - z)', 'cand', 'seq_id', 'pos', 'cand_id'), ', cand_id')}""",
+    {reached('k', 'exp(x - z)', 'cand', 'seq_id', 'pos', 'cand_id', extra=', cand_id')}""",
 )
 def draw_k_candidates(spark: SparkSession, folder: str) -> DataFrame:
     rows = positions(spark, folder).select(*KEYS, sc.softmax(F.col("s")).alias("p"))
@@ -71,7 +81,7 @@ def draw_gumbel(spark: SparkSession, folder: str) -> DataFrame:
 RESAMPLE_SQL = (
     LONG_SQL
     + f""", k AS (SELECT *, unnest(range(3))::INTEGER AS cand_id FROM lf),
-  cand AS ({winner('k', race('exp(x - z)', 'cand', 'seq_id', 'pos', 'cand_id'), ', cand_id')}),
+  cand AS ({reached('k', 'exp(x - z)', 'cand', 'seq_id', 'pos', 'cand_id', extra=', cand_id')}),
   hz AS (SELECT seq_id, pos, top / 2 + ln(list_sum(list_transform(s, lambda v: exp((v - top) / 2)))) AS h FROM sc),
   en AS (SELECT seq_id, cand_id, sum(x - z) - sum(x / 2 - h) AS energy FROM cand
          JOIN lf USING (seq_id, pos) JOIN hz USING (seq_id, pos) WHERE tok = token GROUP BY seq_id, cand_id),
@@ -93,8 +103,8 @@ def energy_resample(spark: SparkSession, folder: str) -> DataFrame:
         *KEYS,
         "cand_id",
         "token",
-        sc.gather(sc.log_softmax(F.col("s")), F.col("token")).alias("dif"),
-        sc.gather(sc.log_softmax(F.transform("s", lambda v: v / 2)), F.col("token")).alias("ar"),
+        sc.log_prob(F.col("s"), F.col("token")).alias("dif"),
+        sc.log_prob(F.transform("s", lambda v: v / 2), F.col("token")).alias("ar"),
     )
     energy = scored.groupBy("seq_id", "cand_id").agg((F.sum("dif") - F.sum("ar")).alias("energy"))
     picked = cd.energy_resample(energy, "seq_id", "energy", 1.0, "pick")
@@ -116,7 +126,7 @@ CHANCE_T, CHANCE_S = "(0.999::DOUBLE * t)", "(0.999::DOUBLE * (0.9::DOUBLE * t))
 
 def step_sql(chance_t: str, chance_s: str, seed: str) -> str:
     p = f"CASE WHEN tok = {MASK} THEN {chance_s} ELSE exp({SUBS}) * ({chance_t} - {chance_s}) END"
-    return f"""n AS ({winner('lf', race(f'({p})', seed, 'seq_id', 'pos'), ', xt')}),
+    return f"""n AS ({reached('lf', p, seed, 'seq_id', 'pos', extra=', xt')}),
     step AS (SELECT seq_id, pos, xt, CASE WHEN xt <> {MASK} THEN xt ELSE token END::INTEGER AS token FROM n)"""
 
 
@@ -152,7 +162,7 @@ def step_ddpm_cached(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "carry_over",
-    f"""WITH {LONG_SQL}, n AS ({winner('lf', race('exp(x - z)', 'cat', 'seq_id', 'pos'), ', xt')})
+    f"""WITH {LONG_SQL}, n AS ({reached('lf', 'exp(x - z)', 'cat', 'seq_id', 'pos', extra=', xt')})
     SELECT seq_id, pos, CASE WHEN xt <> {MASK} THEN xt ELSE token END::INTEGER AS token FROM n""",
 )
 def carry_over(spark: SparkSession, folder: str) -> DataFrame:
@@ -171,7 +181,7 @@ def cache_valid(spark: SparkSession, folder: str) -> DataFrame:
     return cd.cache_valid(stepped, "seq_id", "xt", "token")
 
 
-@query("step_analytic", f"WITH {STAG_SQL} {winner('st', race('(stag * edge)', 'ana', 'seq_id', 'pos'))}")
+@query("step_analytic", f"WITH {STAG_SQL} {reached('st', 'stag * edge', 'ana', 'seq_id', 'pos')}")
 def step_analytic(spark: SparkSession, folder: str) -> DataFrame:
     rows = positions(spark, folder).withColumn("r", ratio_scores())
     token = dr.step_analytic(F.col("r"), F.col("xt"), F.col("sigma") / 2, MASK, "ana", *KEYS)
@@ -183,7 +193,7 @@ DENOISE_SQL = STAG_SQL.replace("(sigma / 2)", "sigma")
 
 @query(
     "step_denoise",
-    f"""WITH {DENOISE_SQL} {winner('st', race(f'(CASE WHEN tok = {MASK} THEN 0 ELSE stag * edge END)', 'den', 'seq_id', 'pos'))}""",
+    f"""WITH {DENOISE_SQL} {reached('st', f'CASE WHEN tok = {MASK} THEN 0 ELSE stag * edge END', 'den', 'seq_id', 'pos')}""",
 )
 def step_denoise(spark: SparkSession, folder: str) -> DataFrame:
     rows = positions(spark, folder).withColumn("r", ratio_scores())

@@ -141,7 +141,7 @@ def score_dispatch(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("gather_target", f"WITH {BASE_SQL} SELECT seq_id, pos, {s6('s[x0 + 1] - z')} AS log_p FROM sc")
 def gather_target(spark: SparkSession, folder: str) -> DataFrame:
-    log_p = sc.gather(sc.log_softmax(F.col("s")), F.col("x0"))
+    log_p = sc.log_prob(F.col("s"), F.col("x0"))
     return positions(spark, folder).select(*KEYS, r6(log_p).alias("log_p"))
 
 
@@ -252,7 +252,7 @@ def ce_rows(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(
         "seq_id",
         F.when(F.col("x0") == 3, -100).otherwise(F.col("x0")).alias("y"),
-        sc.gather(sc.log_softmax(F.col("s")), F.col("x0")).alias("log_p"),
+        sc.log_prob(F.col("s"), F.col("x0")).alias("log_p"),
         (F.col("pos") + 1).cast("double").alias("w"),
     )
 
@@ -296,7 +296,7 @@ def energies(spark: SparkSession, folder: str, token: Column) -> DataFrame:
         sc.log_softmax(F.transform("s", lambda v: v / 2)), F.col("xt"), MASK
     )
     left = rows.select(*KEYS, sc.gather(ar, F.col("y")).alias("log_p"))
-    right = rows.select(*KEYS, sc.gather(sc.log_softmax(F.col("s")), F.col("y")).alias("log_p"))
+    right = rows.select(*KEYS, sc.log_prob(F.col("s"), F.col("y")).alias("log_p"))
     return mt.energy_residual(left, right, "seq_id")
 
 

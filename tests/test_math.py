@@ -185,17 +185,35 @@ def test_corruption_ignores_partitioning(spark):
     assert runs[0] == runs[1] == runs[2]
 
 
-def test_categorical_frequencies(spark):
-    p = [0.5, 0.3, 0.15, 0.05]
+@pytest.mark.parametrize("sampler", [draws.draw, draws.draw_race, draws.gumbel])
+def test_categorical_frequencies(spark, sampler):
+    p = [0.0, 0.5, 0.3, 0.15, 0.05]
     n = 20000
-    df = spark.range(n).select(draws.draw(F.array(*[F.lit(x) for x in p]), 5, "id").alias("x"))
+    shown = [math.log(max(x, 1e-30)) if sampler is draws.gumbel else x for x in p]
+    df = spark.range(n).select(sampler(F.array(*[F.lit(x) for x in shown]), 5, "id").alias("x"))
     counts = {r["x"]: r["count"] for r in df.groupBy("x").count().collect()}
+    assert 0 not in counts
     for token, chance in enumerate(p):
-        assert abs(counts[token] / n - chance) < 4 * math.sqrt(chance * (1 - chance) / n)
-    logits = F.array(*[F.lit(math.log(x)) for x in p])
-    gum = spark.range(n).select(draws.gumbel(logits, 6, "id").alias("x"))
-    counts = {r["x"]: r["count"] for r in gum.groupBy("x").count().collect()}
-    assert abs(counts[0] / n - 0.5) < 4 * math.sqrt(0.25 / n)
+        assert abs(counts.get(token, 0) / n - chance) <= 4 * math.sqrt(chance * (1 - chance) / n)
+
+
+@pytest.mark.parametrize("size", [1, 5, 256, 257, 1000])
+def test_inverse_walk(spark, size):
+    rng = np.random.default_rng(size)
+    data = []
+    for i in range(60):
+        p = rng.random(size) * (rng.random(size) < 0.6)
+        p[rng.integers(0, size)] = 1.0
+        if i % 5 == 0:
+            p[0] = -1.0 if size > 1 and p.sum() - p[0] > 0 else p[0]
+        data.append((i, p.tolist(), float([1e-9, 0.5, 1 - 1e-16, *rng.random(5)][i % 8])))
+    df = spark.createDataFrame(data, "i int, s array<double>, u double")
+    for (i, p, u), got in zip(data, values(df, draws.inverse(F.col("s"), F.col("u")))):
+        w = np.maximum(p, 0)
+        upto = np.cumsum(w)
+        assert w[got] > 0
+        assert upto[got] >= u * w.sum() * (1 - 1e-9)
+        assert upto[got] - w[got] <= u * w.sum() * (1 + 1e-9)
 
 
 def test_gaussian_moments(spark):
