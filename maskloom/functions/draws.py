@@ -52,35 +52,55 @@ def _reach(weights: Column, target: Column) -> Column:
     return F.aggregate(weights, start, step)
 
 
-def inverse(probs: Column, u: Column) -> Column:
-    """Index drawn with probability proportional to ``probs`` from one uniform.
+def inverse(probs: Column, us: Column) -> Column:
+    """Indices drawn with probability proportional to ``probs``, one per uniform in ``us``.
 
     The running sum is walked over chunks first and then inside one chunk, so that a
     large vocabulary costs little more than its plain sum.
     """
 
-    def walk(p: Column) -> Column:
-        chunks = F.transform(
-            F.sequence(F.lit(0), F.floor((F.size(p) - 1) / F.lit(CHUNK)).cast("int")),
+    def chunk(p: Column, c: Column) -> Column:
+        return F.slice(p, c * CHUNK + 1, F.lit(CHUNK))
+
+    def sums(p: Column) -> Column:
+        last = F.floor((F.size(p) - 1) / F.lit(CHUNK)).cast("int")
+        return F.transform(
+            F.sequence(F.lit(0), last),
             lambda c: F.aggregate(
-                F.slice(p, c * CHUNK + 1, F.lit(CHUNK)),
-                F.lit(0.0),
-                lambda acc, x: acc + F.greatest(x, F.lit(0.0)),
+                chunk(p, c), F.lit(0.0), lambda acc, x: acc + F.greatest(x, F.lit(0.0))
             ),
         )
-        return let(chunks, lambda c: let(total(c) * u, lambda t: let(
-            _reach(c, t),
-            lambda hit: hit["at"] * CHUNK + _reach(
-                F.slice(p, hit["at"] * CHUNK + 1, F.lit(CHUNK)), t - hit["before"]
-            )["at"],
-        )))
 
-    return let(probs, walk)
+    def pick(p: Column, c: Column, target: Column) -> Column:
+        return let(
+            _reach(c, target),
+            lambda hit: hit["at"] * CHUNK
+            + _reach(chunk(p, hit["at"]), target - hit["before"])["at"],
+        )
+
+    return let(
+        probs,
+        lambda p: let(
+            sums(p),
+            lambda c: let(
+                total(c),
+                lambda whole: F.transform(us, lambda u: let(whole * u, lambda t: pick(p, c, t))),
+            ),
+        ),
+    )
 
 
 def draw(probs: Column, seed: object, *keys: Column | str) -> Column:
     """Categorical draw with a single uniform per row."""
-    return inverse(probs, uniform_open(seed, *keys))
+    return inverse(probs, F.array(uniform_open(seed, *keys)))[0]
+
+
+def draw_many(probs: Column, k: int, seed: object, *keys: Column | str) -> Column:
+    """Array of ``k`` independent categorical draws from one row."""
+    us = F.transform(
+        F.sequence(F.lit(0), F.lit(k - 1)), lambda c: uniform_open(seed, *keys, c)
+    )
+    return inverse(probs, us)
 
 
 def gumbel(logits: Column, seed: object, *keys: Column | str) -> Column:

@@ -4,17 +4,33 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from maskloom.functions.draws import draw
+from maskloom.functions.arrays import at
+from maskloom.functions.draws import draw_many
 from maskloom.functions.rand import uniform
 
 
-def draw_candidates(
-    df: DataFrame, keys: list[str], probs: str, k: int, seed: object, keep: list[str] | None = None
+def draw_candidates(df: DataFrame, keys: list[str], probs: Column, k: int, seed: object) -> DataFrame:
+    """k independent draws per row, keyed by ``cand_id``; candidates cannot mix.
+
+    The draws of a row are made together, so its scores are not copied k times.
+    """
+    tokens = draw_many(probs, k, seed, *keys)
+    return df.select(*keys, F.posexplode(tokens).alias("cand_id", "token"))
+
+
+def scored_candidates(
+    df: DataFrame, keys: list[str], probs: Column, k: int, seed: object, scores: dict[str, Column]
 ) -> DataFrame:
-    """k independent draws per row, keyed by ``cand_id``; candidates cannot mix."""
-    fanned = df.withColumn("cand_id", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
-    token = draw(F.col(probs), seed, *keys, "cand_id")
-    return fanned.select(*keys, "cand_id", *(keep or []), token.alias("token"))
+    """Candidates with the log-probability of their token under each log-score array."""
+    rows = df.select(*keys, draw_many(probs, k, seed, *keys).alias("_t"), *[
+        scores[name].alias(name) for name in scores
+    ])
+    cells = F.transform(
+        "_t", lambda t: F.struct(t.alias("token"), *[at(F.col(n), t).alias(n) for n in scores])
+    )
+    return rows.select(*keys, F.posexplode(cells).alias("cand_id", "c")).select(
+        *keys, "cand_id", "c.*"
+    )
 
 
 def energy_resample(

@@ -98,8 +98,10 @@ def counted_tokens(windows: DataFrame, ids: str, eos: int, keep: list[str]) -> D
 
     The first token of a window has no prediction; EOS counts once per window.
     """
+    # looked up before the explode: next to it, it would run once per token
     first = F.array_position(ids, eos).cast("int") - 1
-    cells = windows.select(*keep, first.alias("_eos_at"), F.posexplode(ids).alias("i", "id"))
+    marked = windows.select(*keep, ids, first.alias("_eos_at"))
+    cells = marked.select(*keep, "_eos_at", F.posexplode(ids).alias("i", "id"))
     return cells.where(
         (F.col("i") > 0) & ((F.col("id") != eos) | (F.col("i") == F.col("_eos_at")))
     ).drop("_eos_at")

@@ -65,8 +65,7 @@ def draw_categorical(spark: SparkSession, folder: str) -> DataFrame:
     {reached('k', 'exp(x - z)', 'cand', 'seq_id', 'pos', 'cand_id', extra=', cand_id')}""",
 )
 def draw_k_candidates(spark: SparkSession, folder: str) -> DataFrame:
-    rows = positions(spark, folder).select(*KEYS, sc.softmax(F.col("s")).alias("p"))
-    return cd.draw_candidates(rows, KEYS, "p", 3, "cand").select(*KEYS, "cand_id", "token")
+    return cd.draw_candidates(positions(spark, folder), KEYS, sc.softmax(F.col("s")), 3, "cand")
 
 
 @query(
@@ -97,14 +96,16 @@ RESAMPLE_SQL = (
     f"WITH {RESAMPLE_SQL} SELECT seq_id, pos, cand_id, token FROM pick JOIN cand USING (seq_id, cand_id)",
 )
 def energy_resample(spark: SparkSession, folder: str) -> DataFrame:
-    rows = positions(spark, folder).select(*KEYS, "s", sc.softmax(F.col("s")).alias("p"))
-    cands = cd.draw_candidates(rows, KEYS, "p", 3, "cand", keep=["s"])
-    scored = cands.select(
-        *KEYS,
-        "cand_id",
-        "token",
-        sc.log_prob(F.col("s"), F.col("token")).alias("dif"),
-        sc.log_prob(F.transform("s", lambda v: v / 2), F.col("token")).alias("ar"),
+    scored = cd.scored_candidates(
+        positions(spark, folder),
+        KEYS,
+        sc.softmax(F.col("s")),
+        3,
+        "cand",
+        {
+            "dif": sc.log_softmax(F.col("s")),
+            "ar": sc.log_softmax(F.transform("s", lambda v: v / 2)),
+        },
     )
     energy = scored.groupBy("seq_id", "cand_id").agg((F.sum("dif") - F.sum("ar")).alias("energy"))
     picked = cd.energy_resample(energy, "seq_id", "energy", 1.0, "pick")
@@ -244,9 +245,8 @@ def gumbel_softmax(spark: SparkSession, folder: str) -> DataFrame:
     rows = positions(spark, folder).select(
         *KEYS, dr.gumbel_softmax(F.col("s"), 0.5, "gs", *KEYS).alias("g")
     )
-    return rows.select(
-        *KEYS, F.col("g.hard").alias("winner"), F.posexplode("g.soft").alias("token_id", "soft")
-    ).select(
+    flat = rows.select(*KEYS, F.col("g.hard").alias("winner"), F.col("g.soft").alias("soft"))
+    return flat.select(*KEYS, "winner", F.posexplode("soft").alias("token_id", "soft")).select(
         *KEYS,
         "token_id",
         r6("soft").alias("soft"),

@@ -208,7 +208,7 @@ def test_inverse_walk(spark, size):
             p[0] = -1.0 if size > 1 and p.sum() - p[0] > 0 else p[0]
         data.append((i, p.tolist(), float([1e-9, 0.5, 1 - 1e-16, *rng.random(5)][i % 8])))
     df = spark.createDataFrame(data, "i int, s array<double>, u double")
-    for (i, p, u), got in zip(data, values(df, draws.inverse(F.col("s"), F.col("u")))):
+    for (i, p, u), got in zip(data, values(df, draws.inverse(F.col("s"), F.array("u"))[0])):
         w = np.maximum(p, 0)
         upto = np.cumsum(w)
         assert w[got] > 0
