@@ -253,3 +253,98 @@ def test_stream_ema_over_batches(spark):
     want = {(r["key"], r["k"]): r["shadow"] for r in ema.ema_warmup(df, ["key"], "id", "v", 0.8).collect()}
     assert got.keys() == want.keys()
     assert all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+
+
+def prepared(spark, tmp_path, corpus, mode, **kw):
+    from maskloom.sources import prepare as pr
+
+    return pr.prepare(
+        spark, corpus, mode, str(tmp_path), pr.char_tokenizer(), 16, scratch_path(spark, "prep"), **kw
+    )
+
+
+def test_prepare_line_corpus(spark, tmp_path):
+    (tmp_path / "a.train").write_text("\n".join(f"some words in line {'abcdefgh'[i % 8]}" for i in range(60)))
+    train = prepared(spark, tmp_path, "babylm", "train", group_size=None)
+    valid = prepared(spark, tmp_path, "babylm", "validation", wrap=False)
+    # 54 lines of 20 characters and EOS, cut in bodies of 14
+    assert train.count() == 54 * 21 // 14
+    assert valid.count() == 6
+    row = valid.first()
+    assert len(row["input_ids"]) == len(row["attention_mask"]) == 16
+    assert row["input_ids"][0] == 0 and row["input_ids"][-1] == 1
+
+
+def test_prepare_named_tables(spark, tmp_path):
+    rows = spark.createDataFrame([(f"a , b {i}",) for i in range(40)], "text string")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/lm1b/test")
+    out = prepared(spark, tmp_path, "lm1b", "test", wrap=False)
+    assert out.count() == 40
+    ids = tk.CHAR_VOCAB
+    first = out.orderBy("doc_id").first()["input_ids"]
+    assert [ids[i] for i in first[1:4]] == ["a", "[UNK]", " "]
+    papers = spark.createDataFrame([("= = T = =", "x", "y")], "article string, abstract string, section_names string")
+    papers.write.parquet(f"{tmp_path}/scientific_papers/arxiv/train")
+    got = prepared(spark, tmp_path, "scientific_papers_arxiv", "train", wrap=False).first()
+    assert "".join(ids[i] for i in got["input_ids"][1:8]) == "[UNK][UNK] t [UNK][UNK]"
+
+
+def test_prepare_long_string(spark, tmp_path, monkeypatch):
+    from maskloom.sources import prepare as pr
+
+    monkeypatch.setattr(pr, "TEXT8_TRAIN_END", 400)
+    monkeypatch.setattr(pr, "TEXT8_VALID_END", 500)
+    (tmp_path / "text8").write_text("abcdefghij" * 60)
+    assert pr.load(spark, "text8", "validation", str(tmp_path), 16).count() == 6
+    train = pr.load(spark, "text8-crop", "train", str(tmp_path), 32)
+    assert train.count() == 6 and all(len(r["text"]) == 64 for r in train.collect())
+    with pytest.raises(ValueError):
+        prepared(spark, tmp_path, "text8", "test", wrap=False)
+
+
+def test_prepare_holdout(spark, tmp_path, monkeypatch):
+    from maskloom.sources import prepare as pr
+
+    monkeypatch.setattr(pr, "HOLDOUT_ROWS", 7)
+    spark.range(30).select(F.concat(F.lit("row "), F.col("id")).alias("text")).coalesce(1).write.parquet(
+        f"{tmp_path}/openwebtext"
+    )
+    valid = pr.load(spark, "openwebtext-valid", "train", str(tmp_path), 16)
+    assert sorted(r["text"] for r in valid.collect()) == [f"row {i}" for i in range(23, 30)]
+    assert pr.load(spark, "openwebtext-train", "train", str(tmp_path), 16).count() == 23
+
+
+def test_prepare_lambada(spark, tmp_path):
+    (tmp_path / "lambada_test.jsonl").write_text('{"text": " “hi” "}\n{"text": "you"}\n')
+    out = prepared(spark, tmp_path, "lambada", "train", wrap=False).orderBy("doc_id").first()
+    assert out["input_ids"][1:5] == [7, 7, 15, 16]
+
+
+def test_loss_by_kind(spark):
+    from maskloom.operators import evaluate as ev
+
+    rows = spark.createDataFrame(
+        [(0, 1, 3, 0.3, 0.5, 1.2, [0.1, 0.7, -0.2, 0.0])],
+        "i int, x0 int, xt int, t double, sigma double, rate double, s array<double>",
+    )
+    z = math.log(sum(math.exp(v) for v in (0.1, 0.7, -0.2)))
+    got = {
+        name: rows.select(ev.token_loss(kind, "s", 3, **kw).alias("o")).first()["o"]
+        for name, kind, kw in (
+            ("subs", "subs", {}),
+            ("cov", "subs", {"sigma_min": 0.001, "evenly_spaced": True}),
+            ("ar", "ar", {}),
+            ("d3pm", "d3pm", {"steps": 10, "clean_scores": "s"}),
+            ("discrete", "subs", {"steps": 10}),
+        )
+    }
+    assert got["subs"] == pytest.approx((z - 0.7) * 1.2 / math.expm1(0.5))
+    assert got["cov"] == pytest.approx((0.7 - z) * math.log1p(-math.exp(-0.001)))
+    assert got["ar"] == pytest.approx(z - 0.7, abs=1e-6)
+    # substitution leaves the mask no probability, so both logarithms vanish
+    assert got["discrete"] == pytest.approx(10 * (1 / 3) * (z - 0.7))
+    whole = math.log(sum(math.exp(v) for v in (0.1, 0.7, -0.2, 0.0)))
+    p = math.exp(0.0 - whole)
+    now, before = math.log(0.7 * p / 0.3 + 1), math.log(0.8 * p / 0.2 + 1)
+    want = 10 * ((now - (0.7 - whole)) / 3 + 2 / 3 * (now - before)) + whole - 0.7
+    assert got["d3pm"] == pytest.approx(want)
