@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from maskloom.functions.arrays import let
-from maskloom.operators.order import ranked
+from maskloom.operators.order import Ranges, ranges, ranked
 
 
 def _pieces(ids: Column, start: Column, body: int) -> Column:
@@ -48,42 +48,80 @@ def frame_block(df: DataFrame, keys: list[str], bos: int, eos: int, size: int) -
     )
 
 
+def _group_starts(placed: DataFrame, df: DataFrame, key: str, length: Column, buckets: Ranges, size: int) -> DataFrame:
+    """Add the group of a row and the stream position ``_base`` where its group starts.
+
+    A group starts in the bucket of its first row. Rows behind it in that bucket see
+    the start in a running maximum; for the group that is open when a bucket begins,
+    the start comes from a pass over keys and lengths only.
+    """
+    narrow = ranked(
+        df.select(key, length.alias("_w")), key, weight=F.col("_w"), buckets=buckets, keep_buckets=True
+    )
+    group = F.floor(F.col("rank") / F.lit(size)).cast("long")
+    starts = narrow.where(F.col("rank") % size == 0).select(
+        group.alias("_group"), F.col("before").alias("_open")
+    )
+    opened = (
+        narrow.groupBy("_bucket")
+        .agg(F.floor(F.min("rank") / F.lit(size)).cast("long").alias("_group"))
+        .join(starts, "_group")
+        .select("_bucket", "_open")
+    )
+    so_far = Window.partitionBy("_bucket").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
+    begun = F.max(F.when(F.col("rank") % size == 0, F.col("before"))).over(so_far)
+    return (
+        placed.withColumn("_begun", begun)
+        .join(opened, "_bucket")
+        .withColumn("_base", F.coalesce("_begun", "_open"))
+        .withColumn("group_id", group)
+    )
+
+
 def _placed(
-    df: DataFrame, key: str, ids: Column, length: Column, offset: int
+    df: DataFrame, key: str, ids: Column, length: Column, offset: int, group_size: int | None
 ) -> DataFrame:
-    """Rows with their position in the stream. ``ids`` is computed behind the shuffle,
-    so that the shuffle carries the columns it is made of (text rather than arrays)."""
-    placed = ranked(df, key, weight=length, keep_buckets=True)
+    """Rows with their place in the stream. ``ids`` is computed behind the shuffle, so
+    that the shuffle carries the columns it is made of (text rather than arrays)."""
+    buckets = ranges(df, key)
+    placed = ranked(df, key, weight=length, buckets=buckets, keep_buckets=True)
+    if group_size is None:
+        placed = placed.withColumn("_base", F.lit(0)).withColumn("group_id", F.lit(0))
+    else:
+        placed = _group_starts(placed, df, key, length, buckets, group_size)
     return (
-        placed.withColumn("_start", F.col("before") + F.lit(offset))
+        placed.withColumn("_start", F.col("before") + F.lit(offset) - F.col("_base"))
         .withColumn("_first", F.col("bucket_start") + F.lit(offset))
-        .withColumn("_last", F.col("_first") + F.col("bucket_weight") - 1)
+        .withColumn("_end", F.col("_first") + F.col("bucket_weight"))
         .withColumn("_ids", ids)
     )
 
 
 def _cut(placed: DataFrame, body: int) -> DataFrame:
-    return placed.select(
+    cells = placed.select(
         "_bucket",
+        "group_id",
+        "_base",
         "_first",
-        "_last",
+        "_end",
         F.explode(_pieces(F.col("_ids"), F.col("_start"), body)).alias("p"),
-    ).select(
+    )
+    low = F.col("_base") + F.col("p.block") * body
+    # a block that reaches over the border of its bucket may continue in a neighbour
+    return cells.select(
         "_bucket",
+        "group_id",
         "p.*",
-        # the first and the last block of a bucket may continue in a neighbour
-        (
-            (F.col("p.block") > F.floor(F.col("_first") / F.lit(body)))
-            & (F.col("p.block") < F.floor(F.col("_last") / F.lit(body)))
-        ).alias("inside"),
+        ((low >= F.col("_first")) & (low + body <= F.col("_end"))).alias("inside"),
     )
 
 
-def _touches_edge(body: int, length: Column) -> Column:
-    """Rows with a piece in the first or last block of their bucket."""
-    start, end = F.col("_start"), F.col("_start") + length - 1
-    return (F.floor(start / F.lit(body)) <= F.floor(F.col("_first") / F.lit(body))) | (
-        F.floor(end / F.lit(body)) >= F.floor(F.col("_last") / F.lit(body))
+def _reaches_over(body: int, length: Column) -> Column:
+    """Rows with a piece of a block that is not wholly inside their bucket."""
+    first = F.floor(F.col("_start") / F.lit(body)) * body
+    last = F.floor((F.col("_start") + length - 1) / F.lit(body)) * body
+    return (F.col("_base") + first < F.col("_first")) | (
+        F.col("_base") + last + body > F.col("_end")
     )
 
 
@@ -95,21 +133,23 @@ def pack_stream(
     body: int,
     offset: int = 0,
     opening: DataFrame | None = None,
+    group_size: int | None = None,
 ) -> DataFrame:
-    """Blocks ``(block, ids)`` of rows joined in key order, the last one maybe short.
+    """Blocks ``(group_id, block, ids)`` of rows joined in key order, some maybe short.
 
     Rows are shuffled once, by range bucket, and blocks inside a bucket are complete
-    there. Only the pieces of the first and last block of each bucket move again, and
+    there. Only the pieces of blocks that reach over a bucket border move again, and
     only the rows that hold them are cut a second time. ``opening`` holds pieces that
-    come before the rows.
+    come before the rows; ``group_size`` starts anew after so many rows.
     """
-    placed = _placed(df, key, ids, length, offset)
-    inner = glue(_cut(placed, body).where("inside"), ["_bucket", "block"])
-    edges = _cut(placed.where(_touches_edge(body, length)), body).where("NOT inside")
-    edges = edges.select("block", "at", "ids")
+    placed = _placed(df, key, ids, length, offset, group_size)
+    inner = glue(_cut(placed, body).where("inside"), ["_bucket", "group_id", "block"])
+    edges = _cut(placed.where(_reaches_over(body, length)), body).where("NOT inside")
+    edges = edges.select("group_id", "block", "at", "ids")
     if opening is not None:
-        edges = edges.unionByName(opening)
-    return inner.select("block", "ids").unionByName(glue(edges, ["block"]).select("block", "ids"))
+        edges = edges.unionByName(opening.withColumn("group_id", F.lit(0)))
+    columns = ["group_id", "block", "ids"]
+    return inner.select(*columns).unionByName(glue(edges, ["group_id", "block"]).select(*columns))
 
 
 def pack_blocks_global(
@@ -145,18 +185,15 @@ def pack_blocks(
     length: Column | None = None,
 ) -> DataFrame:
     """Pack groups of ``group_size`` consecutive rows; every group drops its remainder."""
-    body = block_size - 2
     tokens = F.col(ids) if isinstance(ids, str) else ids
-    size = F.size(tokens) if length is None else length
-    spans = ranked(df, key, weight=size).withColumn(
-        "group_id", F.floor(F.col("rank") / F.lit(group_size)).cast("long")
-    )
-    start = F.col("before") - F.min("before").over(Window.partitionBy("group_id"))
-    placed = spans.withColumn("_start", start).withColumn("_ids", tokens)
-    pieces = placed.select(
-        "group_id", F.explode(_pieces(F.col("_ids"), F.col("_start"), body)).alias("p")
-    ).select("group_id", "p.*")
-    blocks = glue(pieces, ["group_id", "block"]).where(F.size("ids") == body)
+    blocks = pack_stream(
+        df,
+        key,
+        tokens,
+        F.size(tokens) if length is None else length,
+        block_size - 2,
+        group_size=group_size,
+    ).where(F.size("ids") == block_size - 2)
     return frame_block(
         blocks.withColumnRenamed("block", "block_id"), ["group_id", "block_id"], bos, eos, block_size
     )

@@ -115,16 +115,16 @@ def test_strides(spark):
     assert [r["ids"] for r in out] == [[1, 2, 3], [1, 2, 3]]
 
 
-def test_bucket_size_does_not_change_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("per_bucket", [1, 3, 10, 10_000])
+def test_bucket_size_does_not_change_blocks(spark, monkeypatch, per_bucket):
     rows = documents(8, 80, 20)
-    results = []
-    for per_bucket in (1, 10, 10_000):
-        monkeypatch.setattr(
-            sq, "ranked",
-            lambda df, key, **kw: order.ranked(
-                df, key, buckets=order.ranges(df, key, per_bucket, coarse_buckets=8), **kw
-            ),
-        )
-        out = sq.pack_blocks_global(frame(spark, rows, 3), "id", "ids", 9, 2, 3)
-        results.append([r["input_ids"] for r in out.orderBy("block_id").collect()])
-    assert results[0] == results[1] == results[2] == naive(rows, 7)
+    monkeypatch.setattr(
+        sq, "ranges", lambda df, key: order.ranges(df, key, per_bucket, coarse_buckets=8)
+    )
+    df = frame(spark, rows, 3)
+    out = sq.pack_blocks_global(df, "id", "ids", 9, 2, 3)
+    assert [r["input_ids"] for r in out.orderBy("block_id").collect()] == naive(rows, 7)
+    for group in (1, 6, 25, 100):
+        out = sq.pack_blocks(df, "id", "ids", 9, 2, 3, group_size=group)
+        got = [r["input_ids"] for r in out.orderBy("group_id", "block_id").collect()]
+        assert got == [b for i in range(0, len(rows), group) for b in naive(rows[i : i + group], 7)]
