@@ -18,7 +18,8 @@ from maskloom.operators.tokens import BPE_SPECIALS, characters, decode_table
 from maskloom.session import shared_dir
 
 CANDIDATES = 1024
-PENDING_MERGES = 256
+PENDING_ROUNDS = 20
+WORDS_PER_TASK = 10_000
 MEMO_WORDS = 500_000
 
 
@@ -127,14 +128,12 @@ def bpe_train(
     """Learn merges from ``words(word, n)``: most frequent pair first, ties by ids.
 
     Each round counts pairs over the word types and applies every merge that is safe
-    together. The word table is cut loose with a checkpoint every few hundred merges.
+    together. The word table is cut loose with a checkpoint every few rounds.
     """
     spark = words.sparkSession
     shared_dir(spark)
-    # The corpus is read once. Word types are spread evenly: adaptive coalescing would
-    # leave the rounds to few tasks.
-    parallel = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    base = words.repartition(parallel, "word").checkpoint()
+    # the corpus is read once
+    base = words.checkpoint()
     # distinct characters are bounded by Unicode
     alphabet = sorted(
         row["c"]
@@ -142,7 +141,12 @@ def bpe_train(
     )
     model = BpeModel([*BPE_SPECIALS, *alphabet])
     ids = {token: i for i, token in enumerate(model.tokens)}
-    current = _symbol_words(base, alphabet).where(F.length("sym") > 1).persist()
+    # Rounds are many and short: tasks follow the number of word types and of cores,
+    # where adaptive coalescing by bytes would leave one and the shuffle setting too many.
+    cores = spark.sparkContext.defaultParallelism
+    tasks = max(1, min(2 * cores, -(-base.count() // WORDS_PER_TASK)))
+    symbols = _symbol_words(base, alphabet).where(F.length("sym") > 1)
+    current = symbols.repartition(tasks, "sym").checkpoint()
     held, pending = None, 0
     while len(ids) < vocab_size:
         top = _top_pairs(current, candidates)
@@ -153,14 +157,14 @@ def bpe_train(
         if not batch:
             break
         model.rounds += 1
-        held, pending = current, pending + len(batch)
+        held, pending = current, pending + 1
         current = current.select(_merged(F.col("sym"), batch).alias("sym"), "n")
-        if pending < PENDING_MERGES:
+        if pending < PENDING_ROUNDS:
             # the next count fills the cache; a lost block is redone from the checkpoint
             current = current.persist()
         else:
             # words that became one symbol have no pairs left
-            current, pending = current.where(F.length("sym") > 1).checkpoint().persist(), 0
+            current, pending = current.where(F.length("sym") > 1).checkpoint(), 0
     current.unpersist()
     return model
 

@@ -114,7 +114,7 @@ def sample_entropy(spark: SparkSession, folder: str) -> DataFrame:
     FROM events GROUP BY event_type""",
 )
 def metric_time(spark: SparkSession, folder: str) -> DataFrame:
-    events = table(spark, folder, "events").withColumn("start", F.lit("2024-01-01").cast("timestamp"))
+    events = table(spark, folder, "events").withColumn("start", F.lit("2024-01-01").cast("timestamp_ntz"))
     return mt.metric_time(events, "start", "ts", ["event_type"]).select(
         "event_type", r6("seconds").alias("seconds")
     )

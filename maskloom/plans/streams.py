@@ -84,7 +84,8 @@ def stream_ingest(spark: SparkSession, folder: str) -> DataFrame:
 )
 def stream_metrics(spark: SparkSession, folder: str) -> DataFrame:
     rows = stream(spark, folder, "events").select(
-        F.col("ts").cast("timestamp").alias("ts"),
+        # the zone-less time is UTC whatever the session's zone is
+        F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col("ts")).cast("timestamp").alias("ts"),
         (F.col("value") / 10).alias("nll"),
         F.when(F.col("event_type") == "view", 0).otherwise(1).alias("mask"),
     )
@@ -93,7 +94,7 @@ def stream_metrics(spark: SparkSession, folder: str) -> DataFrame:
         jobs.stream_metrics(rows, "nll", "mask", "ts", "1 day", "1 day"), path, f"{path}/checkpoint"
     ).awaitTermination()
     return spark.read.parquet(f"{path}/data").select(
-        F.col("epoch").cast("timestamp_ntz").alias("epoch"),
+        F.convert_timezone(None, F.lit("UTC"), F.col("epoch").cast("timestamp_ntz")).alias("epoch"),
         r6("nll").alias("nll"),
         r6("bpd").alias("bpd"),
         r6("ppl").alias("ppl"),

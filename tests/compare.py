@@ -88,7 +88,7 @@ if __name__ == "__main__":
     spark = build_session(
         master="local[8]",
         **{
-            "spark.sql.shuffle.partitions": "8",
+            "spark.sql.shuffle.partitions": os.environ.get("PARTITIONS", "8"),
             "spark.ui.enabled": "false",
             "spark.driver.memory": "12g",
             "spark.checkpoint.dir": tempfile.mkdtemp(prefix="run-", dir="/tmp"),

@@ -109,7 +109,7 @@ def test_rounds_equal_single_merges(spark, seed):
 def test_checkpoints_and_few_candidates(spark, monkeypatch):
     texts = corpus(9, "abcdef", 30, 7)
     whole = trained(spark, texts, 60)
-    monkeypatch.setattr(bpe, "PENDING_MERGES", 3)
+    monkeypatch.setattr(bpe, "PENDING_ROUNDS", 3)
     assert trained(spark, texts, 60, candidates=2).merges == whole.merges
 
 
