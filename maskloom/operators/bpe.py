@@ -19,7 +19,7 @@ from maskloom.session import shared_dir
 
 CANDIDATES = 1024
 PENDING_ROUNDS = 20
-WORDS_PER_TASK = 10_000
+WORDS_PER_TASK = 2_000
 MEMO_WORDS = 500_000
 
 
@@ -144,7 +144,7 @@ def bpe_train(
     # Rounds are many and short: tasks follow the number of word types and of cores,
     # where adaptive coalescing by bytes would leave one and the shuffle setting too many.
     cores = spark.sparkContext.defaultParallelism
-    tasks = max(1, min(2 * cores, -(-base.count() // WORDS_PER_TASK)))
+    tasks = max(1, min(cores, -(-base.count() // WORDS_PER_TASK)))
     symbols = _symbol_words(base, alphabet).where(F.length("sym") > 1)
     current = symbols.repartition(tasks, "sym").checkpoint()
     held, pending = None, 0
