@@ -46,13 +46,16 @@ def epoch_shuffle(df: DataFrame, key: str, seed: int, epoch: int) -> DataFrame:
     return shuffled(df, seed + epoch, key)
 
 
-def shard(df: DataFrame, replicas: int, drop_last: bool = False) -> DataFrame:
+def shard(
+    df: DataFrame, replicas: int, drop_last: bool = False, rows: Column | None = None
+) -> DataFrame:
     """Deal ranked rows to replicas in turn, every replica getting the same number.
 
     Without ``drop_last`` the first rows come again (more than once if needed) to
-    fill up; with it the surplus rows are left out. Expects a ``rank`` column.
+    fill up; with it the surplus rows are left out. Expects a ``rank`` column. ``rows``
+    is the row count where it is cheaper to get from the table before ranking.
     """
-    n = row_total(df)
+    n = row_total(df) if rows is None else rows
     if drop_last:
         size = F.floor(n / F.lit(replicas)).cast("long") * replicas
         dealt = df.where(F.col("rank") < size).withColumn("place", F.col("rank"))
@@ -80,11 +83,15 @@ def assign_batches(df: DataFrame, key: str, batch_size: int, seed: object | None
     )
 
 
-def limit_batches(df: DataFrame, batch_size: int, limit: float | int) -> DataFrame:
+def limit_batches(
+    df: DataFrame, batch_size: int, limit: float | int, rows: Column | None = None
+) -> DataFrame:
     """Keep a share (float) or a number (int) of the batches of a batched table."""
-    batches = F.ceil(row_total(df) / F.lit(batch_size)).cast("long")
-    kept = F.floor(F.lit(limit) * batches) if isinstance(limit, float) else F.lit(limit)
-    return df.where(F.col("batch_id") < kept)
+    if isinstance(limit, int):
+        return df.where(F.col("batch_id") < limit)
+    n = row_total(df) if rows is None else rows
+    batches = F.ceil(n / F.lit(batch_size)).cast("long")
+    return df.where(F.col("batch_id") < F.floor(F.lit(limit) * batches))
 
 
 def eval_batches(df: DataFrame, key: str, batch_size: int, drop_remainder: bool = False) -> DataFrame:

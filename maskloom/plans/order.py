@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from maskloom.functions.rand import uniform
 from maskloom.operators import splits as sp
+from maskloom.operators.order import row_total
 from maskloom.plans.registry import query, sql_u, table
 from maskloom.plans.text import SQL_CORPUS, corpus_of
 
@@ -70,7 +71,8 @@ def epoch_shuffle(spark: SparkSession, folder: str) -> DataFrame:
 
 def shards(spark: SparkSession, folder: str, drop_last: bool) -> DataFrame:
     order = sp.epoch_shuffle(orders(spark, folder), "o_orderkey", SEED, EPOCH)
-    return sp.shard(order, REPLICAS, drop_last).select("o_orderkey", "replica", "position")
+    rows = row_total(orders(spark, folder))
+    return sp.shard(order, REPLICAS, drop_last, rows).select("o_orderkey", "replica", "position")
 
 
 PAD_SQL = (
@@ -143,7 +145,7 @@ def assign_batches(spark: SparkSession, folder: str) -> DataFrame:
 def limit_batches(spark: SparkSession, folder: str) -> DataFrame:
     batched = sp.assign_batches(orders(spark, folder), "o_orderkey", BATCH)
     parts = [
-        sp.limit_batches(batched, BATCH, limit).select(F.lit(kind).alias("kind"), "o_orderkey", "batch_id")
+        sp.limit_batches(batched, BATCH, limit, row_total(orders(spark, folder))).select(F.lit(kind).alias("kind"), "o_orderkey", "batch_id")
         for kind, limit in (("share", 0.5), ("sanity", 2))
     ]
     return parts[0].unionByName(parts[1])
