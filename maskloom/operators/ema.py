@@ -89,11 +89,14 @@ def ema_warmup(
     of keys seen before; a new key starts with its first value as k = 0. The top
     level of the chain has rows / chunk ** (levels + 1) entries per key.
     """
-    steps = ranked(df.select(*by, order, value), order, by=by)
+    # a struct is never null itself, so keys with nulls survive the joins
+    names, by = by, ["_key"]
+    whole = F.struct(*names).alias("_key")
+    steps = ranked(df.select(whole, order, value), order, by=by)
     if state is None:
         steps = steps.withColumn("_s", F.lit(0.0)).withColumn("k", F.col("rank"))
     else:
-        last = state.select(*by, F.col("k").alias("_k"), F.col("shadow").alias("_s"))
+        last = state.select(whole, F.col("k").alias("_k"), F.col("shadow").alias("_s"))
         steps = (
             steps.join(last, by, "left")
             .withColumn("k", F.col("rank") + F.coalesce(F.col("_k") + 1, F.lit(0)))
@@ -118,5 +121,5 @@ def ema_warmup(
     return (
         chunks.join(starts, [*by, "c"])
         .select(*by, F.explode(_replay(F.col("items"), begin, decay)).alias("e"))
-        .select(*by, "e.k", "e.shadow")
+        .select(*[F.col(f"_key.{name}") for name in names], "e.k", "e.shadow")
     )

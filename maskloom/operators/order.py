@@ -23,8 +23,11 @@ HASH_BUCKETS = 1 << 16
 def spread(df: DataFrame, key: str) -> DataFrame:
     """One partition per core for an input that comes in fewer splits than cores.
 
-    A table of more splits, as any large one is, passes through without a shuffle.
+    A table of more splits, as any large one is, passes through without a shuffle; so
+    does a result that a shuffle has laid out already.
     """
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
 
@@ -90,6 +93,10 @@ def ranges(
 def _rank_in_buckets(
     df: DataFrame, order: list[Column], by: list[str], weight: Column | None
 ) -> DataFrame:
+    # a struct is never null itself, so groups with null keys are joined as well
+    columns = df.columns
+    df = df.withColumn("_by", F.struct(*by)) if by else df
+    by = ["_by"] if by else []
     keys = [*by, "_bucket"]
     load = F.lit(0) if weight is None else weight
     totals = df.groupBy(*keys).agg(
@@ -120,7 +127,8 @@ def _rank_in_buckets(
     )
     if weight is not None:
         placed = placed.withColumn("before", F.col("_prefix") + F.col("bucket_start"))
-    return placed.drop("_rank", "_prefix", "_rows_before")
+    added = ["rank", "bucket_weight", "bucket_start"] + ([] if weight is None else ["before"])
+    return placed.select(*columns, *added)
 
 
 def ranked(
@@ -131,7 +139,7 @@ def ranked(
     buckets: Ranges | None = None,
     keep_buckets: bool = False,
 ) -> DataFrame:
-    """Add the zero-based ``rank`` in the order of a unique numeric key.
+    """Add the zero-based ``rank`` in the order of a unique, non-null numeric key.
 
     With ``weight`` also ``before``, the sum of the weights of all earlier rows.
     ``by`` ranks within groups; a group of any size is spread over the buckets.

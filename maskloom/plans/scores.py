@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from maskloom.functions import losses as ls, noise, scores as sc
 from maskloom.functions.rand import uniform
 from maskloom.operators import metrics as mt
-from maskloom.operators.table import join_scores
+from maskloom.operators.table import join_scores, to_long
 from maskloom.plans.registry import query, r6, s6, sql_u, table
 
 LENGTH, VOCAB, MASK = 16, 64, 63
@@ -51,9 +51,8 @@ def positions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def long_form(df: DataFrame, values: Column, keys: list[str] | None = None) -> DataFrame:
-    return df.select(*(keys or KEYS), F.posexplode(values).alias("token_id", "score")).withColumn(
-        "score", r6("score")
-    )
+    keys = keys or KEYS
+    return to_long(df.select(*keys, values.alias("_s")), keys, "_s").withColumn("score", r6("score"))
 
 
 def _register(name: str, expression: str, build) -> None:

@@ -32,6 +32,14 @@ def test_empty(spark):
     assert ranked(df, "id").collect() == []
 
 
+def test_null_groups_are_ranked(spark):
+    df = spark.createDataFrame([(i, None if i % 2 else "x") for i in range(20)], "id long, g string")
+    for out in (ranked(df, "id", by=["g"]), shuffled(df, 1, "id", by=["g"])):
+        rows = out.collect()
+        assert sorted(r["rank"] for r in rows if r["g"] is None) == list(range(10))
+        assert len(rows) == 20
+
+
 def test_hot_group_is_spread(spark):
     rows = [(i, 0 if i % 3 else i) for i in range(900)]
     df = spark.createDataFrame(rows, "id long, g long")

@@ -63,7 +63,8 @@ def series(values, decay):
 @pytest.mark.parametrize("chunk, levels", [(2, 3), (5, 1), (512, 1), (4, 0)])
 def test_ema_with_a_hot_key(spark, chunk, levels):
     rng = random.Random(3)
-    rows = [(i, "hot" if i % 3 else f"k{i % 5}", rng.random()) for i in range(300)]
+    names = ["a", "b", None, "c", "d"]
+    rows = [(i, "hot" if i % 3 else names[i % 5], rng.random()) for i in range(300)]
     df = spark.createDataFrame(rows, "id long, key string, v double").repartition(5)
     out = ema.ema_warmup(df, ["key"], "id", "v", decay=0.9, chunk=chunk, levels=levels).collect()
     got = {(r["key"], r["k"]): r["shadow"] for r in out}
@@ -244,7 +245,7 @@ def test_stream_pack_over_batches(spark, seed, longest, size):
 
 def test_stream_ema_over_batches(spark):
     rng = random.Random(7)
-    rows = [(i, i % 4 if i % 3 else 9, rng.random()) for i in range(60)]
+    rows = [(i, (i % 4 or None) if i % 3 else 9, rng.random()) for i in range(60)]
     df = spark.createDataFrame(rows, "id long, key int, v double")
     path = scratch_path(spark, "ema")
     stream = written(spark, df, f"{path}/in", 4, "id")
