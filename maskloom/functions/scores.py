@@ -41,7 +41,12 @@ def _only(scores: Column, token: Column) -> Column:
 
 def carry_over_scores(log_probs: Column, xt: Column, mask: int) -> Column:
     """Visible tokens keep themselves with probability one."""
-    return F.when(xt == mask, log_probs).otherwise(_only(log_probs, xt))
+    return F.transform(
+        log_probs,
+        lambda x, i: F.when(xt == mask, x)
+        .when(i == xt, F.lit(0.0))
+        .otherwise(F.lit(NEG_INFINITY)),
+    )
 
 
 def subs(scores: Column, xt: Column, mask: int) -> Column:
