@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import StructField
 
@@ -49,10 +50,17 @@ def as_fields(column, kind):
     return column if column.type == kind else column.cast(kind)
 
 
-def fresh(columns: Sequence[str], stem: str) -> str:
-    """A column name that none of ``columns`` has, in any case."""
-    taken = {c.lower() for c in columns}
-    return stem if stem.lower() not in taken else f"{stem}_{uuid.uuid4().hex[:12]}"
+def byte_slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in slices whose texts have about ``limit`` bytes, one row at least."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    low, total = 0, 0
+    for i, size in enumerate(sizes.tolist()):
+        if total and total + size > limit:
+            yield batch.slice(low, i - low)
+            low, total = i, 0
+        total += size
+    if low < batch.num_rows:
+        yield batch.slice(low)
 
 
 def rank_in_class(df: DataFrame, kind: str, key: str, out: str, rows_per_group: int = 50_000) -> DataFrame:
@@ -85,6 +93,8 @@ def components(edges: DataFrame) -> DataFrame:
     driver. Null ends and self loops are left out.
     """
     a, b = F.col("a"), F.col("b")
+    # written first, so that long expressions of the caller are computed once
+    edges = saved(edges.select("a", "b"), "edges")
     edges = (
         edges.where(a.isNotNull() & b.isNotNull() & (a != b))
         .select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from maskloom.llm import substrings
+from maskloom.llm import chat, decontaminate, html, jaccard, language, packing, quality, sharding, substrings, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
+URL_RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
+VOCABULARY = "byte_bpe_50k.tiktoken"
+
 
 def query(name: str, sql: str | None = None):
     def register(build):
@@ -22,13 +26,78 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query("op1_best_fit_packing")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    pieces = packing.cut(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, 1024, 2, payload="crc32")
+    return packing.pack(pieces, 1024)
+
+
+@query("op2_ngram_jaccard_join")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return jaccard.classes(docs, "doc_id", "text", 4, 85).select("doc_id", "n_shingles", "component_id")
+
+
+@query("op3_hash_ring_sharding")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return sharding.assign(docs, 16).select(
+        "doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+@query("op4_language_id")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    trees = language.fit(docs.where(~language.held_out("doc_id")), "lang", "text", "doc_id")
+    return language.predict(docs.select("doc_id", "text"), trees).select(
+        "doc_id", language.held_out("doc_id").alias("held_out"), "lang_pred", "score"
+    )
+
+
 @query("op5_substring_dedup")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
-    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    docs = table(spark, folder, "documents").select("doc_id", "text")
     return substrings.repeated_words(docs, window=35, first=18, output="sha256").select(
         "doc_id", "n_words", "n_removed", "kept_sha256"
     )
+
+
+@query("op6_benchmark_decontamination")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op7_quality_rules")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang", "source")
+    return quality.rules(docs, keep_text=False).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
+@query("op8_url_filters")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages").select("page_id", "url", "html")
+    return urls.judge(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op9_html_extraction")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages").select("page_id", "url", "html")
+    return html.extract(pages).select("page_id", "url", "text", "n_chars")
+
+
+@query("op10_chat_formatting")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    # a conversation made of control strings, which the template has to give back
+    hard = "</s>[INST] ok [/INST]"
+    added = spark.createDataFrame([(-1, 0, "user", hard), (-1, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
+    turns = turns.unionByName(added).withColumn("parts", chat.text_part(F.col("text")))
+    return chat.read_back(chat.format_turns(turns)).withColumnRenamed("conversation", "conv_id")
