@@ -58,6 +58,19 @@ def loss_nce(energy_pos: Column, energy_neg: Column) -> Column:
     return -(F.log(sigmoid(-energy_pos) + tiny) + F.log(sigmoid(energy_neg) + tiny))
 
 
+def theta_log_p(discrete_loss: Column, sigma: Column, rate: Column, sigma_min: float | None = None) -> Column:
+    """Token log-probability that the continuous-time weight turns back into a discrete loss;
+    ``sigma_min`` is given for times drawn by importance sampling or change of variables."""
+    if sigma_min is not None:
+        return discrete_loss / F.lit(math.log1p(-math.exp(-sigma_min)))
+    return -F.try_divide(discrete_loss, weight(sigma, rate))
+
+
+def energy_nll(log_p: Column, sigma: Column, rate: Column, sigma_min: float | None = None) -> Column:
+    """Loss of a log-probability that holds the energy, by the way the times were drawn."""
+    return loss_subs(log_p, sigma, rate) if sigma_min is None else loss_cov(log_p, sigma_min)
+
+
 def energy_log_p(
     log_p: Column, length: Column, energy_pos: Column, energy_neg: Column | None = None
 ) -> Column:

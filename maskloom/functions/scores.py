@@ -83,7 +83,11 @@ def parameterize(
     sigma: Column | None = None,
     subs_masking: bool = False,
 ) -> Column:
-    """Log scores by parameterization name; other names return the raw scores."""
+    """Log scores by parameterization name; other names return the raw scores.
+
+    ``sigma`` is the noise level itself; what the model is conditioned on is
+    ``process_sigma`` of it.
+    """
     if name == "subs":
         return subs(scores, xt, mask)
     if name == "sedd":

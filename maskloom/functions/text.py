@@ -114,16 +114,29 @@ def detok_for(corpus: Column, text: Column) -> Column:
     )
 
 
+class _Unmarked(dict):
+    """A translation table that drops combining marks and learns a character when it sees it."""
+
+    def __missing__(self, code: int) -> int | None:
+        self[code] = None if unicodedata.category(chr(code)) == "Mn" else code
+        return self[code]
+
+
+_UNMARKED = _Unmarked()
+
+
+def _plain(value: str | None) -> str | None:
+    if value is None:
+        return None
+    apart = unicodedata.normalize("NFD", value)
+    # lower case per character: word-final sigma is not special here
+    lowered = "".join(c.lower() for c in apart) if "\u03a3" in apart else apart.lower()
+    return lowered.translate(_UNMARKED)
+
+
 @F.pandas_udf(T.StringType())
 def _decompose(text: pd.Series) -> pd.Series:
-    def plain(value: str | None) -> str | None:
-        if value is None:
-            return None
-        # lower case per character: word-final sigma is not special here
-        lowered = "".join(c.lower() for c in unicodedata.normalize("NFD", value))
-        return "".join(c for c in lowered if unicodedata.category(c) != "Mn")
-
-    return text.map(plain)
+    return text.map(_plain)
 
 
 def norm_bpe(text: Column) -> Column:

@@ -7,6 +7,8 @@ plain ``replace``. Training never leaves the JVM.
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -19,7 +21,6 @@ from maskloom.session import shared_dir
 
 CANDIDATES = 1024
 PENDING_ROUNDS = 20
-WORDS_PER_TASK = 2_000
 MEMO_WORDS = 500_000
 
 
@@ -60,6 +61,21 @@ class BpeModel:
         rows = [(rank, *merge) for rank, merge in enumerate(self.merges)]
         return spark.createDataFrame(rows, "rank int, left int, right int, merged int")
 
+    def mark(self) -> str:
+        """A digest of the contents."""
+        return hashlib.sha256(json.dumps([self.tokens, self.merges]).encode()).hexdigest()
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Write both tables; a model of any earlier contents is replaced."""
+        self.vocab_table(spark).coalesce(1).write.mode("overwrite").parquet(f"{path}/vocab")
+        self.merge_table(spark).coalesce(1).write.mode("overwrite").parquet(f"{path}/merges")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> BpeModel:
+        vocab = spark.read.parquet(f"{path}/vocab").orderBy("id").collect()
+        merges = spark.read.parquet(f"{path}/merges").orderBy("rank").collect()
+        return cls([r["token"] for r in vocab], [(r["left"], r["right"], r["merged"]) for r in merges])
+
 
 def _symbol_words(words: DataFrame, alphabet: list[str]) -> DataFrame:
     first = len(BPE_SPECIALS)
@@ -141,12 +157,8 @@ def bpe_train(
     )
     model = BpeModel([*BPE_SPECIALS, *alphabet])
     ids = {token: i for i, token in enumerate(model.tokens)}
-    # Rounds are many and short: tasks follow the number of word types and of cores,
-    # where adaptive coalescing by bytes would leave one and the shuffle setting too many.
-    cores = spark.sparkContext.defaultParallelism
-    tasks = max(1, min(cores, -(-base.count() // WORDS_PER_TASK)))
     symbols = _symbol_words(base, alphabet).where(F.length("sym") > 1)
-    current = symbols.repartition(tasks, "sym").checkpoint()
+    current = symbols.repartition("sym").checkpoint()
     held, pending = None, 0
     while len(ids) < vocab_size:
         top = _top_pairs(current, candidates)

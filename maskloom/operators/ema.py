@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from maskloom.operators.order import ranked
 
-CHUNK = 512
+# a replayed chunk copies its prefix at every step, so chunks are short and levels three
+CHUNK = 64
+LEVELS = 2
 
 
 def decay_at(k: Column, decay: float) -> Column:
@@ -81,7 +83,7 @@ def ema_warmup(
     decay: float = 0.9999,
     state: DataFrame | None = None,
     chunk: int = CHUNK,
-    levels: int = 1,
+    levels: int = LEVELS,
 ) -> DataFrame:
     """The moving average after every row: ``(by..., k, shadow)``.
 

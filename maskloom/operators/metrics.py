@@ -6,7 +6,8 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from maskloom.functions.arrays import let, total
+from maskloom.functions.arrays import at, let, replace_at, total
+from maskloom.functions.scores import NEG_INFINITY, logsumexp
 
 
 def _sums(df: DataFrame, nll: str, mask: str, by: list[str]) -> DataFrame:
@@ -82,15 +83,83 @@ def cross_entropy_weighted(
     return df.groupBy(*by).agg(F.try_divide(F.sum(ce * w), F.sum(w)).alias("loss"))
 
 
-def energy_residual(ar: DataFrame, diffusion: DataFrame, seq: str) -> DataFrame:
-    """Sequence energy: diffusion log-probability minus autoregressive log-probability.
-
-    Both inputs hold one ``log_p`` per position. Each side is summed before the
-    join, so a sequence of any length meets as one row.
+def sequence_energy(
+    scores: DataFrame,
+    candidates: DataFrame,
+    seq: str,
+    pos: str,
+    mask: int,
+    ar: str = "ar",
+    diffusion: str = "diffusion",
+    xt: str = "xt",
+    tokens: str = "tokens",
+    carry_over: bool = True,
+) -> DataFrame:
+    """Energy of whole candidate sequences: diffusion minus autoregressive log-probability.
+
+    ``scores`` holds the raw score arrays of both models per position; ``candidates`` holds the
+    noisy token ``xt`` and an array with the token of each candidate. The diffusion side takes
+    the substituted scores of a position for its own token; visible tokens have probability
+    one. The autoregressive side takes the scores of a position, without the mask entry, for
+    the token of the next one; with ``carry_over`` visible tokens have probability one there
+    too. Returns ``(seq, energies, n, missing)``: an energy per candidate, the number of
+    positions and of those without scores, whose sequence has null energies. The score table
+    is read once and moved once.
     """
-    left = ar.groupBy(seq).agg(F.sum("log_p").alias("_ar"))
-    right = diffusion.groupBy(seq).agg(F.sum("log_p").alias("_diffusion"))
-    return left.join(right, seq).select(seq, (F.col("_diffusion") - F.col("_ar")).alias("energy"))
+    s, y, x = F.col(diffusion), F.col(tokens), F.col(xt)
+    after = candidates.select(
+        seq, (F.col(pos) - 1).alias(pos), F.col(tokens).alias("_next"), F.col(xt).alias("_next_xt")
+    )
+    cells = candidates.select(seq, pos, xt, tokens).join(after, [seq, pos], "left")
+    rows = cells.join(scores.select(seq, pos, ar, diffusion), [seq, pos], "left")
+
+    # one logarithm of sums serves all candidates of a position
+    def own(z: Column) -> Column:
+        hidden = lambda t: at(s, t) + F.when(t == mask, NEG_INFINITY).otherwise(0.0) - z
+        visible = lambda t: F.when(t == x, 0.0).otherwise(NEG_INFINITY)
+        return F.transform(y, lambda t: F.when(x == mask, hidden(t)).otherwise(visible(t)))
+
+    def following(z: Column) -> Column:
+        def one(t: Column) -> Column:
+            scored = F.when(t == mask, F.lit(NEG_INFINITY)).otherwise(at(F.col(ar), t)) - z
+            if not carry_over:
+                return scored
+            kept = F.when(t == F.col("_next_xt"), 0.0).otherwise(NEG_INFINITY)
+            return F.when(F.col("_next_xt") == mask, scored).otherwise(kept)
+
+        return F.transform("_next", one)
+
+    hushed = F.transform(s, lambda v, i: F.when(i == mask, v + NEG_INFINITY).otherwise(v))
+    parts = rows.select(
+        seq,
+        let(logsumexp(hushed), own).alias("_own"),
+        let(logsumexp(replace_at(F.col(ar), mask, NEG_INFINITY)), following).alias("_following"),
+        F.col("_next").isNotNull().alias("_inner"),
+        (s.isNotNull() & F.col(ar).isNotNull()).alias("_have"),
+    )
+    # the last position of a sequence has no next token
+    terms = F.when(
+        F.col("_inner"), F.zip_with("_own", "_following", lambda a, b: a - b)
+    ).otherwise(F.col("_own"))
+    # a position without scores becomes one row without a candidate
+    terms = F.when(F.col("_have"), terms)
+    flat = parts.select(seq, F.posexplode_outer(terms).alias("_cand", "_term"))
+    per = flat.groupBy(seq, "_cand").agg(F.sum("_term").alias("_e"), F.count(F.lit(1)).alias("_n"))
+    found = F.transform(
+        F.sort_array(F.collect_list(F.when(F.col("_cand").isNotNull(), F.struct("_cand", "_e")))), lambda c: c["_e"]
+    )
+    whole = per.groupBy(seq).agg(
+        found.alias("_energies"),
+        F.max(F.when(F.col("_cand").isNotNull(), F.col("_n"))).alias("_scored"),
+        F.max(F.when(F.col("_cand").isNull(), F.col("_n"))).alias("_unscored"),
+    )
+    missing = F.coalesce("_unscored", F.lit(0))
+    return whole.select(
+        seq,
+        F.when(missing == 0, F.col("_energies")).alias("energies"),
+        (F.coalesce("_scored", F.lit(0)) + missing).alias("n"),
+        missing.alias("missing"),
+    )
 
 
 def counted_tokens(windows: DataFrame, ids: str, eos: int, keep: list[str]) -> DataFrame:
@@ -111,9 +180,10 @@ def gen_ppl(tokens: DataFrame, scores: DataFrame, keys: list[str]) -> DataFrame:
     """Perplexity of counted tokens under a ``(keys..., lp)`` score table.
 
     Keys are the window and position for a model's scores, or the token id for a
-    table of vocabulary size. Tokens without a score count as missing.
+    table of vocabulary size. Tokens without a score, or with NaN, count as missing.
     """
-    sums = tokens.join(scores, keys, "left").agg(
+    scored = tokens.join(scores, keys, "left").withColumn("lp", F.nanvl("lp", F.lit(None)))
+    sums = scored.agg(
         F.sum(-F.col("lp")).alias("_nll"),
         F.count("lp").alias("_weight"),
         F.count_if(F.col("lp").isNull()).alias("unscored"),

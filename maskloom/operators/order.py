@@ -16,50 +16,37 @@ from maskloom.functions.rand import uniform
 
 ROWS_PER_BUCKET = 10_000
 COARSE_BUCKETS = 1024
-MAX_BUCKETS = 1 << 20
-HASH_BUCKETS = 1 << 16
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """One partition per core for an input that comes in fewer splits than cores.
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """Deal rows over the partitions that ``spark.maskloom.inputPartitions`` asks for.
 
-    A table of more splits, as any large one is, passes through without a shuffle; so
-    does a result that a shuffle has laid out already.
+    For inputs in fewer splits than cores. Without the setting nothing is shuffled.
     """
-    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+    asked = df.sparkSession.conf.get("spark.maskloom.inputPartitions", None)
+    return df.repartition(int(asked), key) if asked else df
 
 
 @dataclass(frozen=True)
 class Ranges:
-    """Order-preserving buckets of a numeric key: quantile ranges, each cut evenly."""
+    """Order-preserving buckets of a numeric key, cut at quantiles of the keys."""
 
-    low: float
     cuts: list[float]
-    high: float
-    fine: int
 
     def add(self, df: DataFrame, key: str, name: str) -> DataFrame:
-        value = F.col(key).cast("double")
         if not self.cuts:
-            coarse, starts, widths = df.withColumn(name, F.lit(0)), F.lit(self.low), self.high - self.low
-            width = F.lit(float(widths))
-        else:
-            edges = [float("-inf"), *self.cuts, float("inf")]
-            numeric = df.withColumn(name + "_in", value)
-            coarse = Bucketizer(splits=edges, inputCol=name + "_in", outputCol=name).transform(numeric)
-            coarse = coarse.withColumn(name, F.col(name).cast("int")).drop(name + "_in")
-            ends = [self.low, *self.cuts, self.high]
-            starts = F.get(F.lit(ends[:-1]), F.col(name))
-            width = F.get(F.lit([b - a for a, b in zip(ends, ends[1:])]), F.col(name))
-        if self.fine == 1:
-            return coarse
-        # the share of the range below the key, in order even where ids are uneven
-        share = F.coalesce(F.try_divide(value - starts, width), F.lit(0.0))
-        part = F.least(F.floor(share * self.fine), F.lit(self.fine - 1)).cast("int")
-        return coarse.withColumn(name, F.col(name) * self.fine + F.greatest(part, F.lit(0)))
+            return df.withColumn(name, F.lit(0))
+        edges = [float("-inf"), *self.cuts, float("inf")]
+        numeric = df.withColumn(name + "_in", F.col(key).cast("double"))
+        cut = Bucketizer(splits=edges, inputCol=name + "_in", outputCol=name).transform(numeric)
+        return cut.withColumn(name, F.col(name).cast("int")).drop(name + "_in")
+
+
+def _wanted(df: DataFrame, rows: int, rows_per_bucket: int) -> int:
+    """Buckets of about ``rows_per_bucket`` rows, and several per shuffle partition, which
+    evens out how they hash to partitions."""
+    parallel = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(16 * parallel, -(-rows // rows_per_bucket))
 
 
 def ranges(
@@ -67,27 +54,29 @@ def ranges(
     key: str,
     rows_per_bucket: int = ROWS_PER_BUCKET,
     coarse_buckets: int = COARSE_BUCKETS,
-    max_buckets: int = MAX_BUCKETS,
 ) -> Ranges:
-    """Buckets of about ``rows_per_bucket`` rows, and several per shuffle partition.
+    """Buckets of equal row counts, whatever the gaps between the keys.
 
-    Reads the key column only; a bounded number of quantiles reaches the driver.
+    Reads the key column only. Up to ``coarse_buckets`` quantiles come from one pass; more
+    buckets are cut at the quantiles of each of these ranges, in a second pass.
     """
-    fractions = F.lit([i / coarse_buckets for i in range(1, coarse_buckets)])
+    shares = F.lit([i / coarse_buckets for i in range(1, coarse_buckets)])
     row = df.agg(
-        F.count(key).alias("n"),
-        F.min(key).alias("low"),
-        F.max(key).alias("high"),
-        F.percentile_approx(key, fractions, 10_000).alias("cuts"),
+        F.count(key).alias("n"), F.percentile_approx(key, shares, 10 * coarse_buckets).alias("cuts")
     ).first()
     if not row["n"]:
-        return Ranges(0.0, [], 0.0, 1)
-    parallel = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # several buckets per partition even out how they hash to partitions
-    wanted = min(max_buckets, max(16 * parallel, -(-row["n"] // rows_per_bucket)))
+        return Ranges([])
+    wanted = _wanted(df, row["n"], rows_per_bucket)
     coarse = min(wanted, coarse_buckets)
-    picked = {float(row["cuts"][i * coarse_buckets // coarse - 1]) for i in range(1, coarse)}
-    return Ranges(float(row["low"]), sorted(picked), float(row["high"]), -(-wanted // coarse))
+    cuts = {float(row["cuts"][i * coarse_buckets // coarse - 1]) for i in range(1, coarse)}
+    fine = -(-wanted // coarse)
+    if fine > 1:
+        inner = F.lit([i / fine for i in range(1, fine)])
+        within = Ranges(sorted(cuts)).add(df.select(key), key, "_bucket").groupBy("_bucket")
+        # as many numbers as there are buckets
+        for part in within.agg(F.percentile_approx(key, inner, max(1000, 10 * fine)).alias("cuts")).collect():
+            cuts.update(float(c) for c in part["cuts"] or [])
+    return Ranges(sorted(cuts))
 
 
 def _rank_in_buckets(
@@ -155,9 +144,14 @@ def shuffled(
     seed: object,
     key: str,
     by: list[str] | None = None,
-    buckets: int = HASH_BUCKETS,
+    buckets: int | None = None,
 ) -> DataFrame:
-    """Add ``rank`` in a random order that depends on the seed and the key only."""
+    """Add ``rank`` in a random order that depends on the seed and the key only.
+
+    Without a number the hash buckets follow the row count.
+    """
+    if buckets is None:
+        buckets = _wanted(df, df.count(), ROWS_PER_BUCKET)
     drawn = df.withColumn("_u", uniform(seed, key)).withColumn(
         "_bucket", F.floor(F.col("_u") * buckets).cast("int")
     )

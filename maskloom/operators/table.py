@@ -6,18 +6,17 @@ from pyspark.sql import DataFrame, functions as F
 
 
 def join_scores(scores: DataFrame, tokens: DataFrame, keys: list[str]) -> DataFrame:
-    """Score rows with their token rows: one row per (sequence, position) on each side.
+    """Token rows with their score rows: one row per (sequence, position) on each side.
+
+    A token row without scores stays, with nulls.
 
     Joined on the full key, never on the sequence alone, so that a sequence with a
     large share of all positions is still spread by position.
     """
-    return scores.join(tokens, keys)
+    return tokens.join(scores, keys, "left")
 
 
-def to_long(df: DataFrame, keys: list[str], scores: str, limit: int = 1 << 16) -> DataFrame:
-    """One row per token; a vocabulary above ``limit`` is refused, as rows grow with it."""
-    checked = F.when(
-        F.size(scores) > limit,
-        F.raise_error(F.lit("the vocabulary is too large for the long form")).cast("array<double>"),
-    ).otherwise(F.col(scores))
-    return df.select(*keys, F.posexplode(checked).alias("token_id", "score"))
+def to_long(df: DataFrame, keys: list[str], scores: str) -> DataFrame:
+    """One row per token: rows times the vocabulary. The array form is a row per position,
+    which is what the other operators work on."""
+    return df.select(*keys, F.posexplode(scores).alias("token_id", "score"))

@@ -57,12 +57,18 @@ def decode_table(df: DataFrame, vocab: DataFrame, ids: str = "ids", joiner: str
 
 
 def word_counts(df: DataFrame, text: str = "text") -> DataFrame:
-    """Normalized white-space words with their frequencies."""
-    return (
-        df.select(F.explode(split_whitespace(norm_bpe(F.col(text)))).alias("word"))
+    """Normalized white-space words with their frequencies.
+
+    Normalizing neither makes nor removes white space, so words are counted as they stand
+    and only distinct ones are normalized.
+    """
+    raw = (
+        df.select(F.explode(split_whitespace(F.col(text))).alias("word"))
         .groupBy("word")
         .agg(F.count(F.lit(1)).alias("n"))
     )
+    plain = raw.select(norm_bpe(F.col("word")).alias("word"), "n")
+    return plain.where(F.col("word") != "").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def char_alphabet(words: DataFrame, specials: list[str] = BPE_SPECIALS) -> DataFrame:
@@ -162,17 +168,17 @@ def tokenizer_report(df: DataFrame, vocab: DataFrame, source: str, encoded: str,
         F.sum(F.size(encoded)).alias("tokens"),
         F.count_if(F.col(source) != F.col(decoded)).alias("mismatches"),
     )
-    # two one-row results side by side
-    return special_token_resolve(vocab).withColumn("_one", F.lit(1)).join(
-        trips.withColumn("_one", F.lit(1)), "_one"
-    ).drop("_one")
+    # one row as a scalar subquery next to the other one
+    counted = trips.select(F.struct("*").alias("trips")).scalar()
+    return special_token_resolve(vocab).withColumn("_trips", counted).select("*", "_trips.*").drop("_trips")
 
 
 def retokenize(df: DataFrame, ids: str, batch: str, max_length: int, pad: int) -> DataFrame:
     """Cut ids of a second tokenizer, pad to the longest of the batch, add the mask."""
     cut = df.withColumn(ids, F.slice(F.col(ids), 1, max_length))
-    widest = Window.partitionBy(batch)
-    sized = cut.withColumn("_width", F.max(F.size(ids)).over(widest))
+    # only sizes meet per batch, never the ids
+    widths = df.groupBy(F.struct(batch).alias("_batch")).agg(F.least(F.max(F.size(ids)), F.lit(max_length)).alias("_width"))
+    sized = cut.withColumn("_batch", F.struct(batch)).join(widths, "_batch")
     gap = F.col("_width") - F.size(ids)
     return sized.select(
         *[c for c in df.columns if c != ids],

@@ -229,33 +229,55 @@ def prior_mask(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-JOB_SQL = (
-    PACKED
-    + f""", tt AS (SELECT block_id, ids, 0.999::DOUBLE * {sql_u('1t', 'block_id')} + 0.001::DOUBLE AS t FROM blocks),
+# times of a job: one stratum per row of a batch of 512 blocks unless drawn plainly
+PLAIN_U = sql_u("1t", "block_id")
+STRATUM_U = f"(({PLAIN_U} / 512 + (block_id % 512) / 512::DOUBLE) % 1::DOUBLE)"
+EVEN_T = f"(1 - exp(-({_EVEN.format(end=_keep(_LL.sigma_max), start=_keep(_LL.sigma_min)).replace('t *', 'u *').replace('- t', '- u')}))) / 0.999::DOUBLE"
+EVEN_WEIGHT = f"-({_keep(_LL.sigma_min)})"
+
+
+def job_sql(u: str = STRATUM_U, t: str = "u", chance: str = "1 - exp(-sigma)", weight: str = "dsigma / (exp(sigma) - 1)") -> str:
+    return (
+        PACKED
+        + f""", uu AS (SELECT block_id, ids, 0.999::DOUBLE * {u} + 0.001::DOUBLE AS u FROM blocks),
+    tt AS (SELECT block_id, ids, {t} AS t FROM uu),
     ss AS (SELECT *, -ln(1 - 0.999::DOUBLE * t) AS sigma, 0.999::DOUBLE / (1 - 0.999::DOUBLE * t) AS dsigma FROM tt),
-    mm AS (SELECT *, 1 - exp(-sigma) AS chance, dsigma / (exp(sigma) - 1) AS weight FROM ss),
+    mm AS (SELECT *, {chance} AS chance, {weight} AS weight FROM ss),
     job AS (SELECT *, {_masked('ids', 'chance', '1x', 'block_id')} AS xt FROM mm)"""
-)
+    )
 
 
-@query(
-    "corruption_job",
-    f"""WITH {JOB_SQL} SELECT block_id, {s6('t')} AS t, {s6('sigma')} AS sigma, {s6('dsigma')} AS dsigma,
-    {s6('chance')} AS move_chance, {s6('weight')} AS weight, array_to_string(xt, ' ') AS xt FROM job""",
-)
-def corruption_job(spark: SparkSession, folder: str) -> DataFrame:
-    job = corrupt.corruption_job(
-        packed(spark, folder), "block_id", "input_ids", tk.CHAR_MASK, SCHEDULES["loglinear"], seed=1
+JOB_SQL = job_sql()
+
+
+def corrupted(spark: SparkSession, folder: str, **options) -> DataFrame:
+    return corrupt.corruption_job(
+        packed(spark, folder), "block_id", "input_ids", tk.CHAR_MASK, SCHEDULES["loglinear"], seed=1, **options
     )
-    return job.select(
-        "block_id",
-        r6("t").alias("t"),
-        r6("sigma").alias("sigma"),
-        r6("dsigma").alias("dsigma"),
-        r6("move_chance").alias("move_chance"),
-        r6("weight").alias("weight"),
-        joined("xt").alias("xt"),
+
+
+def _job(name: str, sql: str, **options) -> None:
+    @query(
+        name,
+        f"""WITH {sql} SELECT block_id, {s6('t')} AS t, {s6('sigma')} AS sigma, {s6('dsigma')} AS dsigma,
+        {s6('chance')} AS move_chance, {s6('weight')} AS weight, array_to_string(xt, ' ') AS xt FROM job""",
     )
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        numbers = ["t", "sigma", "dsigma", "move_chance", "weight"]
+        job = corrupted(spark, folder, **options)
+        return job.select("block_id", *[r6(c).alias(c) for c in numbers], joined("xt").alias("xt"))
+
+
+_job("corruption_job", JOB_SQL)
+_job("corruption_plain", job_sql(PLAIN_U), batch_size=None)
+_job("corruption_importance", job_sql(t=EVEN_T, weight=EVEN_WEIGHT), importance=True)
+# the last of 1000 grid points has no noise left to add, so the rate stays finite
+_job("corruption_discrete", job_sql(t="floor(u * 1000) / 1000 + 0.001::DOUBLE"), steps=1000)
+_job(
+    "corruption_even",
+    job_sql(chance=f"exp({_keep(_LL.sigma_min)} + t * ({_keep(_LL.sigma_max)} - {_keep(_LL.sigma_min)}))", weight=EVEN_WEIGHT),
+    change_of_variables=True,
+)
 
 
 @query(
@@ -266,9 +288,7 @@ def corruption_job(spark: SparkSession, folder: str) -> DataFrame:
 )
 def mask_share_by_decile(spark: SparkSession, folder: str) -> DataFrame:
     """Flagship: encode, pack, corrupt, and compare the masked share with t."""
-    job = corrupt.corruption_job(
-        packed(spark, folder), "block_id", "input_ids", tk.CHAR_MASK, SCHEDULES["loglinear"], seed=1
-    )
+    job = corrupted(spark, folder)
     masked = F.size(F.filter("xt", lambda x: x == tk.CHAR_MASK))
     return job.groupBy(F.floor(F.col("t") * 10).alias("decile")).agg(
         F.count(F.lit(1)).alias("blocks"),

@@ -7,20 +7,23 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from maskloom.functions import draws as dr, scores as sc
 from maskloom.functions.arrays import argmax
 from maskloom.functions.rand import uniform
-from maskloom.operators import candidates as cd
+from maskloom.operators import candidates as cd, metrics as mt
 from maskloom.operators.topk import topk_noise as gamma_noise
 from maskloom.plans.registry import query, r6, s6, sql_lane, sql_u, sql_u_open, table
 from maskloom.plans.scores import (
     BASE_SQL,
+    HALVED_SQL,
     KEYS,
     LONG_SQL,
     MASK,
     SCHEDULE,
     STAG_SQL,
     SUBS,
+    both_models,
     long_form,
     positions,
     ratio_scores,
+    side_sql,
     subs_scores,
 )
 
@@ -76,14 +79,13 @@ def draw_gumbel(spark: SparkSession, folder: str) -> DataFrame:
     return drawn(spark, folder, dr.gumbel(F.col("s"), "gum", *KEYS))
 
 
-# energy of a candidate: minus the log-probability under halved logits plus that under the logits
+# three candidates per sequence from the substituted probabilities, with their energies
 RESAMPLE_SQL = (
     LONG_SQL
-    + f""", k AS (SELECT *, unnest(range(3))::INTEGER AS cand_id FROM lf),
-  cand AS ({reached('k', 'exp(x - z)', 'cand', 'seq_id', 'pos', 'cand_id', extra=', cand_id')}),
-  hz AS (SELECT seq_id, pos, top / 2 + ln(list_sum(list_transform(s, lambda v: exp((v - top) / 2)))) AS h FROM sc),
-  en AS (SELECT seq_id, cand_id, sum(x - z) - sum(x / 2 - h) AS energy FROM cand
-         JOIN lf USING (seq_id, pos) JOIN hz USING (seq_id, pos) WHERE tok = token GROUP BY seq_id, cand_id),
+    + f""", {HALVED_SQL}, k AS (SELECT *, unnest(range(3))::INTEGER AS cand_id FROM lf),
+  cand AS ({reached('k', f'exp({SUBS})', 'cand', 'seq_id', 'pos', 'cand_id', extra=', cand_id')}),
+  cells AS (SELECT hs.*, cand_id, token::INTEGER AS y FROM hs JOIN cand USING (seq_id, pos)),
+  en AS (SELECT seq_id, cand_id, sum(e) AS energy FROM (SELECT seq_id, cand_id, {side_sql('y').replace('PARTITION BY seq_id', 'PARTITION BY seq_id, cand_id')} AS e FROM cells) GROUP BY ALL),
   mx AS (SELECT *, exp(energy - max(energy) OVER (PARTITION BY seq_id)) AS w FROM en),
   pr AS (SELECT *, sum(w) OVER (PARTITION BY seq_id ORDER BY cand_id) / sum(w) OVER (PARTITION BY seq_id) AS upto,
          {sql_u('pick', 'seq_id')} AS u FROM mx),
@@ -96,20 +98,13 @@ RESAMPLE_SQL = (
     f"WITH {RESAMPLE_SQL} SELECT seq_id, pos, cand_id, token FROM pick JOIN cand USING (seq_id, cand_id)",
 )
 def energy_resample(spark: SparkSession, folder: str) -> DataFrame:
-    scored = cd.scored_candidates(
-        positions(spark, folder),
-        KEYS,
-        sc.softmax(F.col("s")),
-        3,
-        "cand",
-        {
-            "dif": sc.log_softmax(F.col("s")),
-            "ar": sc.log_softmax(F.transform("s", lambda v: v / 2)),
-        },
-    )
-    energy = scored.groupBy("seq_id", "cand_id").agg((F.sum("dif") - F.sum("ar")).alias("energy"))
+    rows = positions(spark, folder)
+    drawn_ = dr.draw_many(F.transform(subs_scores(), F.exp), 3, "cand", *KEYS)
+    cells = rows.select(*KEYS, "xt", drawn_.alias("tokens"))
+    found = mt.sequence_energy(both_models(rows), cells, "seq_id", "pos", MASK)
+    energy = found.select("seq_id", F.posexplode("energies").alias("cand_id", "energy"))
     picked = cd.energy_resample(energy, "seq_id", "energy", 1.0, "pick")
-    return scored.join(picked, ["seq_id", "cand_id"]).select(*KEYS, "cand_id", "token")
+    return cells.join(picked, "seq_id").select(*KEYS, "cand_id", F.get("tokens", F.col("cand_id")).alias("token"))
 
 
 @query(

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from maskloom.operators import ema, metrics as mt, sequence as sq, tokens as tk
+from maskloom.functions.rand import uniform
+from maskloom.operators import ema, evaluate as ev, metrics as mt, sequence as sq, tokens as tk
 from maskloom.operators.config import config_violations
-from maskloom.plans.registry import query, r6, s6, table
-from maskloom.plans.tokens import PACKED, packed
+from maskloom.plans.registry import joined, query, r6, s6, sql_u, table
+from maskloom.plans.tokens import PACKED, SQL_DECODE, packed
 
 # one loss row per line item: split, epoch, a loss with some NaN, and a mask
 LOSS_SQL = """x AS (SELECT l_orderkey, l_linenumber, l_linestatus AS split, year(l_shipdate)::INTEGER AS epoch,
@@ -68,34 +69,66 @@ def masked_batch_loss(spark: SparkSession, folder: str) -> DataFrame:
     return mt.masked_batch_loss(rows, "nll", "mask", ["batch_id"]).select("batch_id", r6("loss").alias("loss"))
 
 
-UNIGRAM_SQL = (
+# generated samples: packed blocks decoded to text, encoded as code points, cut at 256, padded
+# with 0 to the longest of 8, read in windows of 64
+RETOKENIZED_SQL = (
     PACKED
-    + """, uni AS (SELECT id, ln(count(*) / sum(count(*)) OVER ()) AS lp FROM (SELECT unnest(ids) AS id FROM blocks) GROUP BY id),
-    win AS (SELECT block_id, w, list_slice(ids, w * 64 + 1, w * 64 + 64) AS ids FROM blocks, (VALUES (0), (1)) AS k(w)),
-    cells AS (SELECT block_id, w, unnest(ids) AS id, generate_subscripts(ids, 1) AS i, list_position(ids, 3) AS f FROM win)"""
+    + f""", coded AS (SELECT block_id, block_id // 8 AS batch_id, list_slice(list_transform(list_filter(string_split({SQL_DECODE.format('ids')}, ''),
+      lambda c: c <> ''), lambda c: unicode(c)), 1, 256) AS f FROM blocks),
+    wide AS (SELECT *, max(len(f)) OVER (PARTITION BY batch_id) AS w FROM coded),
+    ret AS (SELECT block_id, batch_id, len(f) AS used, list_concat(f, list_transform(range(w - len(f)), lambda x: 0)) AS ids FROM wide)"""
 )
+# a log-probability per counted position; some are missing and some are NaN
+SCORED_SQL = (
+    RETOKENIZED_SQL
+    + f""", win AS (SELECT block_id, k AS window_id, list_slice(ids, k * 64 + 1, k * 64 + 64) AS ids FROM
+      (SELECT block_id, ids, unnest(range((len(ids) - 1) // 64 + 1)) AS k FROM ret)),
+    cells AS (SELECT block_id, window_id, unnest(ids) AS id, generate_subscripts(ids, 1) - 1 AS i, list_position(ids, 0) - 1 AS f FROM win),
+    kept AS (SELECT *, {sql_u('score', 'block_id', 'window_id', 'i')} AS u FROM cells WHERE i > 0 AND (id <> 0 OR i = f)),
+    scored AS (SELECT CASE WHEN u >= 0.02 THEN -5 * u END AS lp FROM kept)"""
+)
+
+
+def samples(spark: SparkSession, folder: str) -> DataFrame:
+    batch = F.floor(F.col("block_id") / F.lit(8)).cast("long")
+    blocks = packed(spark, folder).select("block_id", batch.alias("batch_id"), F.col("input_ids").alias("ids"))
+    code_points = lambda text: F.transform(tk.characters(text), F.ascii)
+    return ev.retokenized(
+        blocks, "ids", "batch_id", lambda ids: tk.decode_ids(ids, tk.CHAR_VOCAB), code_points, 256, 0
+    )
+
 
+def score_table(retokenized: DataFrame) -> DataFrame:
+    """What a model would give for every position of every window."""
+    windows = sq.context_split(retokenized.select("block_id", "ids"), "ids", 64)
+    cells = windows.select("block_id", "window_id", F.posexplode("ids").alias("i", "id"))
+    u = uniform("score", "block_id", "window_id", "i")
+    lp = F.when(u < 0.02, F.lit(float("nan"))).otherwise(u * -5)
+    return cells.where(u >= 0.01).select("block_id", "window_id", "i", lp.alias("lp"))
 
-def unigram(blocks: DataFrame) -> DataFrame:
-    """Log-probability of every token id: a score table of vocabulary size."""
-    counts = blocks.select(F.explode("ids").alias("id")).groupBy("id").agg(
-        F.count(F.lit(1)).alias("n")
+
+def evaluated(spark: SparkSession, folder: str) -> DataFrame:
+    rows = samples(spark, folder)
+    return ev.gen_ppl(rows, "block_id", "ids", score_table(rows), 64, 0)
+
+
+@query(
+    "retokenize",
+    f"""WITH {RETOKENIZED_SQL} SELECT block_id, batch_id, array_to_string(ids, ' ') AS ids, used::INTEGER AS used, len(ids)::INTEGER AS width FROM ret""",
+)
+def retokenize(spark: SparkSession, folder: str) -> DataFrame:
+    used = F.aggregate("attention_mask", F.lit(0), lambda acc, x: acc + x)
+    return samples(spark, folder).select(
+        "block_id", "batch_id", joined("ids").alias("ids"), used.alias("used"), F.size("ids").alias("width")
     )
-    return counts.select("id", F.log(F.col("n") / counts.agg(F.sum("n")).scalar()).alias("lp"))
 
 
 @query(
     "gen_ppl",
-    f"""WITH {UNIGRAM_SQL}, kept AS (SELECT lp FROM cells JOIN uni USING (id) WHERE i > 1 AND (id <> 3 OR i = f))
-    SELECT count(*) AS tokens, {s6('exp(-avg(lp))')} AS gen_ppl FROM kept""",
+    f"""WITH {SCORED_SQL} SELECT count(lp) AS tokens, {s6('exp(-avg(lp))')} AS gen_ppl, count(*) - count(lp) AS unscored FROM scored""",
 )
 def gen_ppl(spark: SparkSession, folder: str) -> DataFrame:
-    blocks = packed(spark, folder).select("block_id", F.col("input_ids").alias("ids"))
-    windows = sq.context_split(blocks, "ids", 64)
-    tokens = mt.counted_tokens(windows, "ids", tk.CHAR_EOS, [])
-    # one row per vocabulary id
-    out = mt.gen_ppl(tokens, F.broadcast(unigram(blocks)), ["id"])
-    return out.select("tokens", r6("gen_ppl").alias("gen_ppl"))
+    return evaluated(spark, folder).select("tokens", r6("gen_ppl").alias("gen_ppl"), "unscored")
 
 
 @query(

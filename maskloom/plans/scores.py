@@ -6,11 +6,11 @@ import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from maskloom.functions import losses as ls, noise, scores as sc
+from maskloom.functions import draws as dr, losses as ls, noise, scores as sc
 from maskloom.functions.rand import uniform
 from maskloom.operators import metrics as mt
 from maskloom.operators.table import join_scores, to_long
-from maskloom.plans.registry import query, r6, s6, sql_u, table
+from maskloom.plans.registry import query, r6, s6, sql_u, sql_u_open, table
 
 LENGTH, VOCAB, MASK = 16, 64, 63
 SCHEDULE = noise.LogLinear()
@@ -234,7 +234,7 @@ def loss_score_entropy(spark: SparkSession, folder: str) -> DataFrame:
 def loss_ar(spark: SparkSession, folder: str) -> DataFrame:
     rows = positions(spark, folder)
     # the target of a position is the token of the next one: an equi-join on the shifted position
-    targets = rows.select("seq_id", (F.col("pos") - 1).alias("pos"), F.col("x0").alias("y"))
+    targets = rows.select("seq_id", (F.col("pos") - 1).alias("pos"), F.col("x0").alias("y")).where("pos >= 0")
     log_p = sc.gather(sc.ar(F.col("s"), MASK), F.col("y"))
     return join_scores(rows.select(*KEYS, "s"), targets, KEYS).select(*KEYS, r6(-log_p).alias("loss"))
 
@@ -274,41 +274,53 @@ def cross_entropy_weighted(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("seq_id", r6("loss").alias("loss"))
 
 
-# Energies. The diffusion side is the substituted log-probability. The autoregressive side scores
-# the same token with halved logits. The negative sample is the neighbouring target token.
+# Energies of the target sequence (p) and of one drawn from the substituted probabilities (n).
+# The diffusion side scores a position's own token, visible ones with probability one. The
+# autoregressive model has halved logits; its position scores the next token, without the mask.
+DRAWN_SQL = f"""ng AS (SELECT seq_id, pos, min(tok) FILTER (WHERE w > 0 AND upto >= u * whole) AS yn FROM
+    (SELECT *, sum(w) OVER (PARTITION BY seq_id, pos ORDER BY tok) AS upto, sum(w) OVER (PARTITION BY seq_id, pos) AS whole,
+     {sql_u_open('neg', 'seq_id', 'pos')} AS u FROM (SELECT seq_id, pos, tok, exp({SUBS}) AS w FROM lf)) GROUP BY seq_id, pos)"""
+
+
+def side_sql(token: str) -> str:
+    """SQL of one position's part of the energy for the candidate in column ``token``."""
+    own = f"CASE WHEN xt = {MASK} THEN s[{token} + 1] - sz ELSE CASE WHEN {token} = xt THEN 0::DOUBLE ELSE -1000000::DOUBLE END END"
+    after = f"lead({token}) OVER (PARTITION BY seq_id ORDER BY pos)"
+    seen = "lead(xt) OVER (PARTITION BY seq_id ORDER BY pos)"
+    following = f"""CASE WHEN {seen} = {MASK} THEN s[{after} + 1] / 2 - hz WHEN {seen} IS NULL THEN 0
+      WHEN {after} = {seen} THEN 0::DOUBLE ELSE -1000000::DOUBLE END"""
+    return f"({own}) - ({following})"
+
+
+HALVED_SQL = f"""hs AS (SELECT *, top / 2 + ln(list_sum(list_transform(s[1:{VOCAB - 1}], lambda v: exp((v - top) / 2)))) AS hz,
+    top + ln(list_sum(list_transform(s[1:{VOCAB - 1}], lambda v: exp(v - top)))) AS sz FROM sc)"""
 ENERGY_SQL = (
     LONG_SQL
-    + f""", half AS (SELECT seq_id, pos, max(x) / 2 + ln(sum(exp((x - m) / 2))) AS hz FROM
-    (SELECT *, max(x) OVER (PARTITION BY seq_id, pos) AS m FROM lf) GROUP BY seq_id, pos),
-  both_ AS (SELECT lf.*, CASE WHEN xt <> {MASK} THEN CASE WHEN tok = xt THEN 0::DOUBLE ELSE -1000000::DOUBLE END
-     ELSE x / 2 - hz END AS ar, x - z AS dif FROM lf JOIN half USING (seq_id, pos)),
-  en AS (SELECT seq_id, -sum(ar) FILTER (tok = x0) + sum(dif) FILTER (tok = x0) AS pos_e,
-    (-sum(ar) FILTER (tok = x0 + 1 AND xt = {MASK} OR tok = x0 AND xt <> {MASK}) +
-     sum(dif) FILTER (tok = x0 + 1 AND xt = {MASK} OR tok = x0 AND xt <> {MASK})) AS neg_e FROM both_ GROUP BY seq_id)"""
+    + f""", {DRAWN_SQL}, {HALVED_SQL}, cand AS (SELECT hs.*, yn::INTEGER AS yn FROM hs JOIN ng USING (seq_id, pos)),
+  pt AS (SELECT seq_id, {side_sql('x0')} AS p, {side_sql('yn')} AS n FROM cand),
+  en AS (SELECT seq_id, sum(p) AS pos_e, sum(n) AS neg_e, count(*) AS n FROM pt GROUP BY seq_id)"""
 )
 
 
-def energies(spark: SparkSession, folder: str, token: Column) -> DataFrame:
-    """Sequence energies of a candidate whose token per position is given."""
-    rows = positions(spark, folder).withColumn("y", token)
-    ar = sc.carry_over_scores(
-        sc.log_softmax(F.transform("s", lambda v: v / 2)), F.col("xt"), MASK
-    )
-    left = rows.select(*KEYS, sc.gather(ar, F.col("y")).alias("log_p"))
-    right = rows.select(*KEYS, sc.log_prob(F.col("s"), F.col("y")).alias("log_p"))
-    return mt.energy_residual(left, right, "seq_id")
+def both_models(rows: DataFrame) -> DataFrame:
+    """Raw scores of the two models: the diffusion logits and, halved, the autoregressive ones."""
+    return rows.select(*KEYS, F.col("s").alias("diffusion"), F.transform("s", lambda v: v / 2).alias("ar"))
 
 
-def positive_negative(spark: SparkSession, folder: str) -> DataFrame:
-    negative = F.when(F.col("xt") == MASK, F.col("x0") + 1).otherwise(F.col("x0"))
-    good = energies(spark, folder, F.col("x0")).withColumnRenamed("energy", "pos_e")
-    bad = energies(spark, folder, negative).withColumnRenamed("energy", "neg_e")
-    return good.join(bad, "seq_id")
+def energies(spark: SparkSession, folder: str) -> DataFrame:
+    """``pos_e`` of the target sequence, ``neg_e`` of a drawn one, ``n`` and ``missing``."""
+    rows = positions(spark, folder)
+    negative = dr.draw(F.transform(subs_scores(), F.exp), "neg", *KEYS)
+    cells = rows.select(*KEYS, "xt", F.array("x0", negative).alias("tokens"))
+    found = mt.sequence_energy(both_models(rows), cells, "seq_id", "pos", MASK)
+    return found.select(
+        "seq_id", F.col("energies")[0].alias("pos_e"), F.col("energies")[1].alias("neg_e"), "n", "missing"
+    )
 
 
-@query("energy_residual", f"WITH {ENERGY_SQL} SELECT seq_id, {s6('pos_e')} AS energy FROM en")
+@query("energy_residual", f"WITH {ENERGY_SQL} SELECT seq_id, {s6('pos_e')} AS energy, 0::BIGINT AS missing FROM en")
 def energy_residual(spark: SparkSession, folder: str) -> DataFrame:
-    return energies(spark, folder, F.col("x0")).select("seq_id", r6("energy").alias("energy"))
+    return energies(spark, folder).select("seq_id", r6("pos_e").alias("energy"), "missing")
 
 
 @query(
@@ -317,24 +329,54 @@ def energy_residual(spark: SparkSession, folder: str) -> DataFrame:
 )
 def loss_nce(spark: SparkSession, folder: str) -> DataFrame:
     loss = ls.loss_nce(F.col("pos_e"), F.col("neg_e"))
-    return positive_negative(spark, folder).select("seq_id", r6(loss).alias("loss"))
+    return energies(spark, folder).select("seq_id", r6(loss).alias("loss"))
 
 
-@query(
-    "nll_energy",
-    f"""WITH {ENERGY_SQL}, lp AS (SELECT seq_id, pos, sigma, rate, {SUBS} AS log_p FROM lf WHERE tok = x0),
-    n AS (SELECT seq_id, count(*) AS n FROM sc GROUP BY seq_id)
-    SELECT seq_id, pos, {s6('-(log_p + (neg_e - pos_e) / n) * (rate / (exp(sigma) - 1))')} AS pair_nll,
-    {s6('-(log_p - pos_e / n) * (rate / (exp(sigma) - 1))')} AS ar_nll FROM lp JOIN en USING (seq_id) JOIN n USING (seq_id)""",
-)
-def nll_energy(spark: SparkSession, folder: str) -> DataFrame:
-    rows = target_log_p(spark, folder).select(*KEYS, "log_p", "sigma", "rate")
-    sizes = rows.groupBy("seq_id").agg(F.count(F.lit(1)).alias("n"))
-    per_sequence = positive_negative(spark, folder).join(sizes, "seq_id")
-    both = rows.join(per_sequence, "seq_id")
-    weight = ls.weight(F.col("sigma"), F.col("rate"))
-    paired = ls.energy_log_p(F.col("log_p"), F.col("n"), F.col("pos_e"), F.col("neg_e"))
-    single = ls.energy_log_p(F.col("log_p"), F.col("n"), F.col("pos_e"))
-    return both.select(
-        *KEYS, r6(-paired * weight).alias("pair_nll"), r6(-single * weight).alias("ar_nll")
+WEIGHT_SQL = "(rate / (exp(sigma) - 1))"
+# in discrete time the substituted mask entry has no probability, so only the first term is left
+U_SQL = f"least(floor(t * {STEPS}) / {STEPS} + 1::DOUBLE / {STEPS}, 1 - 0.0001::DOUBLE)"
+DISCRETE_SQL = f"(CASE WHEN xt = {MASK} THEN -log_p / ({U_SQL}) ELSE 0 END)"
+
+
+def _nll_energy(name: str, theta_sql: str, out_sql: str, theta, sigma_min: float | None) -> None:
+    """Losses with a normalized energy (ar) and with a learned one, which is compared with
+    that of a drawn sequence (pair)."""
+    value = lambda gain: s6(out_sql.format(f"({theta_sql} + ({gain}) / n)"))
+
+    @query(
+        name,
+        f"""WITH {ENERGY_SQL}, lp AS (SELECT seq_id, pos, xt, t, sigma, rate, {SUBS} AS log_p FROM lf WHERE tok = x0)
+        SELECT seq_id, pos, {value('neg_e - pos_e')} AS pair_nll, {value('-pos_e')} AS ar_nll FROM lp JOIN en USING (seq_id)""",
     )
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        rows = target_log_p(spark, folder).withColumn("theta", theta()).select(*KEYS, "theta", "sigma", "rate")
+        both = rows.join(energies(spark, folder), "seq_id", "left")
+        paired = ls.energy_log_p(F.col("theta"), F.col("n"), F.col("pos_e"), F.col("neg_e"))
+        single = ls.energy_log_p(F.col("theta"), F.col("n"), F.col("pos_e"))
+        loss = lambda log_p: r6(ls.energy_nll(log_p, F.col("sigma"), F.col("rate"), sigma_min))
+        return both.select(*KEYS, loss(paired).alias("pair_nll"), loss(single).alias("ar_nll"))
+
+
+def discrete_loss() -> Column:
+    grid = noise.discretize_t(F.col("t"), STEPS)
+    log_mask = sc.gather(subs_scores(), F.lit(MASK))
+    return ls.loss_d3pm(F.col("log_p"), log_mask, F.col("xt"), grid, STEPS, MASK)
+
+
+PLAIN_SQL, COV_SQL = f"-({{}}) * {WEIGHT_SQL}", f"({{}}) * ({COV!r}::DOUBLE)"
+_nll_energy("nll_energy", "log_p", PLAIN_SQL, lambda: F.col("log_p"), None)
+_nll_energy("nll_energy_even", "log_p", COV_SQL, lambda: F.col("log_p"), SCHEDULE.sigma_min)
+_nll_energy(
+    "nll_energy_discrete",
+    f"(-{DISCRETE_SQL} / {WEIGHT_SQL})",
+    PLAIN_SQL,
+    lambda: ls.theta_log_p(discrete_loss(), F.col("sigma"), F.col("rate")),
+    None,
+)
+_nll_energy(
+    "nll_energy_discrete_even",
+    f"({DISCRETE_SQL} / ({COV!r}::DOUBLE))",
+    COV_SQL,
+    lambda: ls.theta_log_p(discrete_loss(), F.col("sigma"), F.col("rate"), SCHEDULE.sigma_min),
+    SCHEDULE.sigma_min,
+)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from maskloom.operators import metrics as mt, sequence as sq, tokens as tk
 from maskloom.plans.metrics import LOSS_SQL, loss_rows
 from maskloom.plans.registry import joined, query, r6, s6, table
-from maskloom.plans.text import SQL_CORPUS, corpus_of, quote, sql_strip
+from maskloom.plans.text import SQL_CORPUS, corpus_of, sql_strip
 from maskloom.plans.tokens import CHARS_SQL, ENC, PACKED, SQL_DECODE, encoded, packed
 from maskloom.session import scratch_path
 from maskloom.sources import corpora
@@ -57,30 +57,39 @@ def chunk_chars(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def _catalog_sql() -> str:
-    def value(v: object) -> str:
-        if v is None:
-            return "NULL"
-        return str(v).lower() if isinstance(v, bool) else quote(v)
-
-    rows = ", ".join(
-        "(" + ", ".join(value(v) for v in (c.name, c.path, c.config, c.text_column, c.holdout, c.detokenizer, c.wrap)) + ")"
-        for c in corpora.CORPORA
-    )
-    return f"cat(name, path, config, text_column, holdout, detokenizer, wrap) AS (VALUES {rows})"
+# written out by hand, so that the comparison does not follow the catalog
+CATALOG_SQL = """cat(name, path, config, text_column, drops, holdout, detokenizer, wrap, streaming, validated_on) AS (VALUES
+    ('wikitext103', 'wikitext', 'wikitext-103-raw-v1', 'text', 'text', 'validation', 'wikitext', true, false, NULL),
+    ('wikitext2', 'wikitext', 'wikitext-2-raw-v1', 'text', 'text', 'validation', 'wikitext', true, false, NULL),
+    ('ptb', 'ptb_text_only', NULL, 'sentence', 'sentence', 'validation', 'ptb', true, false, NULL),
+    ('lambada', 'lambada_test.jsonl', NULL, 'text', 'text', 'validation', 'lambada', true, false, NULL),
+    ('text8', 'text8', NULL, 'text', 'text', 'test', NULL, true, false, NULL),
+    ('text8-crop', 'text8', NULL, 'text', 'text', 'validation', NULL, true, false, 'text8'),
+    ('lm1b', 'lm1b', NULL, 'text', 'text', 'test', 'lm1b', false, false, NULL),
+    ('lm1b-gpt2', 'lm1b', NULL, 'text', 'text', 'test', 'lm1b', true, false, NULL),
+    ('lm1b-streaming', 'lm1b', NULL, 'text', 'text', 'test', 'lm1b', false, true, NULL),
+    ('openwebtext', 'openwebtext', NULL, 'text', 'text', 'validation', NULL, true, false, 'wikitext103'),
+    ('openwebtext-streaming', 'openwebtext', NULL, 'text', 'text', 'validation', NULL, true, true, 'wikitext103'),
+    ('openwebtext-train', 'openwebtext', NULL, 'text', 'text', 'validation', NULL, true, false, 'openwebtext-valid'),
+    ('openwebtext-valid', 'openwebtext', NULL, 'text', 'text', 'validation', NULL, true, false, NULL),
+    ('scientific_papers_arxiv', 'scientific_papers', 'arxiv', 'article', 'article,abstract,section_names', 'validation', 'scientific_papers', true, false, NULL),
+    ('scientific_papers_pubmed', 'scientific_papers', 'pubmed', 'article', 'article,abstract,section_names', 'validation', 'scientific_papers', true, false, NULL),
+    ('ag_news', 'ag_news', NULL, 'text', 'text,label', 'test', NULL, true, false, NULL),
+    ('babylm', '*.train', NULL, 'text', 'text', 'validation', NULL, true, false, NULL))"""
 
 
 @query(
     "corpus_catalog",
-    f"""WITH {_catalog_sql()}, d AS (SELECT doc_id, {SQL_CORPUS} AS corpus FROM documents)
+    f"""WITH {CATALOG_SQL}, d AS (SELECT doc_id, {SQL_CORPUS} AS corpus FROM documents)
     SELECT doc_id, corpus, coalesce(path, corpus) AS path, config, coalesce(text_column, 'text') AS text_column,
-    coalesce(holdout, 'validation') AS holdout, detokenizer, coalesce(wrap, true) AS wrap
+    coalesce(drops, 'text') AS drop, coalesce(holdout, 'validation') AS holdout, detokenizer, coalesce(wrap, true) AS wrap,
+    coalesce(streaming, false) AS streaming, coalesce(validated_on, corpus) AS validated_on
     FROM d LEFT JOIN cat ON name = corpus""",
 )
 def corpus_catalog(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", corpus_of(F.col("source")).alias("corpus"))
     return corpora.describe(docs).select(
-        "doc_id", "corpus", "path", "config", "text_column", "holdout", "detokenizer", "wrap"
+        "doc_id", "corpus", "path", "config", "text_column", "drop", "holdout", "detokenizer", "wrap", "streaming", "validated_on"
     )
 
 
@@ -114,7 +123,8 @@ def drop_source_columns(spark: SparkSession, folder: str) -> DataFrame:
 @query("dataset_cache", f"WITH {ENC} SELECT doc_id, array_to_string(ids, ' ') AS ids FROM enc")
 def dataset_cache(spark: SparkSession, folder: str) -> DataFrame:
     where = scratch_path(spark, "cache")
-    name = corpora.cache_name("documents", "train", 128, True, "characters", folder)
+    source = corpora.content_of(spark, f"{folder}/documents.parquet")
+    name = corpora.cache_name("documents", "train", 128, True, "characters", source)
 
     def build() -> DataFrame:
         return encoded(spark, folder).select("doc_id", "ids")

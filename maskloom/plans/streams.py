@@ -13,9 +13,22 @@ from maskloom.session import scratch_path
 from maskloom.streaming import jobs
 
 
-def stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    schema = table(spark, folder, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+PARTS = 4
+
+
+def stream(df: DataFrame, key: str, path: str) -> DataFrame:
+    """A table as a stream of ``PARTS`` micro-batches in key order, so that state is carried.
+
+    The parts are written one after the other, a file each, as files would arrive.
+    """
+    cuts = df.select(F.percentile_approx(key, [i / PARTS for i in range(1, PARTS)])).first()[0]
+    place = F.lit(0)
+    for cut in cuts:
+        place = place + F.when(F.col(key) > F.lit(cut), 1).otherwise(0)
+    for part in range(PARTS):
+        df.where(place == part).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    source = df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1)
+    return source.parquet(f"{path}/in")
 
 
 def finished(df: DataFrame, path: str, mode: str = "append") -> DataFrame:
@@ -40,40 +53,56 @@ def finished(df: DataFrame, path: str, mode: str = "append") -> DataFrame:
     SELECT doc_id, array_to_string(list_concat({CHARS_SQL.format('text')}, [3]), ' ') AS ids FROM x""",
 )
 def stream_tokenize(spark: SparkSession, folder: str) -> DataFrame:
-    docs = stream(spark, folder, "documents").select(
+    path = scratch_path(spark, "stream-tokenize")
+    docs = stream(table(spark, folder, "documents"), "doc_id", path).select(
         "doc_id",
         corpus_of(F.col("source")).alias("corpus"),
         F.regexp_replace("text", r"([.,:;!?()\[\]])", " $1 ").alias("text"),
     )
     coded = jobs.stream_tokenize(docs, "doc_id", "text", tk.CHAR_EOS, corpus="corpus")
-    done = finished(coded, scratch_path(spark, "stream-tokenize"))
+    done = finished(coded, path)
     return done.select("doc_id", joined("ids").alias("ids"))
 
 
-def packed_stream(spark: SparkSession, folder: str, label: str) -> DataFrame:
-    path = scratch_path(spark, label)
-    docs = stream(spark, folder, "documents").select("doc_id", "text")
+@query("stream_pack", f"WITH {PACKED} SELECT block_id, array_to_string(ids, ' ') AS input_ids FROM blocks")
+def stream_pack(spark: SparkSession, folder: str) -> DataFrame:
+    path = scratch_path(spark, "stream-pack")
+    docs = stream(table(spark, folder, "documents").select("doc_id", "text"), "doc_id", path)
     jobs.stream_pack(
         docs, "doc_id", token_ids(), BLOCK, path, f"{path}/checkpoint", length=token_count()
     ).awaitTermination()
-    return jobs.packed_blocks(spark, path, BLOCK, tk.CHAR_BOS, tk.CHAR_EOS)
+    blocks = jobs.packed_blocks(spark, path, BLOCK, tk.CHAR_BOS, tk.CHAR_EOS)
+    return blocks.select("block_id", joined("input_ids").alias("input_ids"))
 
 
-@query("stream_pack", f"WITH {PACKED} SELECT block_id, array_to_string(ids, ' ') AS input_ids FROM blocks")
-def stream_pack(spark: SparkSession, folder: str) -> DataFrame:
-    blocks = packed_stream(spark, folder, "stream-pack")
-    return blocks.select("block_id", joined("input_ids").alias("input_ids"))
+INGEST_SQL = f"""x AS (SELECT doc_id, source, CASE WHEN corpus LIKE 'wikitext%' THEN {sql_wikitext('t')} WHEN corpus = 'ptb' THEN {sql_ptb('t')}
+        WHEN corpus = 'lm1b' THEN {sql_lm1b('t')} WHEN corpus = 'lambada' THEN {sql_lambada('t')}
+        WHEN corpus LIKE 'scientific_papers%' THEN {sql_lm1b(sql_wikitext('t'))} ELSE t END AS text
+      FROM (SELECT doc_id, source, {SQL_CORPUS} AS corpus, {SPACED} AS t FROM documents)),
+    enc AS (SELECT doc_id, source, list_concat({CHARS_SQL.format('text')}, [3]) AS ids FROM x),
+    toks AS (SELECT doc_id, source, unnest(ids) AS id, generate_subscripts(ids, 1) AS i FROM enc),
+    num AS (SELECT source, id, row_number() OVER (PARTITION BY source ORDER BY doc_id, i) - 1 AS g FROM toks)"""
 
 
 @query(
     "stream_ingest",
-    f"WITH {PACKED} SELECT count(*) AS blocks, sum(list_sum(ids))::BIGINT AS id_sum FROM blocks",
+    f"""WITH {INGEST_SQL} SELECT source, g // 126 AS block_id, '2 ' || array_to_string(list(id ORDER BY g), ' ') || ' 3' AS input_ids
+    FROM num GROUP BY 1, 2 HAVING count(*) = 126""",
 )
 def stream_ingest(spark: SparkSession, folder: str) -> DataFrame:
-    """Stream, tokenize and pack, then compare with the batch result by totals."""
-    blocks = packed_stream(spark, folder, "stream-ingest")
-    added = F.aggregate("input_ids", F.lit(0).cast("long"), lambda acc, x: acc + x)
-    return blocks.agg(F.count(F.lit(1)).alias("blocks"), F.sum(added).alias("id_sum"))
+    """Detokenize, encode and pack a stream, with a remainder for each source."""
+    path = scratch_path(spark, "stream-ingest")
+    docs = stream(table(spark, folder, "documents").select("doc_id", "source", "text"), "doc_id", path)
+    spaced = docs.select(
+        "doc_id",
+        "source",
+        corpus_of(F.col("source")).alias("corpus"),
+        F.regexp_replace("text", r"([.,:;!?()\[\]])", " $1 ").alias("text"),
+    )
+    coded = jobs.stream_tokenize(spaced, "doc_id", "text", tk.CHAR_EOS, corpus="corpus", keep=["source"])
+    blocks = jobs.pack_by_key(coded, "source", "doc_id", "ids", BLOCK, tk.CHAR_BOS, tk.CHAR_EOS)
+    done = finished(blocks, path)
+    return done.select("source", "block_id", joined("input_ids").alias("input_ids"))
 
 
 @query(
@@ -83,17 +112,17 @@ def stream_ingest(spark: SparkSession, folder: str) -> DataFrame:
     SELECT epoch, {s6('v')} AS nll, {s6('v / ln(2)')} AS bpd, {s6('exp(v)')} AS ppl FROM m""",
 )
 def stream_metrics(spark: SparkSession, folder: str) -> DataFrame:
-    rows = stream(spark, folder, "events").select(
+    path = scratch_path(spark, "stream-metrics")
+    rows = stream(table(spark, folder, "events").select("ts", "value", "event_type"), "ts", path).select(
         # the zone-less time is UTC whatever the session's zone is
         F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col("ts")).cast("timestamp").alias("ts"),
         (F.col("value") / 10).alias("nll"),
         F.when(F.col("event_type") == "view", 0).otherwise(1).alias("mask"),
     )
-    path = scratch_path(spark, "stream-metrics")
     jobs.run_metrics(
         jobs.stream_metrics(rows, "nll", "mask", "ts", "1 day", "1 day"), path, f"{path}/checkpoint"
     ).awaitTermination()
-    return spark.read.parquet(f"{path}/data").select(
+    return jobs.latest_metrics(spark, path).select(
         F.convert_timezone(None, F.lit("UTC"), F.col("epoch").cast("timestamp_ntz")).alias("epoch"),
         r6("nll").alias("nll"),
         r6("bpd").alias("bpd"),
@@ -104,7 +133,7 @@ def stream_metrics(spark: SparkSession, folder: str) -> DataFrame:
 @query("stream_ema", f"WITH RECURSIVE {EMA_SQL} SELECT user_id, k, {s6('shadow')} AS shadow FROM e")
 def stream_ema(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "stream-ema")
-    rows = stream(spark, folder, "events").select("user_id", "event_id", "value")
+    rows = stream(table(spark, folder, "events").select("user_id", "event_id", "value"), "event_id", path)
     jobs.stream_ema(
         rows, ["user_id"], "event_id", "value", path, f"{path}/checkpoint"
     ).awaitTermination()

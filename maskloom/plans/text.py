@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from maskloom.functions import text as tx
-from maskloom.operators.order import spread
+from maskloom.operators.order import dealt
 from maskloom.plans.registry import query, table
 
 # the same white space and word classes for the SQL engine's regular expressions
@@ -19,7 +19,7 @@ SPACED = r"regexp_replace(text, '([.,:;!?()\[\]])', ' \1 ', 'g')"
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    return spread(table(spark, folder, "documents").select("doc_id", "source", "text"), "doc_id")
+    return dealt(table(spark, folder, "documents").select("doc_id", "source", "text"), "doc_id")
 
 
 def spaced(spark: SparkSession, folder: str) -> DataFrame:

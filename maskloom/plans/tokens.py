@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from maskloom.functions.rand import uniform
 from maskloom.operators import bpe, sequence as sq, splits as sp, tokens as tk
-from maskloom.operators.order import spread
+from maskloom.operators.order import dealt
 from maskloom.plans.registry import joined, query, sql_u, table
 from maskloom.plans.text import WS
 
@@ -26,7 +26,7 @@ PACKED = (
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    return spread(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
+    return dealt(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
 
 
 def token_ids() -> Column:
@@ -208,24 +208,6 @@ def tokenizer_report(spark: SparkSession, folder: str) -> DataFrame:
     return tk.tokenizer_report(trips, vocab, "wanted", "ids", "got")
 
 
-@query(
-    "retokenize",
-    f"""WITH {ENC}, cut AS (SELECT doc_id, doc_id // 8 AS batch_id, list_slice(ids, 1, 256) AS f FROM enc),
-    wide AS (SELECT *, max(len(f)) OVER (PARTITION BY batch_id) AS w FROM cut)
-    SELECT doc_id, batch_id, array_to_string(list_concat(f, list_transform(range(w - len(f)), lambda x: 3)), ' ') AS ids,
-    len(f)::INTEGER AS used, w::INTEGER AS width FROM wide""",
-)
-def retokenize(spark: SparkSession, folder: str) -> DataFrame:
-    samples = encoded(spark, folder).select(
-        "doc_id", F.floor(F.col("doc_id") / F.lit(8)).cast("long").alias("batch_id"), "ids"
-    )
-    out = tk.retokenize(samples, "ids", "batch_id", 256, tk.CHAR_EOS)
-    used = F.aggregate("attention_mask", F.lit(0), lambda acc, x: acc + x)
-    return out.select(
-        "doc_id", "batch_id", joined("ids").alias("ids"), used.alias("used"), F.size("ids").alias("width")
-    )
-
-
 @query(
     "pack_blocks",
     "WITH "

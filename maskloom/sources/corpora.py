@@ -10,6 +10,7 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from maskloom.functions.text import detok_for, strip
+from maskloom.sources import files
 
 
 @dataclass(frozen=True)
@@ -23,6 +24,8 @@ class Corpus:
     holdout: str = "validation"
     wrap: bool = True
     streaming: bool = False
+    #: corpus that training on this one is validated on, itself if None
+    validated_on: str | None = None
 
 
 # The known corpora. Names that are not listed are read under their own name.
@@ -32,10 +35,13 @@ CORPORA = [
     Corpus("ptb", "ptb_text_only", text_column="sentence", drop="sentence", detokenizer="ptb"),
     Corpus("lambada", "lambada_test.jsonl", detokenizer="lambada"),
     Corpus("text8", "text8", holdout="test"),
-    Corpus("text8-crop", "text8"),
-    Corpus("lm1b", "lm1b", detokenizer="lm1b", holdout="test"),
-    Corpus("openwebtext", "openwebtext"),
-    Corpus("openwebtext-train", "openwebtext"),
+    Corpus("text8-crop", "text8", validated_on="text8"),
+    Corpus("lm1b", "lm1b", detokenizer="lm1b", holdout="test", wrap=False),
+    Corpus("lm1b-gpt2", "lm1b", detokenizer="lm1b", holdout="test"),
+    Corpus("lm1b-streaming", "lm1b", detokenizer="lm1b", holdout="test", wrap=False, streaming=True),
+    Corpus("openwebtext", "openwebtext", validated_on="wikitext103"),
+    Corpus("openwebtext-streaming", "openwebtext", streaming=True, validated_on="wikitext103"),
+    Corpus("openwebtext-train", "openwebtext", validated_on="openwebtext-valid"),
     Corpus("openwebtext-valid", "openwebtext"),
     Corpus(
         "scientific_papers_arxiv",
@@ -62,7 +68,7 @@ def catalog(spark: SparkSession) -> DataFrame:
     """The corpus catalog as a table."""
     schema = (
         "name string, path string, config string, text_column string, drop string, "
-        "detokenizer string, holdout string, wrap boolean, streaming boolean"
+        "detokenizer string, holdout string, wrap boolean, streaming boolean, validated_on string"
     )
     return spark.createDataFrame([tuple(asdict(c).values()) for c in CORPORA], schema)
 
@@ -70,8 +76,7 @@ def catalog(spark: SparkSession) -> DataFrame:
 def describe(df: DataFrame, corpus: str = "corpus") -> DataFrame:
     """Join the catalog by corpus name; unlisted names get the generic settings."""
     known = catalog(df.sparkSession).withColumnRenamed("name", corpus)
-    # the catalog has one row per listed corpus
-    joined = df.join(F.broadcast(known), corpus, "left")
+    joined = df.join(known, corpus, "left")
     generic = Corpus("", "")
     fallback = {
         "text_column": F.lit(generic.text_column),
@@ -80,6 +85,7 @@ def describe(df: DataFrame, corpus: str = "corpus") -> DataFrame:
         "wrap": F.lit(generic.wrap),
         "streaming": F.lit(generic.streaming),
         "path": F.col(corpus),
+        "validated_on": F.col(corpus),
     }
     for name, value in fallback.items():
         joined = joined.withColumn(name, F.coalesce(F.col(name), value))
@@ -93,22 +99,27 @@ def read_text_lines(spark: SparkSession, path: str, pattern: str = "*.train") ->
     by one task in order, which makes (file, block start, running id) a total order;
     blocks are bounded by ``spark.sql.files.maxPartitionBytes``.
     """
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{pattern}")
-    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(folder)
-    if not files:
+    if not files.matching(spark, f"{path.rstrip('/')}/{pattern}"):
         raise ValueError(f"no {pattern} files in {path}")
-    lines = (
-        spark.read.text(path, pathGlobFilter=pattern)
-        .select(
-            F.col("_metadata.file_name").alias("file"),
-            F.col("_metadata.file_block_start").alias("_block"),
-            F.monotonically_increasing_id().alias("_at"),
-            strip(F.col("value")).alias("text"),
-        )
-        .where(F.col("text") != "")
+    value = strip(F.col("value"))
+    return in_file_order(spark.read.text(path, pathGlobFilter=pattern), value, value != "")
+
+
+def in_file_order(lines: DataFrame, text: Column, keep: Column | None = None) -> DataFrame:
+    """``(file, line_no, text)`` of rows as a file source gives them, numbered densely by file
+    name and position over all files.
+
+    One row per file block carries the offsets; no row moves but to its block's window.
+    """
+    placed = lines.select(
+        F.col("_metadata.file_name").alias("file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_at"),
+        text.alias("text"),
+        (F.lit(True) if keep is None else keep).alias("_keep"),
     )
-    blocks = lines.groupBy("file", "_block").agg(F.count(F.lit(1)).alias("_n"))
+    placed = placed.where("_keep").drop("_keep")
+    blocks = placed.groupBy("file", "_block").agg(F.count(F.lit(1)).alias("_n"))
     earlier = (
         Window.partitionBy(F.lit(0))
         .orderBy("file", "_block")
@@ -120,12 +131,27 @@ def read_text_lines(spark: SparkSession, path: str, pattern: str = "*.train") ->
     )
     inside = Window.partitionBy("file", "_block").orderBy("_at")
     return (
-        lines.withColumn("_row", F.row_number().over(inside) - 1)
+        placed.withColumn("_row", F.row_number().over(inside) - 1)
         .join(offsets, ["file", "_block"])
         .select("file", (F.col("_row") + F.col("_before")).cast("long").alias("line_no"), "text")
     )
 
 
+def read_string(spark: SparkSession, path: str, words_per_piece: int = 4096) -> DataFrame:
+    """Pieces ``(piece, text)`` of one long string of blank-separated words, in order.
+
+    The string is split at its blanks by the reader, so that a file without line ends is read
+    by many tasks, and joined again to pieces; no piece holds the whole string. A blank at
+    the very end of a file is lost.
+    """
+    words = in_file_order(spark.read.text(path, lineSep=" "), F.col("value"))
+    last = words.agg(F.max("line_no")).scalar()
+    closed = F.when(F.col("line_no") < last, F.concat("text", F.lit(" "))).otherwise(F.col("text"))
+    pieces = words.select(F.floor(F.col("line_no") / F.lit(words_per_piece)).alias("piece"), "line_no", closed.alias("w"))
+    joined = F.transform(F.sort_array(F.collect_list(F.struct("line_no", "w"))), lambda x: x["w"])
+    return pieces.groupBy("piece").agg(F.array_join(joined, "").alias("text"))
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str = "text string") -> DataFrame:
     """JSON lines with a declared schema; blank lines give no row, broken ones fail."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
@@ -154,22 +180,33 @@ def drop_source_columns(df: DataFrame, corpus: str) -> DataFrame:
 def cache_name(
     corpus: str, mode: str, block_size: int, wrap: bool, tokenizer: str, source: str
 ) -> str:
-    """Cache folder name; tokenizer and source are part of it through a fingerprint."""
+    """Cache folder name; ``tokenizer`` and ``source`` identify contents, see ``content_of``."""
     mark = hashlib.sha256(json.dumps([tokenizer, source]).encode()).hexdigest()[:16]
     kind = "wrapped" if wrap else "unwrapped"
     return f"{corpus}_{mode}_bs{block_size}_{kind}_{mark}.dat"
 
 
+def content_of(spark: SparkSession, path: str) -> str:
+    """A mark of the files below a path: names, lengths and modification times."""
+    listed = json.dumps(sorted(files.listing(spark, path)))
+    return hashlib.sha256(listed.encode()).hexdigest()
+
+
+DONE = "done"
+
+
 def cached(
     spark: SparkSession, folder: str, name: str, build: Callable[[], DataFrame]
 ) -> DataFrame:
-    """Read a table if it was written completely before, else build and write it."""
+    """Read a table if it was written completely before, else build and write it.
+
+    Completion is a one-row table of its own, written last.
+    """
     path = f"{folder.rstrip('/')}/{name}"
-    jvm = spark.sparkContext._jvm
-    done = jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
-    if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
-        build().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    if not files.exists(spark, f"{path}/{DONE}"):
+        build().write.mode("overwrite").parquet(f"{path}/data")
+        spark.range(1).coalesce(1).write.mode("overwrite").parquet(f"{path}/{DONE}")
+    return spark.read.parquet(f"{path}/data")
 
 
 def sink_samples(df: DataFrame, key: str, text: str, step: int, n: int = 2) -> DataFrame:

@@ -9,13 +9,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from maskloom.functions import text as tx
 from maskloom.operators import bpe, sequence as sq, splits as sp, tokens as tk
-from maskloom.operators.order import spread
+from maskloom.operators.order import dealt
 from maskloom.sources.corpora import (
     CORPORA,
     Corpus,
     cache_name,
     cached,
+    content_of,
+    in_file_order,
     read_jsonl,
+    read_string,
     read_text_lines,
 )
 
@@ -34,7 +37,8 @@ DETOKENIZERS: dict[str, Callable[[Column], Column]] = {
 
 @dataclass(frozen=True)
 class Tokenizer:
-    """``add_ids`` adds an ``ids`` column from a text column; ``name`` identifies the vocabulary."""
+    """``add_ids`` adds an ``ids`` column from a text column; ``mark`` identifies the contents
+    of the vocabulary, so that a new one under an old name is told apart."""
 
     name: str
     add_ids: Callable[[DataFrame, str], DataFrame]
@@ -43,6 +47,7 @@ class Tokenizer:
     cls: int
     sep: int
     pad: int
+    mark: str = ""
 
 
 def char_tokenizer() -> Tokenizer:
@@ -51,16 +56,23 @@ def char_tokenizer() -> Tokenizer:
         "characters",
         lambda df, text: df.withColumn("ids", tk.char_encode(F.col(text))),
         *[vocab.index(token) for token in ("[BOS]", "[EOS]", "[CLS]", "[SEP]", "[PAD]")],
+        mark="".join(vocab),
     )
 
 
-def bpe_tokenizer(model: bpe.BpeModel, name: str) -> Tokenizer:
-    """Document borders as the trained vocabulary has them: cls opens, sep closes."""
+def bpe_tokenizer(model: bpe.BpeModel, name: str, first_encoded: bool = False) -> Tokenizer:
+    """Document borders as the trained vocabulary has them: cls opens, sep closes.
+
+    With ``first_encoded`` both are the first id of the encoded border token, which a
+    [CLS] ... [SEP] template turns into cls.
+    """
     place = {token: i for i, token in enumerate(model.tokens)}
+    close = "[CLS]" if first_encoded else "[SEP]"
     return Tokenizer(
         name,
         lambda df, text: bpe.bpe_encode(df, model, text),
-        *[place[token] for token in ("[CLS]", "[SEP]", "[CLS]", "[SEP]", "[PAD]")],
+        *[place[token] for token in ("[CLS]", close, "[CLS]", "[SEP]", "[PAD]")],
+        mark=model.mark(),
     )
 
 
@@ -69,19 +81,23 @@ def find_corpus(name: str) -> Corpus:
     return next((c for c in CORPORA if c.name == name), Corpus(name, name))
 
 
-def with_doc_id(df: DataFrame) -> DataFrame:
-    """Number the rows of a Parquet table by file name and position in the file."""
-    if "doc_id" in df.columns:
-        return df
+def with_doc_id(df: DataFrame, key: str | None = None) -> DataFrame:
+    """Number the rows of Parquet files densely by file name and position in the file.
+
+    ``key`` names a column that numbers them already; null or repeated keys are an error.
+    """
+    if key is not None:
+        bad = df.agg(F.count(F.lit(1)) != F.count_distinct(key)).first()[0]
+        if bad:
+            raise ValueError(f"{key} has nulls or repeats")
+        return df.withColumn("doc_id", F.col(key).cast("long"))
     placed = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-    names = Window.partitionBy(F.lit(0)).orderBy("_file")
     # one row per file
-    files = (
-        placed.select("_file").distinct().withColumn("_no", (F.row_number().over(names) - 1).cast("long"))
-    )
-    return placed.join(files, "_file").select(
-        (F.col("_no") * (1 << 40) + F.col("_row")).alias("doc_id"), *df.columns
-    )
+    counts = placed.groupBy("_file").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(F.lit(0)).orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    files = counts.select("_file", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    others = [F.col(c) for c in df.columns if c != "doc_id"]
+    return placed.join(files, "_file").select((F.col("_before") + F.col("_row")).alias("doc_id"), *others)
 
 
 def load(spark: SparkSession, corpus: str, mode: str, root: str, block_size: int) -> DataFrame:
@@ -92,11 +108,9 @@ def load(spark: SparkSession, corpus: str, mode: str, root: str, block_size: int
         return sp.split_random_exact(lines, "doc_id").where(F.col("split") == mode)
     if corpus == "lambada":
         rows = read_jsonl(spark, f"{root}/{entry.path}")
-        return rows.withColumn("doc_id", F.monotonically_increasing_id())
+        return in_file_order(rows, F.col("text")).select(F.col("line_no").alias("doc_id"), "text")
     if corpus in ("text8", "text8-crop"):
-        whole = spark.read.text(f"{root}/{entry.path}").select(
-            F.monotonically_increasing_id().alias("doc_id"), F.col("value").alias("text")
-        )
+        whole = read_string(spark, f"{root}/{entry.path}").withColumnRenamed("piece", "doc_id")
         # the cropped training split is cut at twice the already doubled block
         train = 2 * block_size if corpus == "text8-crop" else None
         chunks = sq.char_chunks(
@@ -117,7 +131,7 @@ def tokenized(rows: DataFrame, corpus: str, tokenizer: Tokenizer) -> DataFrame:
     text = F.col(entry.text_column)
     if entry.detokenizer:
         text = DETOKENIZERS[entry.detokenizer](text)
-    plain = spread(rows.select("doc_id", text.alias("text")), "doc_id")
+    plain = dealt(rows.select("doc_id", text.alias("text")), "doc_id")
     return tokenizer.add_ids(plain, "text").select("doc_id", "ids")
 
 
@@ -129,26 +143,36 @@ def prepare(
     tokenizer: Tokenizer,
     block_size: int,
     cache_dir: str,
-    wrap: bool = True,
+    wrap: bool | None = None,
     group_size: int | None = 1000,
 ) -> DataFrame:
     """The table that training or evaluation reads, built once and then read from the cache.
 
     ``wrap`` packs documents into blocks, per ``group_size`` rows or over the whole
-    corpus (None); otherwise every document is cut and padded to one row.
+    corpus (None); otherwise every document is cut and padded to one row. The catalog says
+    which, unless it is given. Mode "valid" prepares the held-out split of the corpus that
+    this one is validated on. The cache follows the contents of vocabulary and files.
     """
+    if mode == "valid":
+        corpus = find_corpus(corpus).validated_on or corpus
+        mode = find_corpus(corpus).holdout
+    if wrap is None:
+        wrap = find_corpus(corpus).wrap
     if corpus == "text8" and not wrap:
         raise ValueError("text8 is only prepared as packed blocks")
     size = 2 * block_size if corpus == "text8-crop" and mode == "train" else block_size
     folder = cache_dir.rstrip("/")
+    entry = find_corpus(corpus)
+    parts = (root, "" if corpus == "babylm" else entry.path, entry.config or "")
+    source = content_of(spark, "/".join(p for p in parts if p))
 
     def tokens() -> DataFrame:
         rows = load(spark, corpus, mode, root, size)
         return tokenized(rows, corpus, tokenizer)
 
     def named(stage: str) -> str:
-        identity = f"{tokenizer.name}|{tokenizer.bos}|{tokenizer.eos}|{group_size}|{stage}"
-        return cache_name(corpus, mode, size, wrap, identity, root)
+        identity = f"{tokenizer.mark}|{tokenizer.bos}|{tokenizer.eos}|{tokenizer.cls}|{tokenizer.sep}|{group_size}|{stage}"
+        return cache_name(corpus, mode, size, wrap, identity, source)
 
     def build() -> DataFrame:
         # packing looks at the lengths first, so the ids are written down once

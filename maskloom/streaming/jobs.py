@@ -2,41 +2,51 @@
 
 Operators that carry state between micro-batches run the batch operator inside
 ``foreachBatch``, so a hot key inside a micro-batch is spread like in a batch job.
-State is written per epoch, which makes a repeated epoch overwrite itself.
+State is written per epoch, which makes a repeated epoch overwrite itself; an epoch whose
+state is not whole stops the stream.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from maskloom.functions.text import detok_for
 from maskloom.operators.ema import ema_warmup
 from maskloom.operators.sequence import frame_block, pack_stream
 from maskloom.operators.tokens import append_eos, char_encode
+from maskloom.sources import files
 
 
 def stream_tokenize(
     stream: DataFrame, key: str, text: str, eos: int, corpus: str | None = None,
-    encode: Callable[[Column], Column] = char_encode,
+    encode: Callable[[Column], Column] = char_encode, keep: list[str] | None = None,
 ) -> DataFrame:
-    """Stateless: detokenize, encode, append EOS."""
+    """Stateless: detokenize, encode, append EOS; ``keep`` names columns that stay."""
     body = F.col(text) if corpus is None else detok_for(F.col(corpus), F.col(text))
-    return stream.select(key, append_eos(encode(body), eos).alias("ids"))
+    return stream.select(key, *(keep or []), append_eos(encode(body), eos).alias("ids"))
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+TO_THE_END = {"availableNow": True}
 
 
-def _previous(spark: SparkSession, path: str, epoch: int) -> DataFrame | None:
-    """State left by the epoch before; an epoch always writes one."""
-    before = f"{path}/epoch={epoch - 1}"
-    return spark.read.parquet(before) if _exists(spark, before + "/_SUCCESS") else None
+def _write_state(state: DataFrame, path: str, epoch: int) -> None:
+    """State of an epoch; the marker that says it is whole is written last."""
+    state.write.mode("overwrite").parquet(f"{path}/epoch={epoch}/data")
+    state.sparkSession.range(1).coalesce(1).write.mode("overwrite").parquet(f"{path}/epoch={epoch}/done")
+
+
+def _read_state(spark: SparkSession, path: str, epoch: int) -> DataFrame:
+    if not files.exists(spark, f"{path}/epoch={epoch}/done"):
+        raise RuntimeError(f"the state of epoch {epoch} is gone from {path}; the stream cannot go on")
+    return spark.read.parquet(f"{path}/epoch={epoch}/data")
 
 
 def stream_pack(
@@ -47,12 +57,14 @@ def stream_pack(
     out: str,
     checkpoint: str,
     length: Column | None = None,
+    trigger: dict | None = None,
 ) -> StreamingQuery:
     """Pack a stream; the unfinished block of a micro-batch opens the next one.
 
     Rows are ordered by key inside a micro-batch and by arrival between them. For
     input in key order the blocks equal those of ``pack_blocks_global``. Read them
-    with ``packed_blocks``.
+    with ``packed_blocks``. State that is missing is an error; the last two epochs of
+    it are kept.
     """
     tokens = F.col(ids) if isinstance(ids, str) else ids
     size = F.size(tokens) if length is None else length
@@ -60,8 +72,9 @@ def stream_pack(
 
     def one_batch(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        state = _previous(spark, f"{out}/state", epoch)
-        carried = state.first() if state is not None else None
+        # lengths, places and rows are separate passes
+        batch = batch.persist()
+        carried = _read_state(spark, f"{out}/state", epoch - 1).first() if epoch else None
         offset = carried["offset"] if carried else 0
         # fewer than block_size ids
         rest = carried["ids"] if carried else []
@@ -82,18 +95,55 @@ def stream_pack(
         else:
             top = written.agg(F.max("block")).first()[0]
             seen, rest = (offset if top is None else (top + 1) * body), []
-        spark.createDataFrame([(seen, rest)], "offset bigint, ids array<int>").coalesce(
-            1
-        ).write.mode("overwrite").parquet(f"{out}/state/epoch={epoch}")
+        left_over = spark.createDataFrame([(seen, rest)], "offset bigint, ids array<int>").coalesce(1)
+        _write_state(left_over, f"{out}/state", epoch)
+        files.delete(spark, f"{out}/state/epoch={epoch - 2}")
+        batch.unpersist()
 
     return (
         stream.writeStream.foreachBatch(one_batch)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or TO_THE_END))
         .start()
     )
 
 
+def pack_by_key(
+    stream: DataFrame, by: str, order: str, ids: str, block_size: int, bos: int, eos: int
+) -> DataFrame:
+    """Streaming blocks ``(by, block_id, input_ids)`` of each key, with the ids that do not
+    fill a block carried per key as Spark's own state.
+
+    Rows of a key are taken in the order of ``order`` inside a micro-batch and by arrival
+    between them. A key's rows of one micro-batch meet in one task, so this is for keys that
+    are many; ``stream_pack`` spreads a single stream.
+    """
+    body = block_size - 2
+    kind = stream.schema[by].dataType.simpleString()
+
+    def pack(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        block, rest = state.get if state.exists else (0, [])
+        rows = pd.concat(list(parts)).sort_values(order, kind="stable")
+        held = [np.asarray(rest, np.int32), *[np.asarray(x, np.int32) for x in rows["ids"]]]
+        flat = np.concatenate(held)
+        whole = len(flat) // body
+        for low in range(0, whole, 1024):
+            some = range(low, min(whole, low + 1024))
+            cut = [[bos, *flat[i * body : (i + 1) * body].tolist(), eos] for i in some]
+            yield pd.DataFrame({"key": [key[0]] * len(cut), "block_id": [block + i for i in some], "input_ids": cut})
+        state.update((block + whole, flat[whole * body :].tolist()))
+
+    chosen = stream.select(F.col(by).alias("key"), F.col(order), F.col(ids).alias("ids"))
+    packed = chosen.groupBy("key").applyInPandasWithState(
+        pack,
+        f"key {kind}, block_id bigint, input_ids array<int>",
+        "block bigint, rest array<int>",
+        "append",
+        GroupStateTimeout.NoTimeout,
+    )
+    return packed.withColumnRenamed("key", by)
+
+
 def packed_blocks(spark: SparkSession, out: str, block_size: int, bos: int, eos: int) -> DataFrame:
     """The finished blocks that ``stream_pack`` wrote so far."""
     whole = spark.read.parquet(f"{out}/blocks").where("whole")
@@ -122,21 +172,37 @@ def stream_metrics(
     )
 
 
-def run_metrics(metrics: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Keep the current metric table, one row per epoch, in a folder."""
+def run_metrics(
+    metrics: DataFrame, out: str, checkpoint: str, trigger: dict | None = None
+) -> StreamingQuery:
+    """Write the epochs that a micro-batch changed; rows later than the watermark are left out
+    and the state of closed epochs is dropped. Read with ``latest_metrics``."""
 
     def one_batch(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/data")
+        batch.withColumn("version", F.lit(epoch).cast("long")).write.mode("overwrite").parquet(
+            f"{out}/data/batch={epoch}"
+        )
 
     return (
-        metrics.writeStream.outputMode("complete")
+        metrics.writeStream.outputMode("update")
         .foreachBatch(one_batch)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or TO_THE_END))
         .start()
     )
 
 
+def latest_metrics(spark: SparkSession, out: str) -> DataFrame:
+    """One row per epoch, from the last micro-batch that changed it."""
+    rows = spark.read.parquet(f"{out}/data").drop("batch")
+    names = [c for c in rows.columns if c not in ("epoch", "version")]
+    last = rows.groupBy("epoch").agg(F.max_by(F.struct(*names), "version").alias("m"))
+    return last.select("epoch", *[F.col(f"m.{c}").alias(c) for c in names])
+
+
+COMPACT = 20
+
+
 def stream_ema(
     stream: DataFrame,
     by: list[str],
@@ -145,24 +211,40 @@ def stream_ema(
     out: str,
     checkpoint: str,
     decay: float = 0.9999,
+    trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Moving average with (k, shadow) per key carried between micro-batches."""
+    """Moving average with (k, shadow) per key carried between micro-batches.
+
+    An epoch writes the state of the keys that it changed; every ``COMPACT`` epochs the
+    whole state is written once and what it replaces is deleted.
+    """
+    folder = f"{out}/state"
+
+    def latest(state: DataFrame) -> DataFrame:
+        return state.groupBy(*by).agg(
+            F.max("k").alias("k"), F.max_by("shadow", "k").alias("shadow")
+        )
 
     def one_batch(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        state = _previous(spark, f"{out}/state", epoch)
+        batch = batch.persist()
+        first = (epoch - 1) // COMPACT * COMPACT if epoch else 0
+        parts = [_read_state(spark, folder, e) for e in range(first, epoch)]
+        state = latest(reduce(DataFrame.unionByName, parts)) if parts else None
         path = f"{out}/series/epoch={epoch}"
         ema_warmup(batch, by, order, value, decay, state).write.mode("overwrite").parquet(path)
-        latest = spark.read.parquet(path)
-        if state is not None:
-            latest = latest.unionByName(state)
-        latest.groupBy(*by).agg(
-            F.max("k").alias("k"), F.max_by("shadow", "k").alias("shadow")
-        ).write.mode("overwrite").parquet(f"{out}/state/epoch={epoch}")
+        changed = latest(spark.read.parquet(path).select(*by, "k", "shadow"))
+        if state is not None and epoch % COMPACT == 0:
+            changed = latest(changed.unionByName(state))
+        _write_state(changed, folder, epoch)
+        if epoch % COMPACT == 1 and epoch > COMPACT:
+            for old in range(epoch - 1 - COMPACT, epoch - 1):
+                files.delete(spark, f"{folder}/epoch={old}")
+        batch.unpersist()
 
     return (
         stream.writeStream.foreachBatch(one_batch)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or TO_THE_END))
         .start()
     )

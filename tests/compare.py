@@ -91,6 +91,7 @@ if __name__ == "__main__":
             "spark.sql.shuffle.partitions": os.environ.get("PARTITIONS", "8"),
             "spark.ui.enabled": "false",
             "spark.driver.memory": "12g",
+            "spark.maskloom.inputPartitions": os.environ.get("PARTITIONS", "8"),
             "spark.checkpoint.dir": tempfile.mkdtemp(prefix="run-", dir="/tmp"),
         },
     )

@@ -136,3 +136,24 @@ def test_symbols_keep_id_order():
     assert chars == sorted(chars)
     assert [bpe.symbol_id(c) for c in chars] == list(range(0, 70000, 13))
     "".join(chars).encode("utf-8")
+
+
+def test_save_and_load(spark, tmp_path):
+    texts = corpus(3, "abc", 20, 6)
+    model = trained(spark, texts, 40)
+    model.save(spark, f"{tmp_path}/model")
+    again = bpe.BpeModel.load(spark, f"{tmp_path}/model")
+    assert (again.tokens, again.merges, again.mark()) == (model.tokens, model.merges, model.mark())
+    df = frame(spark, texts)
+    assert bpe.bpe_encode(df, again).collect() == bpe.bpe_encode(df, model).collect()
+
+
+def test_words_are_normalized_once(spark):
+    from pyspark.sql import functions as F
+
+    from maskloom.functions.text import norm_bpe, split_whitespace
+
+    texts = ["Éa éA\u00a0ea", "\u0301 \u0301x X", "ΑΣ ας αΣ", "İ i\u0307 a\u2003b"]
+    df = frame(spark, texts)
+    whole = df.select(F.explode(split_whitespace(norm_bpe(F.col("text")))).alias("w")).groupBy("w").count()
+    assert {tuple(r) for r in tk.word_counts(df).collect()} == {tuple(r) for r in whole.collect()}

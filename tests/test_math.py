@@ -258,8 +258,6 @@ def test_topk_noise(spark):
     assert flat.mean() == pytest.approx(want, abs=0.01)
 
 
-def test_long_form_limit(spark):
-    df = spark.createDataFrame([(0, [1.0, 2.0])], "i int, s array<double>")
-    assert to_long(df, ["i"], "s").count() == 2
-    with pytest.raises(Exception, match="too large"):
-        to_long(df, ["i"], "s", limit=1).collect()
+def test_long_form_of_a_large_vocabulary(spark):
+    df = spark.range(1).select("id", F.transform(F.sequence(F.lit(1), F.lit(70_000)), lambda i: i.cast("double")).alias("s"))
+    assert to_long(df, ["id"], "s").count() == 70_000

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from maskloom.operators import splits as sp
-from maskloom.operators.order import ranges, ranked, shuffled, spread
+from maskloom.operators.order import dealt, ranges, ranked, shuffled
 
 
 def ids(spark, values, parts=3):
@@ -112,10 +112,27 @@ def test_limit_batches(spark):
     assert sp.limit_batches(batched, 3, 1.0).count() == 10
 
 
-def test_spread_leaves_wide_inputs_alone(spark):
-    wide = spark.range(100, numPartitions=8)
-    assert spread(wide, "id") is wide
-    assert spread(spark.range(100, numPartitions=1), "id").rdd.getNumPartitions() == 4
+def test_rows_are_dealt_when_asked(spark):
+    df = spark.range(100, numPartitions=1)
+    assert dealt(df, "id") is df
+    spark.conf.set("spark.maskloom.inputPartitions", "5")
+    try:
+        assert dealt(df, "id").rdd.getNumPartitions() == 5
+    finally:
+        spark.conf.unset("spark.maskloom.inputPartitions")
+
+
+@pytest.mark.parametrize("files", [10, 300, 3000])
+def test_buckets_are_even_for_ids_with_gaps(spark, files):
+    """Ids of rows numbered per file, with a wide gap between files."""
+    rows, wanted = 60_000, 10
+    per_file = rows // files
+    df = spark.range(rows).select(
+        (F.floor(F.col("id") / per_file) * (1 << 40) + F.col("id") % per_file).cast("long").alias("id")
+    )
+    cut = ranges(df, "id", wanted).add(df, "id", "b")
+    sizes = cut.groupBy("b").count().agg(F.max("count"), F.count("b")).first()
+    assert sizes[0] <= 4 * wanted and sizes[1] >= rows // wanted // 4
 
 
 def test_batch_plan(spark):

@@ -201,6 +201,99 @@ def test_cache(spark):
     assert built == [1]
 
 
+def test_cache_follows_contents(spark, tmp_path):
+    from maskloom.operators import bpe
+    from maskloom.sources import prepare as pr
+
+    source, cache = tmp_path / "in", scratch_path(spark, "cache")
+    spark.createDataFrame([("aa ab",)] * 4, "text string").coalesce(1).write.parquet(f"{source}/lm1b-gpt2/lm1b/test")
+    root = f"{source}/lm1b-gpt2"
+
+    def rows(merges, tokens):
+        model = bpe.BpeModel([*tk.BPE_SPECIALS, *tokens], merges)
+        out = pr.prepare(spark, "lm1b", "test", root, pr.bpe_tokenizer(model, "mine"), 8, cache)
+        return [r["input_ids"] for r in out.collect()]
+
+    plain = rows([], ["a", "b"])
+    merged = rows([(7, 7, 9)], ["a", "b", "aa"])
+    assert plain != merged and len(plain) == 4
+    spark.createDataFrame([("b",)], "text string").coalesce(1).write.mode("append").parquet(f"{root}/lm1b/test")
+    assert len(rows([], ["a", "b"])) == 5
+
+
+def test_rows_are_numbered_densely(spark, tmp_path):
+    from maskloom.sources import prepare as pr
+
+    for part, n in enumerate((3, 0, 5, 1)):
+        spark.range(n).withColumn("doc_id", F.lit("mine")).coalesce(1).write.mode("append").parquet(str(tmp_path))
+    df = spark.read.parquet(str(tmp_path))
+    assert sorted(r["doc_id"] for r in pr.with_doc_id(df).collect()) == list(range(9))
+    with pytest.raises(ValueError):
+        pr.with_doc_id(df, "id")
+
+
+def test_energy_of_small_sequences(spark):
+    """Two positions by hand, and a sequence with a position that has no scores."""
+    m = 2
+    scores = [(0, 0, [0.0, 1.0, 5.0], [1.0, 0.0, 9.0]), (0, 1, [2.0, 0.0, 5.0], [0.0, 3.0, 9.0]), (1, 0, [0.0] * 3, [0.0] * 3)]
+    cells = [(0, 0, 2, [0, 1]), (0, 1, 1, [1, 0]), (1, 0, 2, [0, 0]), (1, 1, 2, [0, 0])]
+    got = {
+        r["s"]: r
+        for r in mt.sequence_energy(
+            spark.createDataFrame(scores, "s int, p int, ar array<double>, diffusion array<double>"),
+            spark.createDataFrame(cells, "s int, p int, xt int, tokens array<int>"),
+            "s", "p", m,
+        ).collect()
+    }
+    z = math.log(math.exp(1) + 1)
+    # position 0 is hidden; position 1 shows token 1, which the second candidate changes
+    assert got[0]["energies"][0] == pytest.approx(1 - z)
+    assert got[0]["energies"][1] == pytest.approx(0 - z - 1e6 + 1e6)
+    assert (got[0]["n"], got[0]["missing"]) == (2, 0)
+    assert got[1]["energies"] is None and (got[1]["n"], got[1]["missing"]) == (2, 1)
+
+
+def test_lost_state_stops_the_stream(spark):
+    rows = [(i, [i] * 5) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, ids array<int>")
+    path = scratch_path(spark, "lost")
+    stream = written(spark, df, f"{path}/in", 4, "id")
+    jobs.stream_pack(stream, "id", "ids", 8, path, f"{path}/checkpoint").awaitTermination()
+    with pytest.raises(RuntimeError):
+        jobs._read_state(spark, f"{path}/state", 9)
+    assert not os.path.exists(f"{path}/state/epoch=0")
+
+
+def test_pack_by_key_over_batches(spark):
+    rng = random.Random(4)
+    rows = [(i, rng.choice("abc"), [rng.randint(0, 99) for _ in range(rng.randint(0, 9))]) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, g string, ids array<int>")
+    path = scratch_path(spark, "bykey")
+    stream = written(spark, df, f"{path}/in", 4, "id")
+    blocks = jobs.pack_by_key(stream, "g", "id", "ids", 7, 2, 3)
+    query = blocks.writeStream.format("parquet").option("checkpointLocation", f"{path}/c").trigger(availableNow=True).start(f"{path}/out")
+    query.awaitTermination()
+    got = {(r["g"], r["block_id"]): r["input_ids"] for r in spark.read.parquet(f"{path}/out").collect()}
+    for g in "abc":
+        flat = [x for _, name, ids in rows if name == g for x in ids]
+        for b in range(len(flat) // 5):
+            assert got.pop((g, b)) == [2, *flat[b * 5 : b * 5 + 5], 3]
+    assert not got
+
+
+def test_late_rows_are_left_out(spark):
+    import datetime as dt
+
+    path = scratch_path(spark, "late")
+    start = dt.datetime(2024, 1, 1)
+    rows = [(i, start + dt.timedelta(hours=h), 1.0 + h, 1) for i, h in enumerate([0, 1, 50, 51, 0, 52])]
+    df = spark.createDataFrame(rows, "id long, ts timestamp, nll double, mask int")
+    stream = written(spark, df, f"{path}/in", 6, "id")
+    jobs.run_metrics(jobs.stream_metrics(stream, "nll", "mask", "ts", "1 hour", "1 hour"), path, f"{path}/c").awaitTermination()
+    got = {r["epoch"].hour + 24 * (r["epoch"].day - 1): r["nll"] for r in jobs.latest_metrics(spark, path).collect()}
+    assert got[0] == 1.0 and got[52] == 53.0
+
+
 def test_catalog(spark):
     df = spark.createDataFrame([("ptb",), ("unlisted",), ("scientific_papers_pubmed",)], "corpus string")
     got = {r["corpus"]: r for r in corpora.describe(df).collect()}
