@@ -158,7 +158,9 @@ def bpe_train(
     model = BpeModel([*BPE_SPECIALS, *alphabet])
     ids = {token: i for i, token in enumerate(model.tokens)}
     symbols = _symbol_words(base, alphabet).where(F.length("sym") > 1)
-    current = symbols.repartition("sym").checkpoint()
+    # rounds are many and short; coalescing by bytes would leave them to one task
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    current = symbols.repartition(tasks, "sym").checkpoint()
     held, pending = None, 0
     while len(ids) < vocab_size:
         top = _top_pairs(current, candidates)

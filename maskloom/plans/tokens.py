@@ -119,7 +119,28 @@ def pair_counts(spark: SparkSession, folder: str) -> DataFrame:
     return tk.pair_counts(words(spark, folder))
 
 
-@query("bpe_train")
+def merges_sql(vocab_size: int) -> str:
+    """Greedy training as a recursive query. Its one row holds all words as strings of one
+    code point per symbol, so that a merge is a replacement, and grows by a merge per step."""
+    return f"""{ALPHABET_SQL},
+    sym AS (SELECT word, n, string_agg(chr((id + 1)::INTEGER), '' ORDER BY i) AS s FROM (SELECT word, n,
+      unnest(string_split(word, '')) AS token, generate_subscripts(string_split(word, ''), 1) AS i FROM words) JOIN vocab USING (token) GROUP BY word, n),
+    st AS (SELECT 0 AS step, (SELECT list({{'word': word, 's': s, 'n': n}}) FROM sym) AS w, (SELECT list(token ORDER BY id) FROM vocab) AS tokens,
+        NULL::VARCHAR AS pair, NULL::INTEGER AS new
+      UNION ALL SELECT step + 1, list_transform(w, lambda x: {{'word': x.word, 's': replace(x.s, best.pair, chr((known + 1)::INTEGER)), 'n': x.n}}),
+        CASE WHEN known < len(tokens) THEN tokens ELSE list_append(tokens, text) END, best.pair, known::INTEGER
+      FROM (SELECT *, coalesce(list_position(tokens, text) - 1, len(tokens)) AS known FROM
+        (SELECT st.*, b AS best, tokens[unicode(b.pair)] || tokens[unicode(b.pair[2:2])] AS text FROM st, LATERAL
+          (SELECT {{'pair': pair, 'c': sum(n)}} AS b FROM (SELECT substr(x.s, i, 2) AS pair, x.n AS n FROM
+            (SELECT unnest(st.w) AS x), LATERAL (SELECT unnest(range(1, length(x.s))) AS i)) GROUP BY pair ORDER BY sum(n) DESC, pair LIMIT 1) AS q
+        WHERE len(tokens) < {vocab_size} AND b.c >= 2)))"""
+
+
+@query(
+    "bpe_train",
+    f"""WITH RECURSIVE {merges_sql(300)} SELECT (step - 1)::INTEGER AS rank, (unicode(pair) - 1)::INTEGER AS "left", (unicode(pair[2:2]) - 1)::INTEGER AS "right",
+    new AS merged, tokens[unicode(pair)] AS left_token, tokens[unicode(pair[2:2])] AS right_token FROM st WHERE step > 0""",
+)
 def bpe_train(spark: SparkSession, folder: str) -> DataFrame:
     model = bpe.bpe_train(words(spark, folder), vocab_size=300)
     vocab = model.vocab_table(spark)
@@ -128,7 +149,15 @@ def bpe_train(spark: SparkSession, folder: str) -> DataFrame:
     return model.merge_table(spark).join(left, "left").join(right, "right")
 
 
-@query("bpe_encode")
+@query(
+    "bpe_encode",
+    f"""WITH RECURSIVE {merges_sql(200)}, done AS (SELECT unnest(w, recursive := true) FROM (SELECT w FROM st ORDER BY step DESC LIMIT 1)),
+    d AS (SELECT doc_id, unnest(l) AS word, generate_subscripts(l, 1) AS i FROM
+      (SELECT doc_id, string_split_regex(strip_accents(lower(text)), '{WS}+') AS l FROM documents)),
+    e AS (SELECT doc_id, string_agg(s, '' ORDER BY i) AS s FROM d JOIN done USING (word) GROUP BY doc_id)
+    SELECT doc_id, coalesce(array_to_string(list_transform(list_filter(string_split(s, ''), lambda c: c <> ''), lambda c: unicode(c) - 1), ' '), '') AS ids
+    FROM documents LEFT JOIN e USING (doc_id)""",
+)
 def bpe_encode(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
     model = bpe.bpe_train(tk.word_counts(docs), vocab_size=200)
