@@ -5,9 +5,11 @@
 2. Equal sets become one set. The sets are put in one global order, rare shingles first;
    two sets that link share a shingle among the first ``n - ceil(t n) + 1`` of each.
 3. The sets that have such a shingle in common form a bucket. Each bucket compares its
-   members with one pivot, then those of different classes with one pivot per class, and
-   at last all members that are still in different classes. Pairs inside one class are
-   not needed, since they cannot change it; no other pair is left out.
+   members with one pivot, the set with the fewest shingles of its own, which is nearest to
+   the text that its versions come from; then, round by round, with one pivot among those
+   outside its largest class; and at last all members that are still in different classes.
+   Pairs inside one class are not needed, since they cannot change it; no other pair is left
+   out but those that the lengths and the place of the shingle rule out.
 4. The candidates of a pivot are stored in a prefix tree of their ordered sets (frequent
    shingles first, so that versions of a text share long paths). It is walked once with
    the pivot: a shared path is counted once, and a branch ends where the overlap so far
@@ -20,7 +22,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
@@ -116,6 +118,11 @@ def _fits(percent: int):
     return lengths & (left >= need)
 
 
+def _central() -> Column:
+    """Order of the candidates for a pivot."""
+    return F.struct("lone", (-F.col("n")).alias("less"), "rep")
+
+
 def _as_pairs(joined: DataFrame) -> DataFrame:
     return joined.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
 
@@ -125,39 +132,41 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
 
     def prefixes(batches):
         for batch in batches:
-            token, rep, n, place = [], [], [], []
+            token, rep, n, alone, place = [], [], [], [], []
             for r, size, lone, raw in zip(*(batch.column(c).to_pylist() for c in ("rep", "n", "lone", "tokens"))):
                 own = np.frombuffer(raw, np.int64)[lone : size - least_overlap(size, percent) + 1]
                 token.append(own)
                 rep += [r] * len(own)
                 n += [size] * len(own)
+                alone += [lone] * len(own)
                 place.append(np.arange(lone, lone + len(own), dtype=np.int32))
             if token:
                 yield pa.record_batch(
-                    [pa.array(np.concatenate(token)), pa.array(rep, pa.binary()), pa.array(n, pa.int32()), pa.array(np.concatenate(place))],
-                    names=["token", "rep", "n", "place"],
+                    [pa.array(np.concatenate(token)), pa.array(rep, pa.binary()), pa.array(n, pa.int32()), pa.array(alone, pa.int32()), pa.array(np.concatenate(place))],
+                    names=["token", "rep", "n", "lone", "place"],
                 )
 
-    posted = sets.mapInArrow(prefixes, "token long, rep binary, n int, place int")
-    size = posted.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("rep").alias("pivot")).where("m > 1")
-    posted = saved(posted.join(size, "token"), "prefixes")
+    posted = sets.mapInArrow(prefixes, "token long, rep binary, n int, lone int, place int")
+    size = posted.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min(_central()).alias("c")).where("m > 1")
+    posted = saved(posted.join(size.select("token", F.col("c.rep").alias("pivot")), "token"), "prefixes")
     x, y = posted.where("rep = pivot").alias("x"), posted.where("rep != pivot").alias("y")
     pairs = _as_pairs(x.join(y, F.col("x.token") == F.col("y.token")).where(_fits(percent)))
     tested = saved(pairs, "pairs")
     links = saved(_verify(tested, sets, percent), "links")
-    posted = posted.select("token", "rep", "n", "place")
+    used = posted.where("rep = pivot").select("token", "rep")
+    posted, fruitless = posted.drop("pivot"), 0
     while True:
         marked = _marked(posted, links)
-        if marked.isEmpty():
-            return links
-        # one pivot of every smaller class against the members of the other classes
         outside = marked.where("label != main")
-        chosen = outside.groupBy("token", "label").agg(F.min("rep").alias("rep")).select("token", "rep")
+        if fruitless == 2 or outside.isEmpty():
+            break
+        # one more pivot of each bucket that holds several classes
+        fresh = outside.join(used, ["token", "rep"], "left_anti")
+        chosen = saved(fresh.groupBy("token").agg(F.min(_central()).alias("c")).select("token", F.col("c.rep").alias("rep")), "pivots")
         pairs = saved(_untested(outside.join(chosen, ["token", "rep"]), marked, tested, percent), "pairs")
         found = saved(_verify(pairs, sets, percent), "links")
-        tested = tested.union(pairs)
-        if found.isEmpty():
-            break
+        tested, used = tested.union(pairs), used.union(chosen)
+        fruitless = fruitless + 1 if found.isEmpty() else 0
         links = links.union(found)
     rest = saved(_untested(outside, marked, tested, percent), "pairs")
     return links.union(_verify(rest, sets, percent))
@@ -167,7 +176,7 @@ def _marked(posted: DataFrame, links: DataFrame) -> DataFrame:
     """The members of buckets that hold several classes, with their class and the largest."""
     label = components(links).withColumnRenamed("node", "rep")
     marked = posted.join(label, "rep", "left").select(
-        "token", "rep", "n", "place", F.coalesce("root", "rep").alias("label")
+        "token", "rep", "n", "lone", "place", F.coalesce("root", "rep").alias("label")
     )
     parts = marked.groupBy("token", "label").agg(F.count(F.lit(1)).alias("k"))
     main = (
