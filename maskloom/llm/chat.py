@@ -41,17 +41,18 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(lambda m: m[0][0] + m[0][2:], text)
 
 
-def _patterns() -> tuple[re.Pattern, re.Pattern]:
+def _patterns() -> tuple[str, str]:
     """Control strings with any number of backslashes after the first character, and the
     same with at least one."""
     tails = [r"\|[^<>|\[\]\n]{0,40}\|>", *(re.escape(x[1:]) for x in FOREIGN)]
     heads = ["<", *(re.escape(x[0]) for x in FOREIGN)]
     any_ = "|".join(f"{h}\\\\*{t}" for h, t in dict.fromkeys(zip(heads, tails)))
     some = "|".join(f"{h}\\\\+{t}" for h, t in dict.fromkeys(zip(heads, tails)))
-    return re.compile(any_), re.compile(some)
+    return any_, some
 
 
-_CONTROL, _ESCAPED = _patterns()
+CONTROL, _SOME = _patterns()
+_CONTROL, _ESCAPED = re.compile(CONTROL), re.compile(_SOME)
 
 
 @dataclass

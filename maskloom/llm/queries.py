@@ -37,7 +37,21 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(pieces, 1024)
 
 
-@query("op2_ngram_jaccard_join")
+# words of a text, as the operators read them
+WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
+LOWER = f"translate({{0}}, '{urls.UPPER}', '{urls.LOWER}')"
+
+JACCARD_SQL = f"""WITH RECURSIVE d AS (SELECT doc_id, {WORDS.format(LOWER.format("coalesce(text, '')"))} AS w FROM documents),
+  sh AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 4 THEN w ELSE list_slice(w, k, k + 3) END AS s FROM
+    (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS k FROM d WHERE len(w) > 0)),
+  n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+  both_ AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+  links AS (SELECT x, y FROM both_ JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * o >= 85 * (nx.n + ny.n - o)),
+  reach AS (SELECT doc_id, doc_id AS r FROM d UNION SELECT y, r FROM reach JOIN links ON x = reach.doc_id)
+  SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, min(r) AS component_id FROM d LEFT JOIN n USING (doc_id) JOIN reach USING (doc_id) GROUP BY ALL"""
+
+
+@query("op2_ngram_jaccard_join", JACCARD_SQL)
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return jaccard.classes(docs, "doc_id", "text", 4, 85).select("doc_id", "n_shingles", "component_id")
@@ -60,7 +74,16 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query("op5_substring_dedup")
+REPEATS_SQL = f"""WITH d AS (SELECT doc_id, {WORDS.format("coalesce(text, '')")} AS w FROM documents),
+  win AS (SELECT doc_id, k, list_slice(w, k, k + 34) AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS k FROM d)),
+  rep AS (SELECT s FROM win GROUP BY s HAVING count(*) > 1),
+  gone AS (SELECT DISTINCT doc_id, k + j AS i, true AS cut FROM win JOIN rep USING (s), range(0, 35) AS t(j)),
+  cells AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM d),
+  kept AS (SELECT doc_id, count(cut) AS n, string_agg(x, ' ' ORDER BY i) FILTER (WHERE cut IS NULL) AS t FROM cells LEFT JOIN gone USING (doc_id, i) GROUP BY doc_id)
+  SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)"""
+
+
+@query("op5_substring_dedup", REPEATS_SQL)
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return substrings.repeated_words(docs, window=35, first=18, output="sha256").select(
@@ -73,7 +96,46 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
-@query("op7_quality_rules")
+def _quartile(share: float) -> str:
+    return f"min(CASE WHEN seen >= ceil(whole * {share}) THEN v END)"
+
+
+def _picked(q: str) -> str:
+    return f"CASE WHEN a.n >= {quality.LEAST_ROWS} THEN a.{q} WHEN b.n >= {quality.LEAST_ROWS} THEN b.{q} ELSE c.{q} END"
+
+
+def _quartiles_sql(name: str, by: str, source: str) -> str:
+    return f"""{name} AS (SELECT {by} feature, max(whole) AS n, {_quartile(0.25)} AS q1, {_quartile(0.5)} AS q2, {_quartile(0.75)} AS q3 FROM
+    (SELECT *, CASE WHEN bucket IS NULL THEN 0 ELSE pow({quality.GAMMA!r}::DOUBLE, bucket) * 2 / (1 + {quality.GAMMA!r}::DOUBLE) END AS v,
+      sum(n) OVER (PARTITION BY {by} feature ORDER BY bucket NULLS FIRST) AS seen, sum(n) OVER (PARTITION BY {by} feature) AS whole
+     FROM (SELECT {by} feature, bucket, sum(n) AS n FROM {source} GROUP BY ALL)) GROUP BY ALL)"""
+
+
+QUALITY_SQL = f"""WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, {WORDS.format("coalesce(text, '')")} AS w FROM documents),
+  tri AS (SELECT doc_id, k, list_slice(w, k, k + 2) AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS k FROM d)),
+  twice AS (SELECT doc_id, s FROM tri GROUP BY ALL HAVING count(*) > 1),
+  hit AS (SELECT doc_id, count(DISTINCT k + j) AS n FROM tri JOIN twice USING (doc_id, s), range(0, 3) AS t(j) GROUP BY doc_id),
+  l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM d),
+  m AS (SELECT doc_id, lang, source, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
+    coalesce(hit.n, 0)::BIGINT AS n_repeat_words, len(l) AS n_lines FROM d JOIN l USING (doc_id) LEFT JOIN hit USING (doc_id)),
+  f AS (SELECT *, n_symbols / greatest(word_chars, 1) AS symbols, n_dup_lines / greatest(n_lines, 1) AS lines,
+    n_repeat_words / greatest(n_words, 1) AS repeats, word_chars / greatest(n_words, 1) AS length FROM m),
+  sk AS (SELECT lang, source, feature, CASE WHEN v > 0 THEN ceil(ln(v) / ln({quality.GAMMA!r}::DOUBLE)) END AS bucket, count(*) AS n FROM
+    (UNPIVOT (SELECT lang, source, symbols, lines, repeats, length FROM f WHERE n_words > 0) ON symbols, lines, repeats, length INTO NAME feature VALUE v) GROUP BY ALL),
+  {_quartiles_sql('a', 'lang, source,', 'sk')}, {_quartiles_sql('b', 'lang,', 'sk')}, {_quartiles_sql('c', '', 'sk')},
+  p AS (SELECT a.lang, a.source, a.feature, {_picked('q1')} AS q1, {_picked('q2')} AS q2, {_picked('q3')} AS q3
+    FROM a JOIN b ON a.lang IS NOT DISTINCT FROM b.lang AND a.feature = b.feature JOIN c ON a.feature = c.feature),
+  g AS (SELECT lang, source, {', '.join(f"max(greatest(q3 + {quality.REACH} * (q3 - q1), {v})) FILTER (feature = '{k}') AS high_{k}" for k, v in quality.SLACK.items())},
+    max(greatest(q3 + {quality.REACH} * (q3 - q1), q2 * {quality.LENGTH_FACTOR})) FILTER (feature = 'length') AS high_length,
+    max(least(q1 - {quality.REACH} * (q3 - q1), q2 / {quality.LENGTH_FACTOR})) FILTER (feature = 'length') AS low_length FROM p GROUP BY ALL)
+  SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND coalesce(symbols <= high_symbols AND lines <= high_lines AND repeats <= high_repeats
+      AND length BETWEEN low_length AND high_length, true) AS kept
+  FROM f LEFT JOIN g ON f.lang IS NOT DISTINCT FROM g.lang AND f.source IS NOT DISTINCT FROM g.source"""
+
+
+@query("op7_quality_rules", QUALITY_SQL)
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang", "source")
     return quality.rules(docs, keep_text=False).select(
@@ -81,7 +143,40 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query("op8_url_filters")
+def _url_rule_sql(order: list[tuple[str, str]], value: int) -> str:
+    cases = []
+    for rule in order:
+        name, slash, rest = rule[1].partition("/")
+        cases.append(f"WHEN (host = '{name}' OR ends_with(host, '.{name}')) AND starts_with(path, '{slash}{rest}') THEN '{rule[value]}'")
+    return f"CASE {' '.join(cases)} END"
+
+
+_ORDERED_RULES = sorted(URL_RULES, key=lambda r: (-len(r[1]), r[0] != "allow", r[1]))
+_REST = r"coalesce(regexp_extract({0}, '(?s)^.*?://(.*)$', 1), '')"
+
+
+def _url_parts_sql(url: str) -> str:
+    rest = _REST.format(url)
+    host = LOWER.format(f"regexp_extract({rest}, '^[^/?#]*')")
+    after = f"regexp_extract({rest}, '^[^/?#]*([^#]*)', 1)"
+    return f"{host} AS host, regexp_extract({rest}, '^[^/?#]*([^?#]*)', 1) AS path, CASE WHEN {host} <> '' THEN {host} || {after} END AS node"
+
+
+#: absolute canonical links, the only kind of edge that a generated page could have
+URL_SQL = f"""WITH RECURSIVE p AS (SELECT page_id, {_url_parts_sql('url')}, html FROM pages),
+  t AS (SELECT node AS a, unnest(regexp_extract_all(regexp_replace(html, '(?is)<!--.*?-->|<script\\b.*?</script\\s*>', '', 'g'),
+    '(?is)<link\\b[^>]*\\srel\\s*=\\s*"?canonical"?[^>]*>')) AS tag FROM p),
+  e AS (SELECT a, node AS b FROM (SELECT a, {_url_parts_sql("replace(regexp_extract(tag, '(?is)href\\s*=\\s*\"([^\"]*)\"', 1), '&amp;', '&')")} FROM t)
+    WHERE a IS NOT NULL AND node IS NOT NULL),
+  links AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+  reach AS (SELECT a AS node, a AS other FROM links UNION SELECT reach.node, b FROM reach JOIN links ON a = other),
+  judged AS (SELECT reach.node, {_url_rule_sql(_ORDERED_RULES, 0)} AS v FROM reach, LATERAL (SELECT {_url_parts_sql("('://' || other)")}) AS o(host, path, n)),
+  alias AS (SELECT node, bool_or(coalesce(v = 'block', false)) AND NOT bool_or(coalesce(v = 'allow', false)) AS blocked FROM judged GROUP BY node)
+  SELECT page_id, host, path, {_url_rule_sql(_ORDERED_RULES, 1)} AS rule,
+    coalesce({_url_rule_sql(_ORDERED_RULES, 0)}, CASE WHEN blocked THEN 'block' END, 'allow') AS verdict FROM p LEFT JOIN alias USING (node)"""
+
+
+@query("op8_url_filters", URL_SQL)
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages").select("page_id", "url", "html")
     return urls.judge(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
@@ -93,7 +188,20 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     return html.extract(pages).select("page_id", "url", "text", "n_chars")
 
 
-@query("op10_chat_formatting")
+def _controls(column: str) -> str:
+    """SQL of the number of control strings; escaping makes each one character longer."""
+    return f"len(regexp_extract_all({column}, '{chat.CONTROL}'))"
+
+
+CHAT_SQL = f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+  s AS (SELECT *, length('{chat.OPEN}{chat.MIDDLE}{chat.CLOSE}') + length(role) + length(text) + {_controls('role')} + {_controls('text')} AS n,
+    CASE WHEN role = 'assistant' THEN text ELSE '' END AS learned FROM t)
+  SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+    sum(length(learned))::BIGINT AS loss_chars, sha256(string_agg(learned, '' ORDER BY turn)) AS loss_sha256, sum(n)::BIGINT AS formatted_chars FROM s GROUP BY conv_id"""
+
+
+@query("op10_chat_formatting", CHAT_SQL)
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     # a conversation made of control strings, which the template has to give back
