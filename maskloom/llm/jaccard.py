@@ -154,22 +154,21 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
     tested = saved(pairs, "pairs")
     links = saved(_verify(tested, sets, percent), "links")
     used = posted.where("rep = pivot").select("token", "rep")
-    posted, fruitless = posted.drop("pivot"), 0
+    posted = posted.drop("pivot")
     while True:
         marked = _marked(posted, links)
         outside = marked.where("label != main")
-        if fruitless == 2 or outside.isEmpty():
-            break
         # one more pivot of each bucket that holds several classes
         fresh = outside.join(used, ["token", "rep"], "left_anti")
         chosen = saved(fresh.groupBy("token").agg(F.min(_central()).alias("c")).select("token", F.col("c.rep").alias("rep")), "pivots")
         pairs = saved(_untested(outside.join(chosen, ["token", "rep"]), marked, tested, percent), "pairs")
         found = saved(_verify(pairs, sets, percent), "links")
         tested, used = tested.union(pairs), used.union(chosen)
-        fruitless = fruitless + 1 if found.isEmpty() else 0
+        if found.isEmpty():
+            break
         links = links.union(found)
-    rest = saved(_untested(outside, marked, tested, percent), "pairs")
-    return links.union(_verify(rest, sets, percent))
+    # the classes did not change, so ``marked`` still holds
+    return links.union(_verify(_untested(outside, marked, tested, percent), sets, percent))
 
 
 def _marked(posted: DataFrame, links: DataFrame) -> DataFrame:

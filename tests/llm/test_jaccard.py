@@ -40,7 +40,7 @@ def brute(rows, size, percent):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("size,percent", [(4, 85), (5, 80), (1, 50), (2, 100)])
+@pytest.mark.parametrize("size,percent", [(4, 85), (1, 50)])
 def test_same_as_brute_force(spark, size, percent):
     got = classes(frame(spark), size=size, percent=percent)
     rows = got.select("doc_id", "n_shingles", "component_id", "in_class").collect()
@@ -53,9 +53,9 @@ def test_chains_of_versions(spark):
     """Versions that drift away from the first: a chain links texts that are not alike."""
     rng = random.Random(5)
     rows, key = [], 0
-    for family in range(6):
+    for family in range(3):
         now = [f"f{family}w{i}" for i in range(120)]
-        for step in range(25):
+        for step in range(16):
             rows.append((key, " ".join(now), "en", "a", 1, "", 0))
             key += 1
             for _ in range(rng.randrange(1, 6)):
