@@ -152,11 +152,14 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
     x, y = posted.where("rep = pivot").alias("x"), posted.where("rep != pivot").alias("y")
     pairs = _as_pairs(x.join(y, F.col("x.token") == F.col("y.token")).where(_fits(percent)))
     tested = saved(pairs, "pairs")
-    links = saved(_verify(tested, sets, percent), "links")
+    # links stand for the classes: each round replaces them by stars around the classes' roots
+    links = _verify(tested, sets, percent)
     used = posted.where("rep = pivot").select("token", "rep")
     posted = posted.drop("pivot")
     while True:
-        marked = _marked(posted, links)
+        label = components(links)
+        links = label.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+        marked = _marked(posted, label)
         outside = marked.where("label != main")
         # one more pivot of each bucket that holds several classes
         fresh = outside.join(used, ["token", "rep"], "left_anti")
@@ -171,9 +174,9 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
     return links.union(_verify(_untested(outside, marked, tested, percent), sets, percent))
 
 
-def _marked(posted: DataFrame, links: DataFrame) -> DataFrame:
+def _marked(posted: DataFrame, label: DataFrame) -> DataFrame:
     """The members of buckets that hold several classes, with their class and the largest."""
-    label = components(links).withColumnRenamed("node", "rep")
+    label = label.withColumnRenamed("node", "rep")
     marked = posted.join(label, "rep", "left").select(
         "token", "rep", "n", "lone", "place", F.coalesce("root", "rep").alias("label")
     )
@@ -282,7 +285,7 @@ def classes(
         .agg(F.first("n").cast("int").alias("n"), F.first("lone").alias("lone"), F.first("tokens").alias("tokens"))
     )
     sets = saved(sets, "sets")
-    label = components(saved(_links(sets, percent), "links"))
+    label = components(_links(sets, percent))
     shared = signed.where("sig is not null").select("sig", "id", "textkey")
     shared = shared.join(label.select(F.col("node").alias("sig"), "root"), "sig", "left").select(
         "sig", "id", "textkey", F.coalesce("root", "sig").alias("root")
