@@ -80,7 +80,7 @@ def ranges(
 
 
 def _rank_in_buckets(
-    df: DataFrame, order: list[Column], by: list[str], weight: Column | None
+    df: DataFrame, order: list[Column], by: list[str], weight: Column | None, starts: DataFrame | None = None
 ) -> DataFrame:
     # a struct is never null itself, so groups with null keys are joined as well
     columns = df.columns
@@ -102,6 +102,14 @@ def _rank_in_buckets(
         F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_rows_before"),
         F.coalesce(F.sum("bucket_weight").over(earlier), F.lit(0)).alias("bucket_start"),
     )
+    if starts is not None:
+        # joined to the bucket totals, so the rows of a group do not meet
+        first = starts.select(F.struct(*starts.columns[:-1]).alias("_by"), F.col(starts.columns[-1]).alias("_from"))
+        offsets = (
+            offsets.join(first, "_by", "left")
+            .withColumn("bucket_start", F.col("bucket_start") + F.coalesce("_from", F.lit(0)))
+            .drop("_from")
+        )
     inside = Window.partitionBy(*keys).orderBy(*order)
     ranked_rows = df.withColumn("_rank", (F.row_number().over(inside) - 1).cast("long"))
     if weight is not None:
@@ -117,7 +125,7 @@ def _rank_in_buckets(
     if weight is not None:
         placed = placed.withColumn("before", F.col("_prefix") + F.col("bucket_start"))
     added = ["rank", "bucket_weight", "bucket_start"] + ([] if weight is None else ["before"])
-    return placed.select(*columns, *added)
+    return placed.select(*columns, *by, *added)
 
 
 def ranked(
@@ -127,16 +135,18 @@ def ranked(
     weight: Column | None = None,
     buckets: Ranges | None = None,
     keep_buckets: bool = False,
+    starts: DataFrame | None = None,
 ) -> DataFrame:
     """Add the zero-based ``rank`` in the order of a unique, non-null numeric key.
 
     With ``weight`` also ``before``, the sum of the weights of all earlier rows.
     ``by`` ranks within groups; a group of any size is spread over the buckets.
-    ``keep_buckets`` keeps ``_bucket`` and the weight span of its rows.
+    ``keep_buckets`` keeps ``_bucket`` and the weight span of its rows, and ``_by``, the struct
+    of the group. ``starts`` has the columns of ``by`` and the weight that a group has already.
     """
     found = ranges(df, key) if buckets is None else buckets
-    out = _rank_in_buckets(found.add(df, key, "_bucket"), [F.col(key)], by or [], weight)
-    return out if keep_buckets else out.drop("_bucket", "bucket_weight", "bucket_start")
+    out = _rank_in_buckets(found.add(df, key, "_bucket"), [F.col(key)], by or [], weight, starts)
+    return out if keep_buckets else out.drop("_by", "_bucket", "bucket_weight", "bucket_start")
 
 
 def shuffled(
@@ -156,7 +166,7 @@ def shuffled(
         "_bucket", F.floor(F.col("_u") * buckets).cast("int")
     )
     out = _rank_in_buckets(drawn, [F.col("_u"), F.col(key)], by or [], None)
-    return out.drop("_u", "_bucket", "bucket_weight", "bucket_start")
+    return out.drop("_u", "_by", "_bucket", "bucket_weight", "bucket_start")
 
 
 def row_total(df: DataFrame) -> Column:

@@ -152,6 +152,36 @@ def pack_stream(
     return inner.select(*columns).unionByName(glue(edges, ["group_id", "block"]).select(*columns))
 
 
+def pack_streams(
+    df: DataFrame, by: str, key: str, ids: Column, length: Column, body: int, state: DataFrame | None = None
+) -> DataFrame:
+    """Blocks ``(by, block, ids)`` of the rows of each ``by`` joined in key order, some maybe short.
+
+    A group of any size is spread over the range buckets, as in ``pack_stream``. ``state`` has
+    a row ``(by, block, ids)`` for each group that goes on: the block that is open and its ids,
+    which come back as they are where no rows follow.
+    """
+    at = F.col("block") * body
+    starts = None if state is None else state.select(by, at + F.size("ids"))
+    placed = (
+        ranked(df, key, by=[by], weight=length, buckets=ranges(df, key), keep_buckets=True, starts=starts)
+        .withColumn("_base", F.lit(0))
+        .withColumn("group_id", F.col("_by"))
+        .withColumn("_start", F.col("before"))
+        .withColumn("_first", F.col("bucket_start"))
+        .withColumn("_end", F.col("bucket_start") + F.col("bucket_weight"))
+        .withColumn("_ids", ids)
+    )
+    inner = glue(_cut(placed, body).where("inside"), ["_bucket", "group_id", "block"])
+    edges = _cut(placed.where(_reaches_over(body, length)), body).where("NOT inside")
+    edges = edges.select("group_id", "block", "at", "ids")
+    if state is not None:
+        opening = state.where(F.size("ids") > 0)
+        edges = edges.unionByName(opening.select(F.struct(by).alias("group_id"), "block", at.alias("at"), "ids"))
+    columns = [F.col("group_id")[by].alias(by), "block", "ids"]
+    return inner.select(*columns).unionByName(glue(edges, ["group_id", "block"]).select(*columns))
+
+
 def pack_blocks_global(
     df: DataFrame,
     key: str,

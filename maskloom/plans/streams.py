@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from maskloom.functions.text import detok_for
 from maskloom.operators import tokens as tk
 from maskloom.plans.metrics import EMA_SQL
 from maskloom.plans.registry import joined, query, r6, s6, table
@@ -93,15 +94,13 @@ def stream_ingest(spark: SparkSession, folder: str) -> DataFrame:
     """Detokenize, encode and pack a stream, with a remainder for each source."""
     path = scratch_path(spark, "stream-ingest")
     docs = stream(table(spark, folder, "documents").select("doc_id", "source", "text"), "doc_id", path)
-    spaced = docs.select(
-        "doc_id",
-        "source",
-        corpus_of(F.col("source")).alias("corpus"),
-        F.regexp_replace("text", r"([.,:;!?()\[\]])", " $1 ").alias("text"),
-    )
-    coded = jobs.stream_tokenize(spaced, "doc_id", "text", tk.CHAR_EOS, corpus="corpus", keep=["source"])
-    blocks = jobs.pack_by_key(coded, "source", "doc_id", "ids", BLOCK, tk.CHAR_BOS, tk.CHAR_EOS)
-    done = finished(blocks, path)
+    spaced = F.regexp_replace("text", r"([.,:;!?()\[\]])", " $1 ")
+    # the text travels, ids are made behind the exchange
+    plain = docs.select("doc_id", "source", detok_for(corpus_of(F.col("source")), spaced).alias("text"))
+    jobs.stream_pack_groups(
+        plain, "source", "doc_id", token_ids(), BLOCK, path, f"{path}/checkpoint", length=token_count()
+    ).awaitTermination()
+    done = jobs.packed_blocks(spark, path, BLOCK, tk.CHAR_BOS, tk.CHAR_EOS, by="source")
     return done.select("source", "block_id", joined("input_ids").alias("input_ids"))
 
 

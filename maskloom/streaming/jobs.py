@@ -20,7 +20,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from maskloom.functions.text import detok_for
 from maskloom.operators.ema import ema_warmup
-from maskloom.operators.sequence import frame_block, pack_stream
+from maskloom.operators.sequence import frame_block, pack_stream, pack_streams
 from maskloom.operators.tokens import append_eos, char_encode
 from maskloom.sources import files
 
@@ -108,6 +108,58 @@ def stream_pack(
     )
 
 
+def stream_pack_groups(
+    stream: DataFrame,
+    by: str,
+    key: str,
+    ids: Column | str,
+    block_size: int,
+    out: str,
+    checkpoint: str,
+    length: Column | None = None,
+    trigger: dict | None = None,
+) -> StreamingQuery:
+    """Pack a stream for each value of ``by``; its unfinished block opens its next one.
+
+    Order, state and errors are those of ``stream_pack``; read with ``packed_blocks``. The
+    rows of a value are spread over range buckets, so one value may have most of the rows.
+    The state is a row for each value, at most a block long, and is written whole.
+    """
+    tokens = F.col(ids) if isinstance(ids, str) else ids
+    size = F.size(tokens) if length is None else length
+    body = block_size - 2
+
+    def one_batch(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        # keys, lengths, places and rows are separate passes
+        batch = batch.persist()
+        state = _read_state(spark, f"{out}/state", epoch - 1) if epoch else None
+        path = f"{out}/blocks/epoch={epoch}"
+        pack_streams(batch, by, key, tokens, size, body, state).select(
+            by, "block", (F.size("ids") == body).alias("whole"), "ids"
+        ).write.mode("overwrite").parquet(path)
+        # of a value, only the last block may be short
+        rest = F.when(~F.col("whole"), F.col("ids"))
+        last = spark.read.parquet(path).groupBy(by).agg(F.max("block").alias("block"), F.max_by(rest, "block").alias("ids"))
+        ids_left = F.coalesce("ids", F.array().cast("array<int>"))
+        left = last.select(by, (F.col("block") + F.col("ids").isNull().cast("long")).alias("block"), ids_left.alias("ids"))
+        if state is not None:
+            # values without rows that stood at the end of a block
+            seen = F.col("block") * body + F.size("ids")
+            both = left.unionByName(state).groupBy(by).agg(F.max_by(F.struct("block", "ids"), seen).alias("s"))
+            left = both.select(by, "s.block", "s.ids")
+        _write_state(left, f"{out}/state", epoch)
+        files.delete(spark, f"{out}/state/epoch={epoch - 2}")
+        batch.unpersist()
+
+    return (
+        stream.writeStream.foreachBatch(one_batch)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or TO_THE_END))
+        .start()
+    )
+
+
 def pack_by_key(
     stream: DataFrame, by: str, order: str, ids: str, block_size: int, bos: int, eos: int
 ) -> DataFrame:
@@ -116,7 +168,8 @@ def pack_by_key(
 
     Rows of a key are taken in the order of ``order`` inside a micro-batch and by arrival
     between them. A key's rows of one micro-batch meet in one task, so this is for keys that
-    are many; ``stream_pack`` spreads a single stream.
+    are many and none of them large; ``stream_pack_groups`` spreads the rows of a key and
+    ``stream_pack`` a single stream.
     """
     body = block_size - 2
     kind = stream.schema[by].dataType.simpleString()
@@ -144,11 +197,11 @@ def pack_by_key(
     return packed.withColumnRenamed("key", by)
 
 
-def packed_blocks(spark: SparkSession, out: str, block_size: int, bos: int, eos: int) -> DataFrame:
-    """The finished blocks that ``stream_pack`` wrote so far."""
+def packed_blocks(spark: SparkSession, out: str, block_size: int, bos: int, eos: int, by: str | None = None) -> DataFrame:
+    """The finished blocks that ``stream_pack``, or with ``by`` ``stream_pack_groups``, wrote so far."""
     whole = spark.read.parquet(f"{out}/blocks").where("whole")
     return frame_block(
-        whole.withColumnRenamed("block", "block_id"), ["block_id"], bos, eos, block_size
+        whole.withColumnRenamed("block", "block_id"), [*([by] if by else []), "block_id"], bos, eos, block_size
     )
 
 

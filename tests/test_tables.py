@@ -281,6 +281,43 @@ def test_pack_by_key_over_batches(spark):
     assert not got
 
 
+@pytest.mark.parametrize("seed, longest, size", [(1, 9, 7), (2, 3, 40), (3, 60, 12)])
+def test_groups_packed_over_batches(spark, seed, longest, size):
+    """A value with most rows, one that pauses and one at the end of a block; null is a value."""
+    rng = random.Random(seed)
+    rows = [(i, rng.choice(["a", "a", "a", "b", None]), [rng.randint(0, 99) for _ in range(rng.randint(0, longest))]) for i in range(60)]
+    rows[0] = (0, "early", list(range(size - 2)))
+    rows[1] = (1, "pause", [5, 6])
+    rows[55] = (55, "early", list(range(size - 1)))
+    rows[56] = (56, "pause", list(range(size)))
+    df = spark.createDataFrame(rows, "id long, g string, ids array<int>")
+    path = scratch_path(spark, "groups")
+    stream = written(spark, df, f"{path}/in", 4, "id")
+    jobs.stream_pack_groups(stream, "g", "id", "ids", size, path, f"{path}/c").awaitTermination()
+    found = jobs.packed_blocks(spark, path, size, 2, 3, by="g").collect()
+    got = {(r["g"], r["block_id"]): r["input_ids"] for r in found}
+    assert len(got) == len(found)
+    body = size - 2
+    for g in ["a", "b", None, "early", "pause"]:
+        flat = [x for _, name, ids in rows if name == g for x in ids]
+        for b in range(len(flat) // body):
+            assert got.pop((g, b)) == [2, *flat[b * body : (b + 1) * body], 3]
+    assert not got
+
+
+def test_ingest_spreads_a_hot_source(spark, monkeypatch):
+    """No source meets in one task: the registered query does not use state per key."""
+    monkeypatch.setattr(jobs, "pack_by_key", None)
+    from maskloom.plans import QUERIES
+
+    folder = scratch_path(spark, "hot")
+    rows = [(i, "src1" if i % 9 else "src2", "some words " * (i % 7)) for i in range(400)]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{folder}/documents.parquet")
+    blocks = QUERIES["stream_ingest"](spark, folder)
+    ids = blocks.groupBy("source").agg(F.count("block_id").alias("n"), F.max("block_id").alias("top")).collect()
+    assert {r["source"] for r in ids} == {"src1", "src2"} and all(r["n"] == r["top"] + 1 for r in ids)
+
+
 def test_late_rows_are_left_out(spark):
     import datetime as dt
 
