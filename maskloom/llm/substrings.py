@@ -41,7 +41,7 @@ def _candidates(words: Words, ranges: int, sizes: list[int], found: list[pa.Tabl
         if level:
             half = sizes[level - 1]
             shifted = np.zeros(len(live), bool)
-            shifted[: len(live) - (size - half)] = live[size - half :]
+            shifted[: max(0, len(live) - (size - half))] = live[size - half :]
             live &= shifted
         live &= room
         if level < len(found):
