@@ -63,7 +63,10 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of each document lies in sequences of 1024 tokens."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    pieces = packing.cut(docs.select("doc_id", "text"), path, public_tokenizers.PATTERN, 1024, 2, payload="crc32")
+    added = packing.added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
+    pieces = packing.cut(
+        docs.select("doc_id", "text"), path, public_tokenizers.PATTERN, 1024, 2, payload="crc32", added_ids=added
+    )
     return packing.pack(pieces, 1024)
 
 

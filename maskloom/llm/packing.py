@@ -16,6 +16,7 @@ matches in a narrow stage.
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from functools import lru_cache
 
@@ -42,22 +43,43 @@ def _encoding(path: str, pattern: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """Text and id of the added tokens of a ``tokenizers`` file."""
+    with open(path, encoding="utf-8") as lines:
+        found = json.load(lines)["added_tokens"]
+    if any(x["single_word"] or x["lstrip"] or x["rstrip"] or x["normalized"] for x in found):
+        raise ValueError("an added token is more than its plain text")
+    return {x["content"]: x["id"] for x in found}
+
+
 class Encoder:
     """Token ids of texts as packed 32-bit numbers.
 
+    A text is first cut at the texts of ``added``, which have ids of their own.
+
     The vocabulary's pattern never joins a blank with what stands before it, so a text
     without double white space can be cut at its blanks and line ends, and the parts be
     remembered. Other texts are encoded as a whole.
     """
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, added: dict[str, int] | None = None):
         self.encoding = _encoding(path, pattern)
         self.known: dict[str, bytes] = {}
+        self.added = {x: np.array([i], "<u4").tobytes() for x, i in (added or {}).items()}
+        # at one place the longest one counts
+        some = "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))
+        self.cuts = regex.compile(f"({some})") if some else None
 
     def _pack(self, text: str) -> bytes:
         return np.array(self.encoding.encode_ordinary(text), dtype="<u4").tobytes()
 
     def __call__(self, text: str) -> bytes:
+        if self.cuts is None or not any(x in text for x in self.added):
+            return self._plain(text)
+        parts = self.cuts.split(text)
+        return b"".join(self.added[x] if i % 2 else self._plain(x) for i, x in enumerate(parts))
+
+    def _plain(self, text: str) -> bytes:
         if not text:
             return b""
         if _UNEVEN.search(text):
@@ -79,12 +101,13 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def _encoder(path: str, pattern: str) -> Encoder:
-    return Encoder(path, pattern)
+def _encoder(path: str, pattern: str, added: tuple[tuple[str, int], ...]) -> Encoder:
+    return Encoder(path, pattern, dict(added))
 
 
 def cut(
-    docs: DataFrame, vocabulary: str, pattern: str, capacity: int = 1024, end_id: int = 2, text: str = "text", payload: str = "ids"
+    docs: DataFrame, vocabulary: str, pattern: str, capacity: int = 1024, end_id: int = 2, text: str = "text", payload: str = "ids",
+    added_ids: dict[str, int] | None = None,
 ) -> DataFrame:
     """Pieces of every text: its ids and ``end_id``, cut into pieces of ``capacity`` where
     longer; the first piece is the shorter one.
@@ -92,7 +115,8 @@ def cut(
     Returns the caller's columns but the text with ``piece``, ``start``, ``length`` and ``ids``
     (``payload="ids"``) or ``ids_crc32`` (``payload="crc32"``, of the ids as little-endian
     unsigned 32-bit numbers). Null texts count as empty and have one piece, the end. Narrow;
-    ``vocabulary`` is a rank file that every task can read, see ``Encoder``.
+    ``vocabulary`` is a rank file that every task can read, see ``Encoder``; ``added_ids`` are
+    the tokens that it does not hold, see ``added_tokens``.
     """
     added = ["piece", "start", "length", "ids" if payload == "ids" else "ids_crc32"]
     select, fields, names = carried(docs, [text, *added])
@@ -103,8 +127,10 @@ def cut(
     target = to_arrow_schema(shape)
     end = np.array([end_id], "<u4").tobytes()
 
+    extra = tuple((added_ids or {}).items())
+
     def read(batches):
-        encode = _encoder(vocabulary, pattern)
+        encode = _encoder(vocabulary, pattern, extra)
         for batch in batches:
             for part in byte_slices(batch, "read"):
                 row, piece, start, length, made = [], [], [], [], []

@@ -33,7 +33,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 @query("op1_best_fit_packing")
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    pieces = packing.cut(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, 1024, 2, payload="crc32")
+    added = packing.added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
+    pieces = packing.cut(
+        docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, 1024, 2, payload="crc32", added_ids=added
+    )
     return packing.pack(pieces, 1024)
 
 

@@ -1,5 +1,6 @@
 import collections
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -8,7 +9,7 @@ from hypothesis import given, settings, strategies as st
 from samples import documents, empty, frame
 from tokenizers import Tokenizer
 
-from maskloom.llm.packing import Encoder, cut, find_places, pack, rounds
+from maskloom.llm.packing import Encoder, added_tokens, cut, find_places, pack, rounds
 
 PATH, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
@@ -26,6 +27,35 @@ def test_encoder_is_the_tokenizer(reference, text):
     assert np.frombuffer(Encoder(PATH, PATTERN)(text), "<u4").tolist() == reference(text)
 
 
+@lru_cache
+def as_loaded():
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@lru_cache
+def encoder():
+    return Encoder(PATH, PATTERN, added_tokens(public_tokenizers.path("byte_bpe_50k.json")))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["<|endoftext|>", "<|endof", "text|>", "a", " ", "b c", "\n", "  ", "É", "<|"]), max_size=9).map("".join))
+def test_added_tokens_have_their_ids(text):
+    """As the file is loaded, without another setting."""
+    want = as_loaded().encode(text, add_special_tokens=False).ids if text else []
+    assert np.frombuffer(encoder()(text), "<u4").tolist() == want
+
+
+def test_query_counts_added_tokens(spark):
+    from maskloom.llm import queries
+    from maskloom.session import scratch_path
+
+    folder, text = scratch_path(spark, "added"), "a <|endoftext|> b"
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    docs.write.parquet(f"{folder}/documents.parquet")
+    row = queries.QUERIES["op1_best_fit_packing"](spark, folder).first()
+    assert row["length"] == 5 and row["ids_crc32"] == zlib.crc32(np.array([64, 220, 50256, 275, 2], "<u4").tobytes())
+
+
 def test_pieces(spark, reference):
     got = collections.Counter()
     for r in cut(frame(spark), PATH, PATTERN, 64, 2).collect():
