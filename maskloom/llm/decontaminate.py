@@ -11,21 +11,24 @@ is then verified on the words: the item's shingles, its question and its answer.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from maskloom.llm.common import as_fields, carried, numbered, saved
+from maskloom.llm.common import as_fields, carried, saved
 
 K1, B = 1.2, 0.75
 BLOCK = 8
-#: items per index: larger benchmarks are asked in several passes over the texts
+#: items and bytes of text per index: larger benchmarks are asked in several passes over the texts
 INDEX_ITEMS = 4096
+INDEX_BYTES = 8 << 20
 SCORE_SHARE = 0.5
 SHINGLE, OVERLAP, PART_OVERLAP = 5, 0.8, 0.5
 _WORD = re.compile(r"\w+")
@@ -60,10 +63,22 @@ class Item:
     answer: set
 
 
+@dataclass
+class Whole:
+    """What weights and passages need of all items: their number, mean and greatest length in
+    words, and in how many items a word occurs."""
+
+    n: int
+    mean: float
+    longest: int
+    df: dict[str, int]
+
+
 class Index:
-    """Impact-ordered postings of the items with block maxima."""
+    """Impact-ordered postings of the items with block maxima. ``whole`` describes the whole
+    benchmark where the rows are a part of it."""
 
-    def __init__(self, rows: list[tuple[object, str]]):
+    def __init__(self, rows: list[tuple[object, str]], whole: Whole | None = None):
         self.items = []
         for key, text in rows:
             words = tokens(text)
@@ -71,19 +86,19 @@ class Index:
                 question, answer = question_and_answer(text)
                 self.items.append(Item(key, words, shingles(words), set(tokens(question)), set(tokens(answer))))
         n = len(self.items)
-        self.longest = max((len(i.words) for i in self.items), default=1)
         counts = [{w: i.words.count(w) for w in dict.fromkeys(i.words)} for i in self.items]
         self.vocabulary: dict[str, int] = {}
-        for c in counts:
-            for w in c:
-                self.vocabulary.setdefault(w, len(self.vocabulary))
+        # in the order of the words, so a score is added up alike in any part
+        for w in sorted(set().union(*counts)):
+            self.vocabulary[w] = len(self.vocabulary)
         size = len(self.vocabulary)
-        df = np.zeros(size)
-        for c in counts:
-            for w in c:
-                df[self.vocabulary[w]] += 1
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        mean = sum(len(i.words) for i in self.items) / max(n, 1)
+        if whole is None:
+            lengths = [len(i.words) for i in self.items]
+            seen = Counter(w for c in counts for w in c)
+            whole = Whole(n, sum(lengths) / max(n, 1), max(lengths, default=1), seen)
+        self.longest, mean = whole.longest, whole.mean
+        df = np.array([whole.df[w] for w in self.vocabulary], np.float64)
+        idf = np.log1p((whole.n - df + 0.5) / (df + 0.5))
         self.postings: list[list[tuple[int, float]]] = [[] for _ in range(size)]
         blocks = -(-n // BLOCK)
         self.block_max = np.zeros((size + 1, max(blocks, 1)), np.float32)
@@ -150,17 +165,65 @@ class Index:
         return found
 
 
-def _indexes(items: DataFrame, key: str, text: str) -> list[Index]:
-    """One index per ``INDEX_ITEMS`` items, in hash groups, so that none is ever larger than
-    a task can hold."""
+@dataclass
+class Part:
+    """Rows of an index, which is built where it is asked first."""
+
+    rows: list[tuple[object, str]]
+    whole: Whole | None = None
+    built: Index | None = None
+
+    def index(self) -> Index:
+        if self.built is None:
+            self.built = Index(self.rows, self.whole)
+        return self.built
+
+
+def _item_words(rows: DataFrame) -> DataFrame:
+    """``(part, length, word)``: the distinct words of each item, the length only beside the
+    first one."""
+
+    def read(batches):
+        for batch in batches:
+            for part, text in zip(batch.column("part").to_pylist(), batch.column("text").to_pylist()):
+                words = tokens(text)
+                own = list(dict.fromkeys(words))
+                if own:
+                    lengths = [len(words), *[None] * (len(own) - 1)]
+                    yield pa.record_batch(
+                        [pa.array([part] * len(own), pa.int64()), pa.array(lengths, pa.int64()), pa.array(own)],
+                        names=["part", "length", "word"],
+                    )
+
+    return rows.select("part", "text").mapInArrow(read, "part bigint, length bigint, word string")
+
+
+def _parts(items: DataFrame, key: str, text: str) -> list[Broadcast]:
+    """The rows of one index each, in groups by a hash of key and text. Weights and passages
+    are those of the whole benchmark, so they do not depend on the groups. The driver holds one
+    group at a time."""
+    spark = items.sparkSession
     rows = items.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).where("text is not null")
-    groups = max(1, -(-rows.count() // INDEX_ITEMS))
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text").cast("long")).alias("bytes")).first()
+    groups = max(1, -(-size["n"] // INDEX_ITEMS), -(-(size["bytes"] or 0) // INDEX_BYTES))
+
+    def one(part: DataFrame, whole: Whole | None = None) -> Broadcast:
+        # the broadcast keeps a file, not the rows
+        return spark.sparkContext.broadcast(Part([(r["key"], r["text"]) for r in part.orderBy("key", "text").collect()], whole))
+
     if groups == 1:
-        parts = [rows]
-    else:
-        rows = saved(numbered(rows, "row").withColumn("part", F.pmod(F.xxhash64("row"), F.lit(groups))), "items")
-        parts = [rows.where(F.col("part") == g) for g in range(groups)]
-    return [Index([(r["key"], r["text"]) for r in p.orderBy("key", "text").collect()]) for p in parts]
+        return [one(rows)]
+    rows = saved(rows.withColumn("part", F.pmod(F.xxhash64("key", "text"), F.lit(groups))), "items")
+    found = saved(_item_words(rows), "words")
+    total = found.agg(F.count("length").alias("n"), F.avg("length").alias("mean"), F.max("length").alias("longest")).first()
+    df = found.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    used = saved(found.select("part", "word").distinct().join(df, "word"), "df")
+    out = []
+    for g in range(groups):
+        own = {r["word"]: r["df"] for r in used.where(F.col("part") == g).collect()}
+        whole = Whole(total["n"], total["mean"] or 0.0, total["longest"] or 1, own)
+        out.append(one(rows.where(F.col("part") == g), whole))
+    return out
 
 
 def leaks(
@@ -175,7 +238,8 @@ def leaks(
     words of its question and of its answer. Case and punctuation do not matter. All passages
     of whole texts are asked; null and empty texts and items match nothing; repeated rows give
     repeated results; null keys stay null. Other columns are ignored. Either table may be
-    empty. A narrow stage per index; an index has at most ``INDEX_ITEMS`` items.
+    empty. A narrow stage per index of about ``INDEX_ITEMS`` items or
+    ``INDEX_BYTES`` of text; scores are the same for any number of indexes.
     """
     shape = StructType(
         [
@@ -189,11 +253,10 @@ def leaks(
     target = to_arrow_schema(shape)
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
     found = None
-    for index in _indexes(items, item_key, item_text):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+    for shared in _parts(items, item_key, item_text):
 
         def read(batches, shared=shared):
-            model = shared.value
+            model = shared.value.index()
             for batch in batches:
                 out = []
                 for k, value in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist()):
@@ -213,16 +276,16 @@ def without_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_ke
     shape = StructType(fields)
     target = to_arrow_schema(shape)
     rows = docs.select(*select)
-    for index in _indexes(items, item_key, item_text):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+    for k, shared in enumerate(_parts(items, item_key, item_text)):
 
         def read(batches, shared=shared):
-            model = shared.value
+            model = shared.value.index()
             for batch in batches:
                 clean = [not model.search(x) for x in batch.column(names[text]).to_pylist()]
                 kept = batch.filter(pa.array(clean, pa.bool_()))
                 own = [as_fields(kept.column(f.name), target.field(f.name).type) for f in fields]
                 yield pa.record_batch(own, names=target.names)
 
-        rows = rows.mapInArrow(read, shape)
+        # a stage holds one index
+        rows = (saved(rows, "clean") if k else rows).mapInArrow(read, shape)
     return rows.select(*[F.col(new).alias(old) for old, new in names.items()])

@@ -1,7 +1,9 @@
 import random
 
+import pytest
 from samples import documents, empty, frame, words
 
+from maskloom.llm import decontaminate
 from maskloom.llm.decontaminate import OVERLAP, Index, leaks, question_and_answer, shingles, tokens, without_leaks
 
 ITEMS = "item_id long, text string"
@@ -37,6 +39,20 @@ def test_finds_planted_items_and_nothing_else(spark):
     assert sorted(str(r[0]) for r in clean.collect()) == sorted(str(r[0]) for r in rows if (r[0] or 0) < 1000)
 
 
+@pytest.mark.parametrize("limit,value", [("INDEX_ITEMS", 9), ("INDEX_BYTES", 2000)])
+def test_parts_score_like_one_index(spark, monkeypatch, limit, value):
+    """Neither the number of indexes nor the partitions of the items change a result."""
+    rows, items, _ = planted()
+    docs = frame(spark, rows)
+    whole = sorted(map(tuple, leaks(docs, spark.createDataFrame(items, ITEMS)).collect()))
+    left = sorted(str(r[0]) for r in without_leaks(docs, spark.createDataFrame(items, ITEMS)).collect())
+    monkeypatch.setattr(decontaminate, limit, value)
+    table = spark.createDataFrame(items, ITEMS).repartition(3)
+    assert len(decontaminate._parts(table, "item_id", "text")) > 2
+    assert sorted(map(tuple, leaks(docs, table).collect())) == whole
+    assert sorted(str(r[0]) for r in without_leaks(docs, table).collect()) == left
+
+
 def test_block_maxima_lose_nothing():
     """Every item that scores by the plain sum comes back."""
     rows, items, _ = planted()
