@@ -24,6 +24,10 @@ _UNSEEN = re.compile(
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<[!?/][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _PART = re.compile(r"[A-Za-z]+")
+#: what a class or id says of an element: nothing, one part of it is unlikely, it is; or the element itself goes
+PLAIN, DOUBTFUL, NAMED, GONE = range(4)
+#: a doubtful element goes where it is shorter and not most of the page, or mostly links
+SHORT, LINKED, LOWERED = 200, 0.5, 0.2
 
 INLINE = set(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr picture q "
@@ -57,7 +61,7 @@ class Tree:
     """Elements by number, 0 the root, with the text runs in page order."""
 
     def __init__(self, page: str):
-        self.parent, self.tag, self.drop = [-1], [""], [False]
+        self.parent, self.tag, self.kind = [-1], [""], [PLAIN]
         self.runs: list[tuple[int, list[str], int]] = []
         self._stack, self._text, self._links = [0], [], 0
         page = _UNSEEN.sub("", page)
@@ -101,7 +105,7 @@ class Tree:
             return
         self.parent.append(self._stack[-1])
         self.tag.append(name)
-        self.drop.append(self._unwanted(name, extra))
+        self.kind.append(self._unwanted(name, extra))
         if not extra.endswith("/") or name not in INLINE:
             self._stack.append(len(self.tag) - 1)
 
@@ -116,46 +120,75 @@ class Tree:
             if name in INLINE and tag not in INLINE:
                 return
 
-    def _unwanted(self, name: str, extra: str) -> bool:
+    def _unwanted(self, name: str, extra: str) -> int:
         if name in OUTSIDE:
-            return True
+            return GONE
         if name in ("html", "body", "article", "main") and not extra:
-            return False
+            return PLAIN
         inside = any(self.tag[i] in ("article", "main") for i in self._stack)
         if name == "header":
-            return not inside
+            return PLAIN if inside else GONE
         if not extra or extra == "/":
-            return False
+            return PLAIN
+        kind = PLAIN
+        unlikely = UNLIKELY if name in INLINE | HEADINGS or inside or name == "article" else UNLIKELY | {"header"}
         for found in _ATTRIBUTE.finditer(extra):
             key, value = found[1].lower(), (found[2] or found[3] or found[4] or "").lower()
             if key in ("class", "id"):
-                parts = set(_PART.findall(value))
-                if name not in ("html", "body", "main") and parts & UNLIKELY:
-                    return True
-                if name not in INLINE | HEADINGS and not inside and name not in ("html", "body", "article", "main") and "header" in parts:
-                    return True
+                if name not in ("html", "body", "main"):
+                    for token in value.split():
+                        parts = set(_PART.findall(token))
+                        if parts & unlikely:
+                            kind = max(kind, NAMED if parts <= unlikely else DOUBTFUL)
             elif key == "role" and value in ROLES:
-                return True
+                return GONE
             elif key == "hidden" or (key == "aria-hidden" and value == "true"):
-                return True
+                return GONE
             elif key == "style" and "display:none" in value.replace(" ", ""):
-                return True
-        return False
+                return GONE
+        return kind
+
+    def settle(self, names: bool = True) -> list[bool]:
+        """Whether each element goes. One that is unwanted stays if it holds the article. A
+        name (``names``) never takes an article away; one that is named, as a comment may be,
+        keeps nothing around it. A name of which one part is unlikely takes only what is
+        short or mostly links."""
+        size = len(self.tag)
+        chars, linked = [0] * size, [0] * size
+        for holder, text, links in self.runs:
+            chars[holder] += len(text)
+            linked[holder] += min(links, len(text))
+        for i in range(size - 1, 0, -1):
+            if self.kind[i] != GONE:
+                chars[self.parent[i]] += chars[i]
+                linked[self.parent[i]] += linked[i]
+
+        def unwanted(i: int) -> bool:
+            if self.kind[i] == DOUBTFUL and names and self.tag[i] != "article":
+                return chars[i] < min(SHORT, chars[0] / 2) or linked[i] > LINKED * chars[i]
+            return self.kind[i] == GONE or (names and self.kind[i] == NAMED and self.tag[i] != "article")
 
-    def settle(self) -> list[bool]:
-        """Whether each element goes. One that is unwanted by name or class stays if it
-        holds the article."""
-        holds = [False] * len(self.tag)
-        for i in range(len(self.tag) - 1, 0, -1):
-            if self.tag[i] in ("article", "main") and not self.drop[i]:
+        drop = [False, *map(unwanted, range(1, size))]
+        holds = [False] * size
+        for i in range(size - 1, 0, -1):
+            if self.tag[i] in ("article", "main") and not drop[i] and self.kind[i] != NAMED:
                 holds[i] = True
             if holds[i]:
                 holds[self.parent[i]] = True
-        gone = [False] * len(self.tag)
-        for i in range(1, len(self.tag)):
-            gone[i] = gone[self.parent[i]] or (self.drop[i] and (not holds[i] or self.tag[i] in ("head", "nav", "footer")))
+        gone = [False] * size
+        for i in range(1, size):
+            gone[i] = gone[self.parent[i]] or (drop[i] and (not holds[i] or self.tag[i] in ("head", "nav", "footer")))
         return gone
 
+    def lowered(self) -> list[float]:
+        """The share of its points that a run in each element gives."""
+        share = [1.0] * len(self.tag)
+        for i in range(1, len(share)):
+            share[i] = LOWERED if self.kind[i] in (DOUBTFUL, NAMED) and self.tag[i] != "article" else share[self.parent[i]]
+            if self.tag[i] == "article" and self.kind[i] == NAMED:
+                share[i] = LOWERED
+        return share
+
 
 def main_text(page: str | None) -> str:
     """The text of the article, blocks joined by one space; empty if there is none."""
@@ -164,12 +197,17 @@ def main_text(page: str | None) -> str:
     tree = Tree(page)
     gone = tree.settle()
     runs = [(holder, text, links) for holder, text, links in tree.runs if not gone[holder]]
+    if not runs:
+        # all of the page has an unlikely name
+        gone = tree.settle(names=False)
+        runs = [(holder, text, links) for holder, text, links in tree.runs if not gone[holder]]
     if not runs:
         return ""
+    lowered = tree.lowered()
     size = len(tree.tag)
     points, chars, linked = [0.0] * size, [0] * size, [0] * size
     for holder, text, links in runs:
-        worth = 1 + text.count(",") + min(len(text) / 100, 3)
+        worth = (1 + text.count(",") + min(len(text) / 100, 3)) * lowered[holder]
         share = 1.0
         i, level = holder, 0
         while i >= 0:

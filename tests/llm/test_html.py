@@ -48,6 +48,23 @@ def test_small_pages(page, text):
     assert main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        (f"<article class='post comments-open'><p>{LONG}</p></article><div><p>{LONG}</p></div>", LONG.strip()),
+        (f"<article id=sidebar><p>{LONG}</p></article>", LONG.strip()),
+        (f"<div id='content' class='with-sidebar'><p>{LONG}</p><p>{LONG}</p></div>", LONG + LONG.strip()),
+        (f"<div class='no-ads'><p>{LONG * 3}</p></div><div class='ad'>buy</div><footer>f</footer>", (LONG * 3).strip()),
+        (f"<div class='widget'><p>{LONG}</p></div>", LONG.strip()),
+        (f"<div id=c><p>{LONG * 4}</p></div><div class='related-posts'><p>{LONG * 3}</p></div>", (LONG * 4).strip()),
+        (f"<div id=c><p>{LONG}</p></div><div class='related-posts'><a href=x>{LONG * 3}</a></div>", LONG.strip()),
+        (f"<div id=c><p>{LONG}</p></div><section id=comments><article class=comment><p>{LONG * 9}</p></article></section>", LONG.strip()),
+    ],
+)
+def test_names_do_not_take_the_article(page, text):
+    assert main_text(page) == text
+
+
 def test_deep_and_long_pages():
     assert main_text("<div>" * 5000 + "deep" + "</div>" * 5000) == "deep"
     assert main_text("<p>" + "word, " * 200_000 + "</p>") == ("word, " * 200_000).strip()
