@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from maskloom.llm import chat, decontaminate, html, jaccard, language, packing, quality, sharding, substrings, urls
+from maskloom.llm import chat, decontaminate, html, jaccard, language, packing, periods, quality, sharding, substrings, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -212,3 +212,48 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     added = spark.createDataFrame([(-1, 0, "user", hard), (-1, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
     turns = turns.unionByName(added).withColumn("parts", chat.text_part(F.col("text")))
     return chat.read_back(chat.format_turns(turns)).withColumnRenamed("conversation", "conv_id")
+
+
+# crc32 of the decimal doc_id, byte by byte and bit by bit
+CRC_SQL = """xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, length({0}) + 1), lambda i: ascii({0}[i])::BIGINT)),
+    lambda c, x: list_reduce(list_concat([xor(c, x)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda a, b: xor(a >> 1, (a & 1) * 3988292384))))"""
+
+#: words q apart that are equal, joined to stretches without a gap; the smallest q of a stretch is its period
+PERIODS_SQL = f"""WITH d AS (SELECT doc_id, {WORDS.format("coalesce(text, '')")} AS w, {CRC_SQL.format('CAST(doc_id AS VARCHAR)')} AS h FROM documents),
+  a AS (SELECT *, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a, h // 10 AS g FROM d),
+  x AS (SELECT doc_id, n, CASE WHEN a IS NULL THEN w ELSE list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END]) END AS w FROM a),
+  c AS (SELECT doc_id, unnest(range(n)) AS i, unnest(w) AS v FROM x),
+  same AS (SELECT p.doc_id, p.i, q.i - p.i AS d FROM c p JOIN c q ON p.doc_id = q.doc_id AND p.v = q.v AND q.i > p.i JOIN x ON x.doc_id = p.doc_id WHERE 2 * (q.i - p.i) <= n),
+  isle AS (SELECT doc_id, d, min(i) AS s, count(*) + d AS len FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, d ORDER BY i) AS k FROM same) GROUP BY doc_id, d, k),
+  runs AS (SELECT doc_id, s, len, min(d) AS p FROM isle WHERE len >= greatest(12, 2 * d) GROUP BY ALL),
+  gone AS (SELECT DISTINCT doc_id, unnest(range(s + p, s + len)) AS i, true AS cut FROM runs),
+  kept AS (SELECT doc_id, string_agg(v, ' ' ORDER BY i) FILTER (WHERE cut IS NULL) AS t FROM c LEFT JOIN gone USING (doc_id, i) GROUP BY doc_id),
+  r AS (SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || len || ',' || p || chr(10), '' ORDER BY s, p) AS listed, max({{'l': len, 's': -s, 'p': -p}}) AS top FROM runs GROUP BY doc_id)
+  SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, -top.s AS start, top.l AS length, -top.p AS period, (1000 * top.l) // -top.p AS exponent_milli,
+    sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(t, '')) AS collapsed_sha256 FROM d LEFT JOIN r USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
+
+@query("op13_periodic_runs", PERIODS_SQL)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    # the rows that the contract makes periodic: the words from a on repeat the first p of them
+    h = F.crc32(F.col("doc_id").cast("string"))
+    rows = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("w"))
+    rows = rows.withColumn("n", F.size("w").cast("long")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    rows = rows.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    made = F.expr("array_join(slice(concat(slice(w, 1, int(a)), flatten(array_repeat(slice(w, int(a + 1), int(p)), 10))), 1, int(n)), ' ')")
+    rows = rows.select("doc_id", F.when(F.col("a").isNotNull(), made).otherwise(F.col("text")).alias("text"))
+    found = periods.periodic_runs(rows)
+    listed = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    top = F.expr("array_max(transform(runs, r -> struct(r.length as l, -r.start as s, -r.period as p)))")
+    found = found.withColumn("top", top)
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("top.s")).alias("start"),
+        F.col("top.l").alias("length"),
+        (-F.col("top.p")).alias("period"),
+        F.expr("(1000 * top.l) div -top.p").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
