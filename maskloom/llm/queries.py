@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from maskloom.llm import chat, decontaminate, html, jaccard, language, packing, periods, quality, sharding, substrings, urls
+from maskloom.llm import chat, decontaminate, html, jaccard, language, packing, periods, quality, search, sharding, substrings, urls
+from maskloom.llm.common import saved
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -214,6 +215,25 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return chat.read_back(chat.format_turns(turns)).withColumnRenamed("conversation", "conv_id")
 
 
+TERMS = f"regexp_extract_all({LOWER.format('{0}')}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+SEARCH_SQL = f"""WITH d AS (SELECT doc_id, unnest({TERMS.format("coalesce(text, '')")}) AS t FROM documents),
+  tf AS (SELECT doc_id, t, count(*) AS tf FROM d GROUP BY ALL), len AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM tf GROUP BY ALL),
+  whole AS (SELECT count(*) AS big_n, sum(n)::BIGINT AS big_l FROM len),
+  w AS (SELECT t, floor(1000 * ln((2 * any_value(big_n) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tf, whole GROUP BY t),
+  m AS (SELECT doc_id, 75 + (25 * n * big_n) // big_l AS m FROM len, whole),
+  q AS (SELECT item_id, unnest({TERMS.format("coalesce(text, '')")}) AS t FROM benchmark),
+  s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score FROM q JOIN w USING (t) JOIN tf USING (t) JOIN m USING (doc_id) GROUP BY ALL)
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM s WHERE score > 0
+  QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 20"""
+
+
+@query("op11_lexical_search", SEARCH_SQL)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    index = saved(search.build_index(table(spark, folder, "documents")), "index")
+    return search.search(index, table(spark, folder, "benchmark"), k=20)
+
+
 # crc32 of the decimal doc_id, byte by byte and bit by bit
 CRC_SQL = """xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, length({0}) + 1), lambda i: ascii({0}[i])::BIGINT)),
     lambda c, x: list_reduce(list_concat([xor(c, x)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda a, b: xor(a >> 1, (a & 1) * 3988292384))))"""
