@@ -32,7 +32,7 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, Stru
 from maskloom.llm.common import byte_slices, numbered, saved
 
 #: text of a shard, one row at least
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 4 << 20
 BLOCK = 128
 #: documents whose scores are added up at a time
 RANGE = 2048
@@ -43,20 +43,16 @@ QUERY_ITEMS, QUERY_BYTES = 4096, 8 << 20
 _TERM = bytes([*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)])
 _TABLE = bytes(ord(chr(c).lower()) if c < 128 and c in _TERM else c if c in _TERM else 32 for c in range(256))
 
-#: the columns of a shard: name and number type, all packed
+#: the columns of a shard: name and number type, all packed; what they imply is not stored
 PARTS = {
-    "lengths": np.int64,  # terms of each document, with repeats
-    "dfs": np.int32,  # documents of each term
-    "first": np.int32,  # first block of each term
-    "counts": np.int32,  # postings of each block
-    "base": np.int32,  # document before the block's first one in the list
-    "last": np.int32,  # last document of the block
+    "lengths": np.int32,  # terms of each document, with repeats
+    "dfs": np.int32,  # documents of each term, in blocks of BLOCK and a shorter last one
+    "last": np.int32,  # last document of each block
     "widths": np.uint8,  # bytes of a gap, 16 times, and of a frequency
-    "offset": np.int64,  # where the block starts in the payload
-    "pairs": np.int32,  # first pair of each block
-    "pair_tf": np.int64,
-    "pair_n": np.int64,
-    "payload": np.uint8,
+    "pairs": np.uint8,  # pairs of each block
+    "pair_tf": np.int32,
+    "pair_n": np.int32,
+    "payload": np.uint8,  # the blocks: gaps, then frequencies
 }
 
 
@@ -133,13 +129,9 @@ def build_shard(texts: list[str | None]) -> tuple[list[int], bytes, dict[str, np
     values = {
         "lengths": length,
         "dfs": dfs,
-        "first": np.searchsorted(term[begin], np.arange(len(terms) + 1)),
-        "counts": counts,
-        "base": before[begin],
         "last": doc[begin + counts - 1],
         "widths": gap_width * 16 + tf_width,
-        "offset": offset,
-        "pairs": np.searchsorted(block[chosen], np.arange(len(begin) + 1)),
+        "pairs": np.bincount(block[chosen], minlength=len(begin)),
         "pair_tf": tf[chosen],
         "pair_n": n[chosen],
         "payload": payload,
@@ -199,7 +191,16 @@ class Shard:
         self.size = len(self.lengths)
         self.m = np.array([length_factor(n, documents, total) for n in self.lengths.tolist()], np.int64)
         pair_m = np.array([length_factor(n, documents, total) for n in self.pair_n.tolist()], np.int64)
-        self.most = np.maximum.reduceat(impact(self.pair_tf, pair_m), self.pairs[:-1])
+        pairs = self.pairs.astype(np.int64)
+        self.most = np.maximum.reduceat(impact(self.pair_tf.astype(np.int64), pair_m), np.cumsum(pairs) - pairs)
+        blocks = -(-self.dfs // BLOCK)
+        self.first = np.concatenate([[0], np.cumsum(blocks)])
+        self.counts = np.full(len(self.last), BLOCK, np.int64)
+        self.counts[self.first[1:] - 1] = self.dfs - BLOCK * (blocks - 1)
+        self.base = np.concatenate([[-1], self.last[:-1]])
+        self.base[self.first[:-1]] = -1
+        size = self.counts * (self.widths // 16 + self.widths % 16)
+        self.offset = np.cumsum(size) - size
         self.lists: dict[int, Postings] = {}
 
     def postings(self, term: bytes) -> Postings | None:
