@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from maskloom.llm import chat, decontaminate, html, jaccard, language, packing, periods, quality, search, sharding, substrings, urls
+from maskloom.llm import chat, decontaminate, html, jaccard, language, packing, periods, quality, search, sharding, substrings, suffixes, urls
 from maskloom.llm.common import saved
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -234,6 +234,14 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
     return search.search(index, table(spark, folder, "benchmark"), k=20)
 
 
+@query("op12_suffix_dedup")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return suffixes.repeated_bytes(docs, window=400).select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 # crc32 of the decimal doc_id, byte by byte and bit by bit
 CRC_SQL = """xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, length({0}) + 1), lambda i: ascii({0}[i])::BIGINT)),
     lambda c, x: list_reduce(list_concat([xor(c, x)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda a, b: xor(a >> 1, (a & 1) * 3988292384))))"""
