@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from samples import documents, empty, frame, words
 
@@ -53,17 +54,45 @@ def test_parts_score_like_one_index(spark, monkeypatch, limit, value):
     assert sorted(str(r[0]) for r in without_leaks(docs, table).collect()) == left
 
 
-def test_block_maxima_lose_nothing():
-    """Every item that scores by the plain sum comes back."""
+def plain_scores(index, words):
+    """Items and scores of a passage by the plain sum over all postings."""
+    ids = sorted({index.vocabulary[w] for w in words if w in index.vocabulary})
+    score = {}
+    for v in ids:
+        for k in range(index.first[v], index.first[v + 1]):
+            i = int(index.item[k])
+            score[i] = score.get(i, 0.0) + index.weight[k]
+    return {i: s for i, s in score.items() if s >= 1 - 1e-9}
+
+
+@pytest.mark.parametrize("block,cells", [(4, 1 << 21), (1, 40), (7, 9)])
+def test_pivots_and_block_maxima_lose_nothing(monkeypatch, block, cells):
+    """Every passage and item that reaches the threshold by the plain sum comes back."""
+    monkeypatch.setattr(decontaminate, "BLOCK", block)
+    monkeypatch.setattr(decontaminate, "CELLS", cells)
     rows, items, _ = planted()
     index = Index([x for x in items if x[1]])
-    for row in rows[::3]:
-        ids = sorted({index.vocabulary[w] for w in tokens(row[1])[:80] if w in index.vocabulary})
-        import numpy as np
-
-        got = {i for i, _ in index.retrieve(np.array(ids, np.int64))}
-        plain = {i: sum(x for v in ids for j, x in index.postings[v] if j == i) for i in range(len(index.items))}
-        assert got == {i for i, s in plain.items() if s >= 1 - 1e-9}
+    texts = [tokens(r[1]) for r in rows]
+    ids = np.array([index.vocabulary.get(w, len(index.vocabulary)) for t in texts for w in t], np.int64)
+    got = {(t, low): dict(hits) for t, low, hits in index.passages([len(t) for t in texts], ids)}
+    want = {}
+    for t, words in enumerate(texts):
+        for low in range(0, max(1, len(words) - index.longest), index.longest):
+            hits = plain_scores(index, words[low : low + 2 * index.longest])
+            if hits:
+                want[t, low] = hits
+    assert got == want and len(want) > 12
+
+
+def test_dead_blocks_are_skipped():
+    """Cursors jump over blocks that the block maxima rule out."""
+    rows, items, _ = planted()
+    index = Index([x for x in items if x[1]])
+    ids = np.array(sorted({index.vocabulary[w] for w in tokens(items[3][1])}))
+    alive = index.alive(np.zeros(len(ids), np.int64), ids, 1)[0]
+    assert 0 < alive.sum() < len(alive)
+    assert [i for i, _ in index.retrieve(ids, np.flatnonzero(alive).tolist())] == [3]
+    assert index.retrieve(ids, []) == []
 
 
 def test_same_as_brute_force_on_shingles(spark):
