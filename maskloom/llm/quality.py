@@ -3,9 +3,15 @@
 Each text gets a few counts. Their distribution in every language and source is kept in a
 mergeable quantile sketch: counts per logarithmic bucket, so a quantile is right within
 ``ACCURACY`` and sketches of parts merge by adding, in any order and with the same result.
-The fences of a language and source come from its own sketch, or, where it has few rows,
-from the merged sketch of its language or of the whole table. A join brings them back to
-the rows.
+Rows that fail the fixed base rule are left out of the sketches. The fences of a language and
+source come from its own sketch, or, where it has few rows, from the merged sketch of its
+language or of the whole table; no fence is a fixed number. A join brings them back to the
+rows.
+
+An upper fence lies above a high quantile by twice the distance between that quantile and a
+lower one. A source whose lower quantile is inside the fence of its language is an ordinary one,
+and junk in it cannot lift its fence above that of the language; another source has habits
+of its own and keeps its own fence. Word lengths have quartile fences on both sides.
 """
 
 from __future__ import annotations
@@ -26,11 +32,16 @@ GAMMA = (1 + ACCURACY) / (1 - ACCURACY)
 ZERO = -(1 << 20)
 #: a language and source needs so many rows for fences of its own
 LEAST_ROWS = 200
-#: fences lie this many quartile distances outside the quartiles
+#: the quantiles between which a fence is measured: the higher one plus so many times their distance
+TAIL_REACH = 2.0
+TAILS = {"symbols": ("q50", "q90"), "lines": ("q90", "q99"), "repeats": ("q90", "q99")}
+#: fences of the word length lie this many quartile distances outside the quartiles
 REACH = 3.0
-#: never reject below these shares, nor word lengths within this factor of the median
-SLACK = {"symbols": 0.05, "lines": 0.5, "repeats": 0.4}
-LENGTH_FACTOR = 1.5
+QUANTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75, "q90": 0.9, "q99": 0.99}
+#: the least event of a feature, which no fence can tell from none: a symbol, a line, a window of
+#: three words found twice
+UNITS = {"symbols": (1, "word_chars"), "lines": (1, "n_lines"), "repeats": (6, "n_words")}
+FENCES = ["high_symbols", "high_lines", "high_repeats", "high_length", "low_length"]
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
 BROADCAST_ROWS = 100_000
 
@@ -101,12 +112,17 @@ def features() -> dict[str, Column]:
     }
 
 
+def base_failed() -> Column:
+    """Fewer than 50 words, or over half of them in repeated three-word windows."""
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+
+
 def sketch(measured: DataFrame, by: list[str]) -> DataFrame:
-    """Bucket counts ``(by..., feature, bucket, n)`` of every feature; texts without words
-    are not counted. Rows are added up before they are exchanged, so a hot group costs a
-    task no more than its buckets."""
+    """Bucket counts ``(by..., feature, bucket, n)`` of every feature over the rows that pass
+    the base rule. Rows are added up before they are exchanged, so a hot group costs a task no
+    more than its buckets."""
     values = [F.struct(F.lit(k).alias("feature"), v.cast("double").alias("v")) for k, v in features().items()]
-    rows = measured.where("n_words > 0").select(*by, F.explode(F.array(*values)).alias("one"))
+    rows = measured.where(~base_failed()).select(*by, F.explode(F.array(*values)).alias("one"))
     bucket = F.when(F.col("one.v") <= 0, F.lit(ZERO)).otherwise(F.ceil(F.log("one.v") / math.log(GAMMA)).cast("int"))
     return rows.groupBy(*by, F.col("one.feature").alias("feature"), bucket.alias("bucket")).agg(
         F.count(F.lit(1)).alias("n")
@@ -117,73 +133,97 @@ def merged(sketches: DataFrame, by: list[str]) -> DataFrame:
     return sketches.groupBy(*by, "feature", "bucket").agg(F.sum("n").alias("n"))
 
 
-def quartiles(sketches: DataFrame, by: list[str]) -> DataFrame:
-    """``n``, ``q1``, ``q2``, ``q3`` of each group and feature."""
+def quantiles(sketches: DataFrame, by: list[str]) -> DataFrame:
+    """``n`` and ``QUANTILES`` of each group and feature."""
     group = Window.partitionBy(*by, "feature")
     rows = sketches.withColumn("seen", F.sum("n").over(group.orderBy("bucket"))).withColumn("all", F.sum("n").over(group))
     middle = F.when(F.col("bucket") == ZERO, F.lit(0.0)).otherwise(F.pow(F.lit(GAMMA), F.col("bucket")) * 2 / (1 + GAMMA))
     rows = rows.withColumn("v", middle)
     picked = [
         F.min(F.when(F.col("seen") >= F.ceil(F.col("all") * share), F.col("v"))).alias(name)
-        for name, share in (("q1", 0.25), ("q2", 0.5), ("q3", 0.75))
+        for name, share in QUANTILES.items()
     ]
     return rows.groupBy(*by, "feature").agg(F.max("all").alias("n"), *picked)
 
 
 def fences(measured: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
-    """Upper fences per language and source (null is a value of its own), and a lower one
-    for the word length: columns ``lang``, ``source``, ``high_<feature>``, ``low_length``."""
+    """The fences of each language and source (null is a value of its own): columns ``lang``,
+    ``source`` and ``FENCES``. Groups without a row that passes the base rule have none."""
     named = measured.select(F.col(f"`{lang}`").alias("lang"), F.col(f"`{source}`").alias("source"), *COUNTS)
     own = saved(sketch(named, ["lang", "source"]), "sketch")
     of_lang = merged(own, ["lang"])
     levels = [
-        quartiles(own, ["lang", "source"]).alias("a"),
-        quartiles(of_lang, ["lang"]).alias("b"),
-        quartiles(merged(of_lang, []), []).alias("c"),
+        quantiles(own, ["lang", "source"]).alias("a"),
+        quantiles(of_lang, ["lang"]).alias("b"),
+        quantiles(merged(of_lang, []), []).alias("c"),
     ]
     both = levels[0].join(
         levels[1], F.col("a.lang").eqNullSafe(F.col("b.lang")) & (F.col("a.feature") == F.col("b.feature"))
     ).join(levels[2], F.col("a.feature") == F.col("c.feature"))
-    pick = {
-        q: F.when(F.col("a.n") >= LEAST_ROWS, F.col(f"a.{q}"))
-        .when(F.col("b.n") >= LEAST_ROWS, F.col(f"b.{q}"))
-        .otherwise(F.col(f"c.{q}"))
-        for q in ("q1", "q2", "q3")
-    }
-    rows = both.select("a.lang", "a.source", "a.feature", *[c.alias(q) for q, c in pick.items()])
-    wide = F.col("q3") - F.col("q1")
-    high, low = F.col("q3") + REACH * wide, F.col("q1") - REACH * wide
+    few, few_lang = F.col("a.n") < LEAST_ROWS, F.col("b.n") < LEAST_ROWS
+    wide = {q: F.when(few_lang, F.col(f"c.{q}")).otherwise(F.col(f"b.{q}")) for q in QUANTILES}
+    near = {q: F.when(few, wide[q]).otherwise(F.col(f"a.{q}")) for q in QUANTILES}
+    rows = both.select(
+        "a.lang", "a.source", "a.feature", *[c.alias(q) for q, c in near.items()], *[c.alias(f"wide_{q}") for q, c in wide.items()]
+    )
 
     def of(feature: str, value: Column) -> Column:
         return F.max(F.when(F.col("feature") == feature, value))
 
-    return rows.groupBy("lang", "source").agg(
-        *[of(k, F.greatest(high, F.lit(v))).alias(f"high_{k}") for k, v in SLACK.items()],
-        of("length", F.greatest(high, F.col("q2") * LENGTH_FACTOR)).alias("high_length"),
-        of("length", F.least(low, F.col("q2") / LENGTH_FACTOR)).alias("low_length"),
-    )
+    out = []
+    for feature, (low, high) in TAILS.items():
+        narrow, broad = (F.col(p + high) + TAIL_REACH * (F.col(p + high) - F.col(p + low)) for p in ("", "wide_"))
+        ordinary = F.col(low) <= broad
+        out.append(of(feature, F.when(ordinary, F.least(narrow, broad)).otherwise(narrow)).alias(f"high_{feature}"))
+    # copies of one text must not make a spread of nothing
+    spread = F.greatest(F.col("q75") - F.col("q25"), F.col("wide_q75") - F.col("wide_q25"))
+    out.append(of("length", F.col("q75") + REACH * spread).alias("high_length"))
+    out.append(of("length", F.col("q25") - REACH * spread).alias("low_length"))
+    return rows.groupBy("lang", "source").agg(*out)
+
+
+def within() -> dict[str, Column]:
+    """For each feature, whether a row lies inside its fences; a sketch is right within a
+    bucket, and a single event passes."""
+    out = {}
+    for name, (unit, total) in UNITS.items():
+        room = F.greatest(F.col(f"high_{name}") * GAMMA, unit / F.greatest(total, F.lit(1)))
+        out[name] = F.coalesce(features()[name] <= room, F.lit(True))
+    length = features()["length"]
+    inside = (length <= F.col("high_length") * GAMMA) & (length >= F.col("low_length") / GAMMA)
+    return {**out, "length": F.coalesce(inside, F.lit(True))}
+
+
+def fenced(measured: DataFrame, limits: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
+    """``measured`` under names that cannot clash (``own_<i>``), beside its counts and fences."""
+    select, _, names = carried(measured, COUNTS)
+    rows = measured.select(*select, *COUNTS)
+    few = limits.count() <= BROADCAST_ROWS
+    same = F.col(names[lang]).eqNullSafe(F.col("lang")) & F.col(names[source]).eqNullSafe(F.col("source"))
+    return rows.join(F.broadcast(limits) if few else limits, same, "left")
 
 
 def judged(measured: DataFrame, limits: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
-    """Adds ``base_failed`` (fewer than 50 words, or over half of them in repeated
-    three-word windows) and ``kept`` (no base failure, all features inside the fences)."""
-    if limits.count() <= BROADCAST_ROWS:
-        limits = F.broadcast(limits)
-    limits = limits.select(
-        F.col("lang").alias("_lang"), F.col("source").alias("_source"), "high_symbols", "high_lines", "high_repeats", "high_length", "low_length"
-    )
-    same = F.col(f"`{lang}`").eqNullSafe(F.col("_lang")) & F.col(f"`{source}`").eqNullSafe(F.col("_source"))
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    inside = F.lit(True)
-    for name, value in features().items():
-        inside = inside & (value <= F.col(f"high_{name}"))
-    inside = inside & (features()["length"] >= F.col("low_length"))
-    columns = [F.col(f"`{c}`") for c in measured.columns if c not in ("base_failed", "kept")]
-    return measured.join(limits, same, "left").select(
-        *columns, failed.alias("base_failed"), (~failed & F.coalesce(inside, F.lit(True))).alias("kept")
+    """Adds ``base_failed`` and ``kept`` (no base failure, all features inside the fences)."""
+    _, _, names = carried(measured, COUNTS)
+    inside = within()
+    kept = ~base_failed() & inside["symbols"] & inside["lines"] & inside["repeats"] & inside["length"]
+    rows = fenced(measured, limits, lang, source).withColumn("made_failed", base_failed()).withColumn("made_kept", kept)
+    return given_back(
+        rows, measured, {**names, **{c: c for c in COUNTS}}, {"base_failed": "made_failed", "kept": "made_kept"}
     )
 
 
+def rejections(measured: DataFrame, limits: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
+    """Per language and source: rows, rows that fail the base rule, and of the others those that
+    lie outside the fences of each feature, beside the fences."""
+    rows = fenced(measured, limits, lang, source)
+    _, _, names = carried(measured, COUNTS)
+    groups = rows.groupBy(F.col(names[lang]).alias("lang"), F.col(names[source]).alias("source"))
+    out = [F.count_if(~base_failed() & ~ok).alias(f"out_{k}") for k, ok in within().items()]
+    return groups.agg(F.count(F.lit(1)).alias("n"), F.count_if(base_failed()).alias("base_failed"), *out, *[F.max(c).alias(c) for c in FENCES])
+
+
 def rules(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", keep_text: bool = True) -> DataFrame:
     """``docs`` with ``COUNTS``, ``base_failed`` and ``kept``.
 

@@ -100,20 +100,30 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
-def _quartile(share: float) -> str:
-    return f"min(CASE WHEN seen >= ceil(whole * {share}) THEN v END)"
+def _quantiles_sql(name: str, by: str, source: str) -> str:
+    picked = ", ".join(f"min(CASE WHEN seen >= ceil(whole * {share}) THEN v END) AS {q}" for q, share in quality.QUANTILES.items())
+    return f"""{name} AS (SELECT {by} feature, max(whole) AS n, {picked} FROM
+    (SELECT *, CASE WHEN bucket IS NULL THEN 0 ELSE pow({quality.GAMMA!r}::DOUBLE, bucket) * 2 / (1 + {quality.GAMMA!r}::DOUBLE) END AS v,
+      sum(n) OVER (PARTITION BY {by} feature ORDER BY bucket NULLS FIRST) AS seen, sum(n) OVER (PARTITION BY {by} feature) AS whole
+     FROM (SELECT {by} feature, bucket, sum(n) AS n FROM {source} GROUP BY ALL)) GROUP BY ALL)"""
 
 
-def _picked(q: str) -> str:
-    return f"CASE WHEN a.n >= {quality.LEAST_ROWS} THEN a.{q} WHEN b.n >= {quality.LEAST_ROWS} THEN b.{q} ELSE c.{q} END"
+_NEAR = ", ".join(f"CASE WHEN a.n >= {quality.LEAST_ROWS} THEN a.{q} WHEN b.n >= {quality.LEAST_ROWS} THEN b.{q} ELSE c.{q} END AS {q}" for q in quality.QUANTILES)
+_WIDE = ", ".join(f"CASE WHEN b.n >= {quality.LEAST_ROWS} THEN b.{q} ELSE c.{q} END AS wide_{q}" for q in quality.QUANTILES)
 
 
-def _quartiles_sql(name: str, by: str, source: str) -> str:
-    return f"""{name} AS (SELECT {by} feature, max(whole) AS n, {_quartile(0.25)} AS q1, {_quartile(0.5)} AS q2, {_quartile(0.75)} AS q3 FROM
-    (SELECT *, CASE WHEN bucket IS NULL THEN 0 ELSE pow({quality.GAMMA!r}::DOUBLE, bucket) * 2 / (1 + {quality.GAMMA!r}::DOUBLE) END AS v,
-      sum(n) OVER (PARTITION BY {by} feature ORDER BY bucket NULLS FIRST) AS seen, sum(n) OVER (PARTITION BY {by} feature) AS whole
-     FROM (SELECT {by} feature, bucket, sum(n) AS n FROM {source} GROUP BY ALL)) GROUP BY ALL)"""
+def _fence_sql(feature: str) -> str:
+    low, high = quality.TAILS[feature]
+    own, broad = f"({high} + {quality.TAIL_REACH} * ({high} - {low}))", f"(wide_{high} + {quality.TAIL_REACH} * (wide_{high} - wide_{low}))"
+    return f"max(CASE WHEN {low} <= {broad} THEN least({own}, {broad}) ELSE {own} END) FILTER (feature = '{feature}') AS high_{feature}"
+
+
+def _within_sql(feature: str) -> str:
+    unit, total = quality.UNITS[feature]
+    return f"{feature} <= greatest(high_{feature} * {quality.GAMMA!r}::DOUBLE, {unit} / greatest({total}, 1))"
+
 
+_SPREAD = "greatest(q75 - q25, wide_q75 - wide_q25)"
 
 QUALITY_SQL = f"""WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, {WORDS.format("coalesce(text, '')")} AS w FROM documents),
   tri AS (SELECT doc_id, k, list_slice(w, k, k + 2) AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS k FROM d)),
@@ -126,16 +136,17 @@ QUALITY_SQL = f"""WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS
   f AS (SELECT *, n_symbols / greatest(word_chars, 1) AS symbols, n_dup_lines / greatest(n_lines, 1) AS lines,
     n_repeat_words / greatest(n_words, 1) AS repeats, word_chars / greatest(n_words, 1) AS length FROM m),
   sk AS (SELECT lang, source, feature, CASE WHEN v > 0 THEN ceil(ln(v) / ln({quality.GAMMA!r}::DOUBLE)) END AS bucket, count(*) AS n FROM
-    (UNPIVOT (SELECT lang, source, symbols, lines, repeats, length FROM f WHERE n_words > 0) ON symbols, lines, repeats, length INTO NAME feature VALUE v) GROUP BY ALL),
-  {_quartiles_sql('a', 'lang, source,', 'sk')}, {_quartiles_sql('b', 'lang,', 'sk')}, {_quartiles_sql('c', '', 'sk')},
-  p AS (SELECT a.lang, a.source, a.feature, {_picked('q1')} AS q1, {_picked('q2')} AS q2, {_picked('q3')} AS q3
+    (UNPIVOT (SELECT lang, source, symbols, lines, repeats, length FROM f WHERE n_words >= 50 AND 100 * n_repeat_words <= 50 * n_words)
+      ON symbols, lines, repeats, length INTO NAME feature VALUE v) GROUP BY ALL),
+  {_quantiles_sql('a', 'lang, source,', 'sk')}, {_quantiles_sql('b', 'lang,', 'sk')}, {_quantiles_sql('c', '', 'sk')},
+  p AS (SELECT a.lang, a.source, a.feature, {_NEAR}, {_WIDE}
     FROM a JOIN b ON a.lang IS NOT DISTINCT FROM b.lang AND a.feature = b.feature JOIN c ON a.feature = c.feature),
-  g AS (SELECT lang, source, {', '.join(f"max(greatest(q3 + {quality.REACH} * (q3 - q1), {v})) FILTER (feature = '{k}') AS high_{k}" for k, v in quality.SLACK.items())},
-    max(greatest(q3 + {quality.REACH} * (q3 - q1), q2 * {quality.LENGTH_FACTOR})) FILTER (feature = 'length') AS high_length,
-    max(least(q1 - {quality.REACH} * (q3 - q1), q2 / {quality.LENGTH_FACTOR})) FILTER (feature = 'length') AS low_length FROM p GROUP BY ALL)
+  g AS (SELECT lang, source, {', '.join(_fence_sql(k) for k in quality.TAILS)},
+    max(q75 + {quality.REACH} * {_SPREAD}) FILTER (feature = 'length') AS high_length,
+    max(q25 - {quality.REACH} * {_SPREAD}) FILTER (feature = 'length') AS low_length FROM p GROUP BY ALL)
   SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-    NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND coalesce(symbols <= high_symbols AND lines <= high_lines AND repeats <= high_repeats
-      AND length BETWEEN low_length AND high_length, true) AS kept
+    NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND coalesce({' AND '.join(_within_sql(k) for k in quality.TAILS)}
+      AND length BETWEEN low_length / {quality.GAMMA!r}::DOUBLE AND high_length * {quality.GAMMA!r}::DOUBLE, true) AS kept
   FROM f LEFT JOIN g ON f.lang IS NOT DISTINCT FROM g.lang AND f.source IS NOT DISTINCT FROM g.source"""
 
 
