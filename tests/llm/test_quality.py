@@ -154,7 +154,7 @@ def test_copies_of_one_text_leave_others_alone(spark):
 
 
 def test_fences_differ_and_names_do_not_clash(spark):
-    rows = documents(count=900)
+    rows = documents(count=3000)
     rows += [(3000 + i, " ".join(f"{'#' * (j % 2)}w{i}x{j}" for j in range(70)), "fr", "code", 1, "", 0) for i in range(LEAST_ROWS)]
     docs = frame(spark, rows)
     limits = {(r.lang, r.source): r.high_symbols for r in fences(measure(docs)).collect()}
