@@ -84,11 +84,12 @@ def rank_in_class(df: DataFrame, kind: str, key: str, out: str, rows_per_group:
 
 
 def _is_star_forest(edges: DataFrame) -> bool:
-    """Whether every ``a`` has one ``b`` and no ``b`` is an ``a``."""
-    counts = edges.groupBy("a").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-    if (counts or 1) > 1:
-        return False
-    return edges.join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_semi").isEmpty()
+    """Whether every ``a`` has one ``b`` and no ``b`` is an ``a``; one exchange of node counts."""
+    one, none = F.lit(1), F.lit(0)
+    ends = edges.select(F.col("a").alias("node"), one.alias("out"), none.alias("into"))
+    ends = ends.union(edges.select(F.col("b").alias("node"), none.alias("out"), one.alias("into")))
+    nodes = ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
+    return nodes.where("out > 1 or (out > 0 and into > 0)").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:

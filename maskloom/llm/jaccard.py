@@ -27,10 +27,12 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
 from maskloom.llm import repeats
-from maskloom.llm.common import as_fields, components, numbered, saved
+from maskloom.llm.common import as_fields, carried, components, numbered, saved
 from maskloom.llm.words import mixed, read_words, windows
 
 CHUNK = 64
+#: rows of 17 bytes that are broadcast at most: about 10 MB as a hash table
+BROADCAST_ROWS = 100_000
 
 
 def shingle_sets(texts: list[bytes | None], size: int) -> list[np.ndarray]:
@@ -319,3 +321,25 @@ def classes(
         F.col("textkey").alias("text_key"),
         "first",
     )
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, one of each class of near copies (``classes``).
+
+    The one with the smallest key stays, null keys last; of rows equal in key and text, one.
+    Rows without words (null and empty texts) are no copies of each other and stay. Columns of
+    the caller travel under other names, so they cannot clash. An empty table stays empty.
+    """
+    rows = classes(docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text")), "id", "text", size, percent)
+    per_text = rows.where("in_class > 1").groupBy("id", "text_key").agg(F.max("first").alias("first"), F.count(F.lit(1)).alias("copies"))
+    # of the rows that are not alone: whether one stays
+    gone = saved(per_text.where("not first or copies > 1"), "classes")
+    few = gone.count() <= BROADCAST_ROWS
+    select, _, names = carried(docs, [])
+    own = docs.select(*select)
+    same = F.col(names[key]).eqNullSafe(F.col("id")) & F.xxhash64(names[text]).eqNullSafe(F.col("text_key"))
+    marked = own.join(F.broadcast(gone) if few else gone, same, "left")
+    kept = marked.where("first is null")
+    if not gone.where("first").isEmpty():
+        kept = kept.unionByName(marked.where("first").dropDuplicates(["id", "text_key"]))
+    return kept.select(*[F.col(new).alias(old) for old, new in names.items()])

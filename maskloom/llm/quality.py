@@ -238,3 +238,11 @@ def rules(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
         return judged(measure(docs, text), fences(counts, lang, source), lang, source)
     counts = saved(measure(docs, text, keep_text=False), "counts")
     return judged(counts, fences(counts, lang, source), lang, source)
+
+
+def passing(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+    """The rows of ``docs`` that ``rules`` keeps, with the caller's columns only, also those
+    that have a name of ours."""
+    select, _, names = carried(docs, [])
+    back = [F.col(new).alias(old) for old, new in names.items()]
+    return rules(docs.select(*select), names[text], names[lang], names[source]).where("kept").select(*back)

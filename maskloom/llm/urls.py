@@ -12,7 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from maskloom.llm.common import components, saved
+from maskloom.llm.common import carried, components, saved
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -103,8 +103,8 @@ def judge(
     URLs) adds known redirects. Null URLs and URLs without ``://`` have empty host and path, no
     rule and the verdict allow. Repeated rows are judged alike; a page of any length and a URL
     that a third of the rows share are ordinary rows of a join that adaptive execution may split.
-    Columns of the caller that have one of the added names are replaced. Empty tables give an
-    empty table.
+    Columns of the caller but the page come back; those that have one of the added names are
+    replaced. Empty tables give an empty table.
     """
     links = alias_edges(pages, url, html)
     if edges is not None:
@@ -117,21 +117,13 @@ def judge(
         F.max(F.coalesce(F.col("own") == "block", F.lit(False))).alias("blocked"),
         F.max(F.coalesce(F.col("own") == "allow", F.lit(False))).alias("allowed"),
     )
-    spread = of_root.where("blocked and not allowed").join(label, "root").select(F.col("node").alias("_node"), F.lit(True).alias("_by_alias"))
+    spread = of_root.where("blocked and not allowed").join(label, "root").select("node", F.lit(True).alias("by_alias"))
     added = ["host", "path", "rule", "verdict"]
-    kept = [c for c in pages.columns if c not in added]
+    own, _, names = carried(pages, [*added, html])
     source = F.col(f"`{url}`")
     rows = pages.select(
-        *[F.col(f"`{c}`") for c in kept if c != html],
-        host_of(source).alias("host"),
-        path_of(source).alias("path"),
-        node_of(source).alias("_node"),
-    ).withColumn("_found", rule_of(F.col("host"), F.col("path"), rules))
-    verdict = F.coalesce(F.col("_found.verdict"), F.when(F.col("_by_alias"), F.lit("block")), F.lit("allow"))
-    return rows.join(spread, "_node", "left").select(
-        *[F.col(f"`{c}`") for c in kept if c != html],
-        "host",
-        "path",
-        F.col("_found.rule").alias("rule"),
-        verdict.alias("verdict"),
-    )
+        *own, host_of(source).alias("host"), path_of(source).alias("path"), node_of(source).alias("node")
+    ).withColumn("found", rule_of(F.col("host"), F.col("path"), rules))
+    verdict = F.coalesce(F.col("found.verdict"), F.when(F.col("by_alias"), F.lit("block")), F.lit("allow"))
+    rows = rows.join(spread, "node", "left").withColumn("rule", F.col("found.rule")).withColumn("verdict", verdict)
+    return rows.select(*[F.col(new).alias(old) for old, new in names.items()], *added)

@@ -92,6 +92,28 @@ def test_empty_and_awkward_documents(spark, folder):
             assert got.where("doc_id = 2").count() == 1
 
 
+INTERNAL = [
+    "_id", "_key", "_first", "_text_key", "id", "text_key", "first", "in_class", "copies", "row", "seg", "n_words", "n_removed", "made",
+    "base_failed", "kept", "high_symbols", "low_length", "_lang", "_source", "own_0", "counted", "piece", "start", "length", "part", "word",
+]
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_stages_take_any_column_names(spark, folder, name, stage):
+    """Columns of the caller with names that operators use inside change nothing and come back."""
+    path = folder[0]
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    plain = stage(spark, docs, path)
+    got = stage(spark, docs.withColumns({c: F.concat(F.lit("their "), F.col("doc_id")) for c in INTERNAL}), path)
+    if name == "best_fit_packing":
+        assert got.count() == plain.count()
+        return
+    assert got.columns == [*docs.columns, *INTERNAL]
+    rows = collections.Counter(map(tuple, plain.collect()))
+    assert collections.Counter(tuple(r)[: len(docs.columns)] for r in got.collect()) == rows
+    assert got.where(" or ".join(f"`{c}` <> concat('their ', doc_id)" for c in INTERNAL)).count() == 0
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_registered_queries_run(spark, name):
     rows = QUERIES[name](spark, f"{DATA}/sf0.001")

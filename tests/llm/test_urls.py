@@ -1,3 +1,8 @@
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
 from maskloom.llm.queries import URL_RULES
 from maskloom.llm.urls import alias_edges, judge
 
@@ -68,3 +73,54 @@ def test_longest_rule_and_empty(spark):
     assert got[8] == "one.biz/a" and got[9] == "biz/"
     assert judge(spark.createDataFrame([], SCHEMA), URL_RULES).count() == 0
     assert alias_edges(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_many_aliases_against_brute_force(spark):
+    """Chains, cycles, a hot target and random links of 400 pages against a plain search."""
+    rng = random.Random(6)
+    hosts = ["a.net", "b.net", "x.example.net", "one.biz", "two.biz", "three.biz", "four.org"]
+    urls = [f"https://{rng.choice(hosts)}/{rng.choice(['en', 'fr'])}/{i}" for i in range(400)]
+    target = {}
+    for i in range(100):
+        target[i] = i + 1 if i % 20 else None  # chains of 20
+    for i in range(100, 140):
+        target[i] = 100 + (i - 99) % 40  # a cycle
+    for i in range(140, 260):
+        target[i] = 300  # a hot target
+    for i in range(260, 300):
+        target[i] = rng.randrange(260, 400)
+    rows = []
+    for i, url in enumerate(urls):
+        goal = target.get(i)
+        rows.append((i, url, "" if goal is None else f'<html><head><link rel="canonical" href="{urls[goal]}"></head>', "x"))
+    docs = spark.createDataFrame(rows, "page_id long, url string, html string, root string")
+    rules = [("block", "net/"), ("allow", "example.net/en/")]
+
+    def own(url):
+        host, _, path = url.removeprefix("https://").partition("/")
+        if host.endswith("example.net") and path.startswith("en/"):
+            return "allow"
+        return "block" if host.endswith(".net") else None
+
+    near = {i: set() for i in range(400)}
+    for i, goal in target.items():
+        if goal is not None:
+            near[i].add(goal), near[goal].add(i)
+    want = {}
+    for i in range(400):
+        seen, todo = {i}, [i]
+        while todo:
+            for j in near[todo.pop()] - seen:
+                seen.add(j), todo.append(j)
+        rest = {own(urls[j]) for j in seen}
+        want[i] = own(urls[i]) or ("block" if "block" in rest and "allow" not in rest else "allow")
+    got = {r.page_id: r.verdict for r in judge(docs, rules).collect()}
+    assert got == want and sum(own(u) is None and v == "block" for u, v in zip(urls, want.values())) > 20
+
+
+@pytest.mark.parametrize("name", ["_node", "_by_alias", "_found", "node", "by_alias", "found", "root", "own_0", "a", "b", "blocked", "goal"])
+def test_clashing_names(spark, name):
+    want = {r.page_id: r.verdict for r in judge(frame(spark), URL_RULES).collect()}
+    got = judge(frame(spark).withColumn(name, F.lit("theirs")), URL_RULES)
+    assert {r.page_id: r.verdict for r in got.collect()} == want
+    assert [r[0] for r in got.select(name).distinct().collect()] == ["theirs"]
