@@ -9,59 +9,57 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from maskloom.llm import decontaminate, jaccard, packing, quality, substrings
-from maskloom.llm.common import saved
-
-#: rows of the table of dropped documents that may be broadcast (16 bytes each); a longer
-#: table is joined by a shuffle
-BROADCAST_ROWS = 2_000_000
+from maskloom.llm.common import carried, saved
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents inside the fences of their language and source."""
-    judged = quality.rules(docs)
-    return judged.where("kept").select(*docs.columns)
+    """Documents that pass the base rule and lie inside the fences of their language and source.
+
+    Null and empty texts have too few words and go; repeated rows are judged alike; null
+    languages and sources are groups of their own. An empty table stays empty.
+    """
+    return quality.passing(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies: five-word shingles, Jaccard 0.8 or more.
 
-    The one with the smallest id stays; of rows equal in id and text, one. Documents without
-    words are no copies of each other.
+    The one with the smallest id stays, null ids last; of rows equal in id and text, one.
+    Documents without words are no copies of each other. An empty table stays empty.
     """
-    rows = jaccard.classes(docs, "doc_id", "text", 5, 80).where("in_class > 1")
-    per_text = rows.groupBy("doc_id", "text_key").agg(F.max("first").alias("first"), F.count(F.lit(1)).alias("copies"))
-    gone = saved(per_text.where("not first or copies > 1"), "classes")
-    named = gone.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("first").alias("_first"))
-    if gone.count() <= BROADCAST_ROWS:
-        named = F.broadcast(named)
-    marked = docs.withColumn("_text_key", F.xxhash64("text")).join(
-        named, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("_text_key").eqNullSafe(F.col("_key")), "left"
-    )
-    kept = marked.where("_first is null").select(*docs.columns)
-    if gone.where("first").isEmpty():
-        return kept
-    again = marked.where("_first").dropDuplicates(["_id", "_key"]).select(*docs.columns)
-    return kept.union(again)
+    return jaccard.one_of_each(docs, "doc_id", "text", 5, 80)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages of 35 words or more that stand anywhere else too.
 
-    A text that loses words becomes its other words joined by one space, maybe none.
+    A text that loses words becomes its other words joined by one space, maybe none. Null and
+    empty texts stay as they are; repeated rows lose their whole text if it is that long. An
+    empty table stays empty.
     """
-    cut = substrings.repeated_words(docs, window=35, first=18, output="text")
-    if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long"))
-    return cut.select(*docs.columns)
+    own, _, names = carried(docs, [])
+    cut = substrings.repeated_words(docs.select(*own), names["text"], window=35, first=18, output="text")
+    if "n_chars" in names:
+        n, text = names["n_chars"], names["text"]
+        cut = cut.withColumn(n, F.when(F.col("n_removed") > 0, F.length(text)).otherwise(F.col(n)).cast("long"))
+    return cut.select(*[F.col(new).alias(old) for old, new in names.items()])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no benchmark item."""
+    """Documents that contain no benchmark item.
+
+    Null and empty texts contain none and stay; repeated rows are judged alike; an empty
+    benchmark removes nothing. An empty table stays empty.
+    """
     return decontaminate.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document lies in sequences of 1024 tokens."""
+    """Where each piece of each document lies in sequences of 1024 tokens.
+
+    Null and empty texts are one token, the end; repeated rows are packed each. An empty
+    table gives no pieces.
+    """
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     added = packing.added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
     pieces = packing.cut(
