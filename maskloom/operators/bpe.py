@@ -1,8 +1,7 @@
 """Byte-pair merges: exact training in Spark rounds and in-task encoding.
 
-A word is a string with one code point per symbol. Code points follow symbol ids,
-so string order is id order, a pair is a two-character substring and a merge is a
-plain ``replace``. Training never leaves the JVM.
+Training keeps the word types in shards (``merging``): a round applies merges inside the
+shards and sends back how the counts of pairs have changed.
 """
 
 from __future__ import annotations
@@ -11,39 +10,25 @@ import hashlib
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from heapq import heapify, heappop, heappush
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from maskloom.functions.text import norm_bpe, split_whitespace
+from maskloom.operators import merging
+from maskloom.operators.merging import Merge
 from maskloom.operators.tokens import BPE_SPECIALS, characters, decode_table
-from maskloom.session import shared_dir
+from maskloom.session import saved
 
-CANDIDATES = 1024
-PENDING_ROUNDS = 20
+#: leading pairs that the driver keeps, and looks at in a round
+CANDIDATES = 1 << 15
+TOP = 256
+#: rounds until the shards are written again
+PENDING_ROUNDS = 24
 MEMO_WORDS = 500_000
 
 
-def symbol(index: int) -> str:
-    """The character that stands for a symbol id; skips NUL and the surrogates."""
-    code = index + 1
-    return chr(code if code < 0xD800 else code + 0x800)
-
-
-def symbol_id(char: str) -> int:
-    code = ord(char)
-    return (code if code < 0xD800 else code - 0x800) - 1
-
-
-def _merged(sym: Column, batch: list[tuple[str, str]]) -> Column:
-    """Apply the merges of a round one after the other.
-
-    The merges are one array literal, so all rounds share the same generated code.
-    """
-    rules = F.array(*[F.struct(F.lit(p).alias("pair"), F.lit(n).alias("new")) for p, n in batch])
-    return F.aggregate(rules, sym, lambda acc, rule: F.replace(acc, rule["pair"], rule["new"]))
-
-
 @dataclass
 class BpeModel:
     """Vocabulary in id order and merges in rank order as (left, right, merged) ids."""
@@ -77,33 +62,11 @@ class BpeModel:
         return cls([r["token"] for r in vocab], [(r["left"], r["right"], r["merged"]) for r in merges])
 
 
-def _symbol_words(words: DataFrame, alphabet: list[str]) -> DataFrame:
-    first = len(BPE_SPECIALS)
-    source = "".join(alphabet)
-    target = "".join(symbol(first + i) for i in range(len(alphabet)))
-    return words.select(F.translate("word", source, target).alias("sym"), "n")
-
-
-def _top_pairs(words: DataFrame, limit: int) -> list[Row]:
-    """The most frequent pairs, ties by lower ids; a bounded number of rows."""
-    pairs = F.transform(
-        F.sequence(F.lit(1), F.length("sym") - 1), lambda i: F.col("sym").substr(i, F.lit(2))
-    )
-    return (
-        words.where(F.length("sym") > 1)
-        .select(F.explode(pairs).alias("pair"), "n")
-        .groupBy("pair")
-        .agg(F.sum("n").alias("n"))
-        .orderBy(F.desc("n"), "pair")
-        .limit(limit)
-        .collect()
-    )
-
-
 def _safe_prefix(
-    top: list[Row], model: BpeModel, ids: dict[str, int], vocab_size: int, min_frequency: int
-) -> list[tuple[str, str]]:
-    """Take pairs in rank order as long as one round equals one merge at a time.
+    top: list[tuple[int, int]], inside, model: BpeModel, ids: dict[str, int], vocab_size: int, min_frequency: int
+) -> tuple[list[Merge], bool]:
+    """Take pairs in rank order as long as one round equals one merge at a time; and whether
+    the last one made a symbol that was there before.
 
     A merge (a, b) only changes pairs that end in a or start with b, so a later pair
     is untouched unless it is one of those. New pairs are never more frequent than
@@ -111,28 +74,26 @@ def _safe_prefix(
     The two exceptions close the round: a doubled symbol, whose merge can create
     frequent pairs by itself, and a merged string that already has an id.
     """
-    taken: list[tuple[str, str]] = []
-    lefts: set[str] = set()
-    rights: set[str] = set()
-    for row in top:
-        left, right = row["pair"][0], row["pair"][1]
-        if row["n"] < max(1, min_frequency) or len(ids) >= vocab_size:
+    taken: list[Merge] = []
+    lefts: set[int] = set()
+    rights: set[int] = set()
+    for pair, n in top:
+        left, right = pair >> 32, pair & 0xFFFFFFFF
+        if n < max(1, min_frequency) or len(ids) >= vocab_size or not inside(pair, n):
             break
         if right in lefts or left in rights:
             break
-        text = model.tokens[symbol_id(left)] + model.tokens[symbol_id(right)]
+        text = model.tokens[left] + model.tokens[right]
         known = text in ids
         if not known:
             ids[text] = len(model.tokens)
             model.tokens.append(text)
-        merged = symbol(ids[text])
-        model.merges.append((symbol_id(left), symbol_id(right), ids[text]))
-        taken.append((left + right, merged))
+        taken.append((left, right, ids[text]))
         lefts.add(left)
         rights.add(right)
         if known or left == right:
-            break
-    return taken
+            return taken, known
+    return taken, False
 
 
 def bpe_train(
@@ -143,13 +104,14 @@ def bpe_train(
 ) -> BpeModel:
     """Learn merges from ``words(word, n)``: most frequent pair first, ties by ids.
 
-    Each round counts pairs over the word types and applies every merge that is safe
-    together. The word table is cut loose with a checkpoint every few rounds.
+    The driver keeps the counts of up to ``candidates`` leading pairs and of the new ones that
+    rank among them. Each round takes every merge that is safe together and gets back how the
+    counts change, over the words that hold a merged pair. The shards are written every
+    ``PENDING_ROUNDS`` rounds, so a lost executor costs a few rounds at most.
     """
     spark = words.sparkSession
-    shared_dir(spark)
     # the corpus is read once
-    base = words.checkpoint()
+    base = saved(words.select("word", "n"), "words")
     # distinct characters are bounded by Unicode
     alphabet = sorted(
         row["c"]
@@ -157,29 +119,36 @@ def bpe_train(
     )
     model = BpeModel([*BPE_SPECIALS, *alphabet])
     ids = {token: i for i, token in enumerate(model.tokens)}
-    symbols = _symbol_words(base, alphabet).where(F.length("sym") > 1)
-    # rounds are many and short; coalescing by bytes would leave them to one task
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    current = symbols.repartition(tasks, "sym").checkpoint()
-    held, pending = None, 0
-    while len(ids) < vocab_size:
-        top = _top_pairs(current, candidates)
-        if held is not None:
-            held.unpersist()
-            held = None
-        batch = _safe_prefix(top, model, ids, vocab_size, min_frequency)
+    state = saved(merging.shards_of(base, alphabet, len(BPE_SPECIALS)), "shards").persist()
+    shards = state.count()
+    pending: list[list[Merge]] = []
+    known = merging.leading(state, pending, candidates) if shards else None
+    while known is not None and len(ids) < vocab_size:
+        batch, again = _safe_prefix(known.top(TOP), known.inside, model, ids, vocab_size, min_frequency)
         if not batch:
-            break
+            # nothing is left, or the leading pairs are used up
+            best = known.top(1)
+            if known.border == (0, 0) or (best and known.inside(*best[0])) or -known.border[0] < max(1, min_frequency):
+                break
+            known = merging.leading(state, pending, candidates)
+            if not known.counts:
+                break
+            continue
+        model.merges += batch
         model.rounds += 1
-        held, pending = current, pending + 1
-        current = current.select(_merged(F.col("sym"), batch).alias("sym"), "n")
-        if pending < PENDING_ROUNDS:
-            # the next count fills the cache; a lost block is redone from the checkpoint
-            current = current.persist()
+        if again:
+            # pairs of a symbol that was there before may be outside of the leading ones
+            known = merging.leading(state, [*pending, batch], candidates)
         else:
-            # words that became one symbol have no pairs left
-            current, pending = current.where(F.length("sym") > 1).checkpoint(), 0
-    current.unpersist()
+            keys, change = merging.differences(state, pending, batch, shards)
+            known.change(keys, change, {new for *_, new in batch})
+        pending.append(batch)
+        if len(pending) >= PENDING_ROUNDS:
+            old, state = state, saved(merging.advanced(state, pending), "shards").persist()
+            state.count()
+            old.unpersist()
+            pending = []
+    state.unpersist()
     return model
 
 
@@ -204,17 +173,34 @@ class _Encoder:
         return found
 
     def _merge(self, text: str) -> list[int]:
-        ids = [self.single.get(c, self.unk) for c in text]
-        ids = [i for i in ids if i is not None]
-        worst = (len(self.rank), -1)
-        while len(ids) > 1:
-            options = [self.rank.get(pair, worst) for pair in zip(ids, ids[1:])]
-            best = min(options)
-            if best == worst:
-                break
-            at = options.index(best)
-            ids[at : at + 2] = [best[1]]
-        return ids
+        """Merge the best pair, the leftmost of equal ones, until none is left: a heap of pairs
+        over a linked list, so a word of n symbols takes about n log n steps."""
+        ids = [i for i in (self.single.get(c, self.unk) for c in text) if i is not None]
+        n = len(ids)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = []
+        for at, pair in enumerate(zip(ids, ids[1:])):
+            found = self.rank.get(pair)
+            if found is not None:
+                heap.append((found[0], at, pair))
+        heapify(heap)
+        while heap:
+            _, at, pair = heappop(heap)
+            right = after[at]
+            # a pair of which a side was merged meanwhile
+            if ids[at] is None or right >= n or (ids[at], ids[right]) != pair:
+                continue
+            ids[at], ids[right] = self.rank[pair][1], None
+            after[at] = after[right]
+            if after[at] < n:
+                before[after[at]] = at
+            for left in (before[at], at):
+                if left >= 0 and after[left] < n:
+                    pair = (ids[left], ids[after[left]])
+                    found = self.rank.get(pair)
+                    if found is not None:
+                        heappush(heap, (found[0], left, pair))
+        return [i for i in ids if i is not None]
 
 
 def bpe_encode(df: DataFrame, model: BpeModel, text: str = "text", name: str = "ids", unk: str = "drop") -> DataFrame:

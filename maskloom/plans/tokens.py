@@ -164,6 +164,23 @@ def bpe_encode(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.bpe_encode(docs, model).select("doc_id", joined("ids").alias("ids"))
 
 
+#: entries of the registered large models; a recursive query over all words is too slow for them
+LARGE, LARGE_ENCODED = 8000, 4000
+
+
+@query("bpe_train_large", None)
+def bpe_train_large(spark: SparkSession, folder: str) -> DataFrame:
+    """Merges of a vocabulary of production size."""
+    return bpe.bpe_train(words(spark, folder), vocab_size=LARGE).merge_table(spark)
+
+
+@query("bpe_encode_large", None)
+def bpe_encode_large(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    model = bpe.bpe_train(tk.word_counts(docs), vocab_size=LARGE_ENCODED)
+    return bpe.bpe_encode(docs, model).select("doc_id", joined("ids").alias("ids"))
+
+
 @query("append_eos", f"WITH {ENC} SELECT doc_id, array_to_string(ids, ' ') AS ids FROM enc")
 def append_eos(spark: SparkSession, folder: str) -> DataFrame:
     return encoded(spark, folder).select("doc_id", joined("ids").alias("ids"))

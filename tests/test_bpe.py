@@ -1,9 +1,10 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
-from maskloom.operators import bpe, tokens as tk
+from maskloom.operators import bpe, merging, tokens as tk
 
 tokenizers = pytest.importorskip("tokenizers")
 
@@ -131,11 +132,102 @@ def test_unknown_characters(spark):
         bpe.bpe_encode(df, model, unk="other")
 
 
-def test_symbols_keep_id_order():
-    chars = [bpe.symbol(i) for i in range(0, 70000, 13)]
-    assert chars == sorted(chars)
-    assert [bpe.symbol_id(c) for c in chars] == list(range(0, 70000, 13))
-    "".join(chars).encode("utf-8")
+def test_pairs_keep_id_order():
+    ids = np.array([0, 1, 7, 255, 65535, 70000])
+    pairs = [(a, b) for a in ids for b in ids]
+    keys = [int(merging.pair_key(np.array([a]), np.array([b]))[0]) for a, b in pairs]
+    assert keys == sorted(keys) and len(set(keys)) == len(pairs)
+    assert [(k >> 32, k & 0xFFFFFFFF) for k in keys] == [(int(a), int(b)) for a, b in pairs]
+
+
+def counted(table, weights):
+    out = Counter()
+    for w, ids in table.items():
+        for a, b in zip(ids, ids[1:]):
+            out[a << 32 | b] += weights[w]
+    return {k: n for k, n in out.items() if n}
+
+
+def replaced(ids, left, right, new):
+    i, done = 0, []
+    while i < len(ids):
+        if tuple(ids[i : i + 2]) == (left, right):
+            done.append(new)
+            i += 2
+        else:
+            done.append(ids[i])
+            i += 1
+    return done
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_differences_of_a_shard(seed):
+    """Counts after merges are the counts before and the differences, for any merges."""
+    rng = random.Random(seed)
+    words = {w: [rng.randrange(3) for _ in range(rng.randrange(1, 12))] for w in range(40)}
+    weights = {w: rng.randrange(1, 9) for w in words}
+    flat = np.array([x for ids in words.values() for x in [*ids, merging.SEPARATOR]], np.int32)
+    shard = merging.Shard(flat.tobytes(), np.array(list(weights.values()), np.int64).tobytes())
+    before = dict(zip(*(v.tolist() for v in shard.pairs())))
+    assert before == counted(words, weights)
+    after = Counter(before)
+    batches = [[(rng.randrange(3), rng.randrange(3), 3)], [(rng.randrange(4), rng.randrange(4), 4)], [(0, 1, 5), (2, 1, 6), (0, 3, 7)], [(4, 4, 8)]]
+    for batch in batches:
+        keys, change = shard.differences(batch)
+        for merge in batch:
+            words = {w: replaced(ids, *merge) for w, ids in words.items()}
+        for k, n in zip(keys.tolist(), change.tolist()):
+            after[k] += n
+        assert {k: n for k, n in after.items() if n} == counted(words, weights)
+    assert [x for ids in words.values() for x in [*ids, merging.SEPARATOR]] == shard.x.tolist()
+
+
+def test_leading_pairs_and_their_border():
+    lead = merging.Leading([(5, 9), (7, 9), (2, 4)], whole=False)
+    assert lead.border == (-4, 2)
+    key = lambda a, b: a << 32 | b
+    # an unknown pair of old symbols stays out, one of a new symbol comes in, what falls behind goes
+    lead.change(np.array([1, 5, key(9, 1), key(9, 2)]), np.array([8, -6, 5, 3]), {9})
+    assert lead.top(9) == [(7, 9), (key(9, 1), 5), (2, 4)]
+    assert merging.Leading([(1, 1)], whole=True).inside(99, 1)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_many_shards_few_candidates_and_long_words(spark, monkeypatch, seed):
+    texts = [*corpus(seed + 70, "abc", 40, 30), "ab" * 400 + " " + "a" * 999]
+    words = Counter(w for t in texts for w in t.split())
+    monkeypatch.setattr(merging, "SHARD_WORDS", 20)
+    monkeypatch.setattr(merging, "DIRECT_SHARDS", 3)
+    monkeypatch.setattr(bpe, "PENDING_ROUNDS", 4)
+    model = trained(spark, texts, 60, candidates=9)
+    assert model.merges == greedy(words, len(model.merges)) and len(model.tokens) == 60
+
+
+def plain_merge(encoder, text):
+    """The lowest rank first, the leftmost of equal ones, by looking at all pairs each time."""
+    ids = [i for i in (encoder.single.get(c, encoder.unk) for c in text) if i is not None]
+    while True:
+        options = [(encoder.rank[p][0], i) for i, p in enumerate(zip(ids, ids[1:])) if p in encoder.rank]
+        if not options:
+            return ids
+        _, i = min(options)
+        ids[i : i + 2] = [encoder.rank[ids[i], ids[i + 1]][1]]
+
+
+@pytest.mark.parametrize("letters", ["ab", "abcdef", "a"])
+def test_heap_merges_like_plain_search(spark, letters):
+    model = trained(spark, corpus(5, letters, 40, 12), 50)
+    encoder = bpe._Encoder(model, "drop")
+    rng = random.Random(3)
+    for _ in range(300):
+        word = "".join(rng.choice(letters + "z") for _ in range(rng.randrange(0, 60)))
+        assert encoder._merge(word) == plain_merge(encoder, word)
+    assert len(encoder._merge(letters * 20_000)) > 0
+
+
+def test_no_words(spark):
+    assert trained(spark, ["", None], 50).merges == []
+    assert trained(spark, ["a b c"], 50).tokens[-3:] == ["a", "b", "c"]
 
 
 def test_save_and_load(spark, tmp_path):
