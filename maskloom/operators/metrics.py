@@ -193,6 +193,34 @@ def gen_ppl(tokens: DataFrame, scores: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def by_window(scores: DataFrame, keys: list[str], place: str = "i", lp: str = "lp") -> DataFrame:
+    """A score table with a row per position as one with a row per window: ``lps``, the
+    log-probabilities by place, null where there is none. A window is as long as a model's
+    context, so a row is bounded."""
+    found = F.map_from_entries(F.collect_list(F.struct(F.col(place).cast("int"), F.col(lp))))
+    rows = scores.groupBy(*keys).agg(found.alias("_found"), F.max(F.col(place).cast("int")).alias("_last"))
+    return rows.select(*keys, F.transform(F.sequence(F.lit(0), "_last"), lambda i: F.try_element_at("_found", i)).alias("lps"))
+
+
+def window_ppl(windows: DataFrame, ids: str, eos: int, lps: str = "lps") -> DataFrame:
+    """``gen_ppl`` of context windows with their log-probabilities beside the ids, a row per
+    window; positions behind the end of ``lps``, without a value or with NaN are unscored."""
+    first = F.array_position(ids, eos).cast("int") - 1
+    rows = windows.select(F.col(ids).alias("_ids"), F.col(lps).alias("_lps"), first.alias("_eos_at"))
+    counts = F.transform("_ids", lambda x, i: (i > 0) & ((x != eos) | (i == F.col("_eos_at"))))
+    held = F.slice(F.coalesce("_lps", F.array().cast("array<double>")), F.lit(1), F.size("_ids"))
+    value = F.zip_with(counts, held, lambda c, lp: F.when(c, F.struct(F.nanvl(lp, F.lit(None)).alias("lp"))))
+    rows = rows.select(F.filter(value, lambda x: x.isNotNull()).alias("_kept"))
+    rows = rows.select(F.size("_kept").alias("_n"), F.filter("_kept", lambda x: x["lp"].isNotNull()).alias("_scored"))
+    nll = F.aggregate("_scored", F.lit(0.0), lambda acc, x: acc - x["lp"])
+    sums = rows.agg(
+        F.sum(nll).alias("_nll"),
+        F.coalesce(F.sum(F.size("_scored")), F.lit(0)).cast("long").alias("_weight"),
+        F.coalesce(F.sum(F.col("_n") - F.size("_scored")), F.lit(0)).cast("long").alias("unscored"),
+    )
+    return sums.select(F.col("_weight").alias("tokens"), F.exp(mean_nll(sums)).alias("gen_ppl"), "unscored")
+
+
 def entropy_of_ids(ids: Column) -> Column:
     """Shannon entropy in bits of the token counts of one row.
 

@@ -9,6 +9,7 @@ from maskloom.operators import ema, evaluate as ev, metrics as mt, sequence as s
 from maskloom.operators.config import config_violations
 from maskloom.plans.registry import joined, query, r6, s6, sql_u, table
 from maskloom.plans.tokens import PACKED, SQL_DECODE, packed
+from maskloom.session import saved
 
 # one loss row per line item: split, epoch, a loss with some NaN, and a mask
 LOSS_SQL = """x AS (SELECT l_orderkey, l_linenumber, l_linestatus AS split, year(l_shipdate)::INTEGER AS epoch,
@@ -99,16 +100,16 @@ def samples(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def score_table(retokenized: DataFrame) -> DataFrame:
-    """What a model would give for every position of every window."""
+    """What a model would give: the log-probabilities of every window in one row."""
     windows = sq.context_split(retokenized.select("block_id", "ids"), "ids", 64)
-    cells = windows.select("block_id", "window_id", F.posexplode("ids").alias("i", "id"))
-    u = uniform("score", "block_id", "window_id", "i")
-    lp = F.when(u < 0.02, F.lit(float("nan"))).otherwise(u * -5)
-    return cells.where(u >= 0.01).select("block_id", "window_id", "i", lp.alias("lp"))
+    u = F.transform("ids", lambda _, i: uniform("score", "block_id", "window_id", i))
+    lp = lambda x: F.when(x < 0.01, F.lit(None)).when(x < 0.02, F.lit(float("nan"))).otherwise(x * -5)
+    return windows.select("block_id", "window_id", u.alias("u")).select("block_id", "window_id", F.transform("u", lp).alias("lps"))
 
 
 def evaluated(spark: SparkSession, folder: str) -> DataFrame:
-    rows = samples(spark, folder)
+    # samples and scores are tables: the samples are decoded and encoded once
+    rows = saved(samples(spark, folder).select("block_id", "ids"), "samples")
     return ev.gen_ppl(rows, "block_id", "ids", score_table(rows), 64, 0)
 
 

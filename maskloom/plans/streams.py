@@ -15,21 +15,29 @@ from maskloom.streaming import jobs
 
 
 PARTS = 4
+#: a part is written as so many rows a file, at most a file per shuffle partition
+ROWS_PER_FILE = 2000
 
 
 def stream(df: DataFrame, key: str, path: str) -> DataFrame:
     """A table as a stream of ``PARTS`` micro-batches in key order, so that state is carried.
 
-    The parts are written one after the other, a file each, as files would arrive.
+    The parts are written one after the other, as files would arrive, each in the same number
+    of files; a micro-batch reads the files of one part at a time, and in parallel.
     """
-    cuts = df.select(F.percentile_approx(key, [i / PARTS for i in range(1, PARTS)])).first()[0]
+    spark = df.sparkSession
+    row = df.select(F.count(F.lit(1)).alias("n"), F.percentile_approx(key, [i / PARTS for i in range(1, PARTS)]).alias("cuts")).first()
     place = F.lit(0)
-    for cut in cuts:
+    for cut in row["cuts"] or []:
         place = place + F.when(F.col(key) > F.lit(cut), 1).otherwise(0)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    files = max(1, min(tasks, row["n"] // PARTS // ROWS_PER_FILE))
     for part in range(PARTS):
-        df.where(place == part).coalesce(1).write.mode("append").parquet(f"{path}/in")
-    source = df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1)
-    return source.parquet(f"{path}/in")
+        rows = df.where(place == part)
+        rows = rows.coalesce(1) if files == 1 else rows.repartition(files)
+        rows.write.parquet(f"{path}/in/{part}")
+    source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files)
+    return source.parquet(f"{path}/in/*")
 
 
 def finished(df: DataFrame, path: str, mode: str = "append") -> DataFrame:

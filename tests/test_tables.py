@@ -52,6 +52,25 @@ def test_gen_ppl(spark):
     assert out["gen_ppl"] == pytest.approx(math.exp((3 + 1 + 4 + 2) / 4))
 
 
+def test_gen_ppl_of_windows(spark):
+    """Arrays per window give what a row per position gives: missing, NaN, short and no scores."""
+    rng = random.Random(4)
+    windows = [(k, w, [rng.randrange(6) for _ in range(rng.randrange(1, 9))]) for k in range(30) for w in range(3)]
+    scores = []
+    for k, w, ids in windows:
+        for i in range(len(ids) + 1):
+            if rng.random() < 0.7 and k % 5:
+                scores.append((k, w, i, float("nan") if rng.random() < 0.2 else -rng.random()))
+    left = spark.createDataFrame(windows, "k int, window_id int, ids array<int>")
+    right = spark.createDataFrame(scores, "k int, window_id int, i int, lp double")
+    want = mt.gen_ppl(mt.counted_tokens(left, "ids", 3, ["k", "window_id"]), right, ["k", "window_id", "i"]).first()
+    got = mt.window_ppl(left.join(mt.by_window(right, ["k", "window_id"]), ["k", "window_id"], "left"), "ids", 3).first()
+    assert (got["tokens"], got["unscored"]) == (want["tokens"], want["unscored"]) and want["unscored"] > 9
+    assert got["gen_ppl"] == pytest.approx(want["gen_ppl"])
+    none = mt.window_ppl(left.where("false").withColumn("lps", F.array(F.lit(1.0))), "ids", 3).first()
+    assert (none["tokens"], none["unscored"]) == (0, 0)
+
+
 def series(values, decay):
     out, s = [], None
     for k, v in enumerate(values):
