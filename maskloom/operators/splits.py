@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
+from maskloom.functions.rand import uniform
 from maskloom.operators.order import ranked, row_total, shuffled
+from maskloom.operators.select import first_rows
 
 # Corpora whose held-out split is called "test".
 TEST_SPLIT_CORPORA = ["text8", "lm1b", "ag_news"]
@@ -13,19 +17,18 @@ UNSPLIT_CORPORA = ["lambada", "openwebtext-train", "openwebtext-valid"]
 
 
 def split_tail(df: DataFrame, key: str, holdout: int) -> DataFrame:
-    """The last ``holdout`` rows in key order are the validation split."""
-    n = row_total(df)
-    return ranked(df, key).withColumn(
-        "split", F.when(F.col("rank") >= n - holdout, "validation").otherwise("train")
-    )
+    """The last ``holdout`` rows in the order of a unique numeric key are the validation split;
+    selected by the key that parts them (``select``), not by a rank of all rows."""
+    train = first_rows(df, [key], df.count() - holdout)
+    return df.withColumn("split", F.when(train, "train").otherwise("validation"))
 
 
 def split_random_exact(df: DataFrame, key: str, share: float = 0.1, seed: object = 42) -> DataFrame:
-    """Random split with exactly ceil(share * n) validation rows."""
-    size = F.ceil(F.lit(share) * row_total(df))
-    return shuffled(df, seed, key).withColumn(
-        "split", F.when(F.col("rank") < size, "validation").otherwise("train")
-    )
+    """Random split with exactly ceil(share * n) validation rows: those with the smallest
+    numbers drawn for their unique numeric key."""
+    drawn = df.withColumn("_drawn", uniform(seed, key))
+    chosen = first_rows(drawn, ["_drawn", key], math.ceil(share * df.count()))
+    return drawn.withColumn("split", F.when(chosen, "validation").otherwise("train")).drop("_drawn")
 
 
 def validation_split(corpus: Column) -> Column:

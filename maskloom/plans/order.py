@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from maskloom.functions.rand import uniform
-from maskloom.operators import splits as sp
+from maskloom.operators import permute as pm, splits as sp
 from maskloom.operators.order import row_total
 from maskloom.plans.registry import query, sql_u, table
 from maskloom.plans.text import SQL_CORPUS, corpus_of
+from maskloom.session import scratch_path
 
 SEED, EPOCH, REPLICAS, BATCH = 5, 3, 7, 64
 
@@ -104,6 +105,49 @@ def resume_from_counter(spark: SparkSession, folder: str) -> DataFrame:
     return sp.resume(shards(spark, folder, False), 3 * 32)
 
 
+def permuted_sql(place: str, n: str, seed: object) -> str:
+    """The keyed permutation of ``permute.permuted``, step by step over its round keys."""
+    keys = ", ".join("{" + ", ".join(f"'{c}': {v}::BIGINT" for c, v in zip("xoabc", (0, *key))) + "}" for key in pm.round_keys(seed))
+    top = "greatest(s.x, t)"
+    y = f"((({top} & {pm.PRIME}) * k.a + ({top} >> 31) * k.b + k.c) % {pm.PRIME})"
+    other = f"(((k.o - s.x) % {n} + {n}) % {n})"
+    swap = f"CASE WHEN (((({y} * {y} + k.c) % {pm.PRIME}) >> 9) & 1) = 1 THEN t ELSE s.x END".replace("t)", f"{other})").replace("THEN t", f"THEN {other}")
+    first = f"{{'x': {place}, 'o': 0::BIGINT, 'a': 0::BIGINT, 'b': 0::BIGINT, 'c': 0::BIGINT}}"
+    return f"list_reduce(list_concat([{first}], [{keys}]), lambda s, k: {{'x': {swap}, 'o': k.o, 'a': k.a, 'b': k.b, 'c': k.c}}).x"
+
+
+ORDER_SQL = (
+    "r AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS place, count(*) OVER () AS n FROM orders), "
+    f"s AS (SELECT o_orderkey, {permuted_sql('place', 'n', f'{SEED}|{EPOCH}')} AS rank, n FROM r)"
+)
+
+
+@query("epoch_order", f"WITH {ORDER_SQL} SELECT o_orderkey, rank FROM s")
+def epoch_order(spark: SparkSession, folder: str) -> DataFrame:
+    return pm.epoch_order(orders(spark, folder), "o_orderkey", SEED, EPOCH).select("o_orderkey", "rank")
+
+
+def epoch_shards(spark: SparkSession, folder: str) -> DataFrame:
+    rows = orders(spark, folder)
+    order = pm.epoch_order(rows, "o_orderkey", SEED, EPOCH)
+    return sp.shard(order, REPLICAS, False, row_total(rows)).select("o_orderkey", "replica", "position")
+
+
+DEALT_SQL = PAD_SQL.replace(SHUFFLE_SQL, ORDER_SQL)
+
+
+@query("epoch_order_shards", f"WITH {DEALT_SQL} SELECT o_orderkey, replica, position FROM sh")
+def epoch_order_shards(spark: SparkSession, folder: str) -> DataFrame:
+    return epoch_shards(spark, folder)
+
+
+@query("resume_epoch_table", f"WITH {DEALT_SQL} SELECT o_orderkey, replica, position FROM sh WHERE position >= 1000")
+def resume_epoch_table(spark: SparkSession, folder: str) -> DataFrame:
+    path = scratch_path(spark, "epoch")
+    pm.write_epoch(epoch_shards(spark, folder), path, 256)
+    return pm.resumed(spark, path, 1000, 256).select("o_orderkey", "replica", "position")
+
+
 @query(
     "batch_plan",
     """WITH g AS (SELECT source, count(*) AS global_batch, count(DISTINCT lang) AS eval_batch FROM documents GROUP BY source)
