@@ -63,7 +63,7 @@ class Tree:
     def __init__(self, page: str):
         self.parent, self.tag, self.kind = [-1], [""], [PLAIN]
         self.runs: list[tuple[int, list[str], int]] = []
-        self._stack, self._text, self._links = [0], [], 0
+        self._stack, self._text, self._links, self._anchors = [0], [], 0, 0
         page = _UNSEEN.sub("", page)
         at = 0
         for found in _TAG.finditer(page):
@@ -80,9 +80,14 @@ class Tree:
     def _add(self, text: str) -> None:
         text = unescape(text)
         self._text.append(text)
-        if any(self.tag[i] == "a" for i in self._stack[-4:]):
+        if self._anchors:
             self._links += len(text.strip())
 
+    def _leave(self, at: int) -> None:
+        """Close the open elements from place ``at`` of the stack on."""
+        self._anchors -= sum(self.tag[i] == "a" for i in self._stack[at:])
+        del self._stack[at:]
+
     def _end_run(self) -> None:
         if self._text:
             text = " ".join("".join(self._text).split())
@@ -97,7 +102,7 @@ class Tree:
             for i in range(len(self._stack) - 1, 0, -1):
                 tag = self.tag[self._stack[i]]
                 if (tag == "p" and name != "br") or tag in ENDS.get(name, ()):
-                    del self._stack[i:]
+                    self._leave(i)
                     break
                 if tag in HOLDERS:
                     break
@@ -108,6 +113,7 @@ class Tree:
         self.kind.append(self._unwanted(name, extra))
         if not extra.endswith("/") or name not in INLINE:
             self._stack.append(len(self.tag) - 1)
+            self._anchors += name == "a"
 
     def _close(self, name: str) -> None:
         for i in range(len(self._stack) - 1, 0, -1):
@@ -115,7 +121,7 @@ class Tree:
             if tag == name:
                 if name not in INLINE:
                     self._end_run()
-                del self._stack[i:]
+                self._leave(i)
                 return
             if name in INLINE and tag not in INLINE:
                 return
@@ -256,19 +262,25 @@ def main_text(page: str | None) -> str:
             kept[j] = kept[i]
         return kept[i]
 
-    # lists and boxes of links outside an article are menus
+    # lists and boxes of links around the paragraphs are menus; between two of them they belong to the text
     menu = [False] * size
     if tree.tag[best] not in ("article", "main"):
         for i in range(1, size):
             boxed = tree.tag[i] in ("ul", "ol", "dl", "div", "table", "section") and i != best
             menu[i] = menu[tree.parent[i]] or (boxed and chars[i] > 0 and linked[i] > 0.6 * chars[i])
-    loose = parent >= 0 and best != 0
-    return " ".join(
-        text
-        for holder, text, links in runs
-        if not menu[holder]
-        and (inside(holder) or (loose and holder == parent and links == 0 and len(text) >= 80))
-    )
+    plain = [k for k, (holder, text, links) in enumerate(runs) if not menu[holder] and links < 0.25 * len(text) and inside(holder)]
+    first, last = (plain[0], plain[-1]) if plain else (0, -1)
+    beside = parent >= 0 and best != 0
+
+    def kept_run(k: int, holder: int, text: str, links: int) -> bool:
+        within = first < k < last
+        if inside(holder):
+            return within or not menu[holder]
+        # text of the parent beside the container: between what is kept, long, or a sentence
+        loose = beside and holder == parent and links == 0
+        return loose and (within or len(text) >= 80 or text.rstrip("\"')»”’").endswith((".", "!", "?", "…")))
+
+    return " ".join(run[1] for k, run in enumerate(runs) if kept_run(k, *run))
 
 
 def extract(pages: DataFrame, html: str = "html", text: str = "text") -> DataFrame:

@@ -1,4 +1,5 @@
 import html as entities
+import random
 import re
 
 import pytest
@@ -65,6 +66,119 @@ def test_names_do_not_take_the_article(page, text):
     assert main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        # a list of links between paragraphs belongs to the article, one before or after is a menu
+        (f"<div class=post><p>{LONG}</p><ul><li><a href=a>Reference one</a><li><a href=b>Two</a></ul><p>{LONG}</p></div>", f"{LONG}Reference one Two {LONG.strip()}"),
+        (f"<div class=post><ul><li><a href=a>Home</a><li><a href=b>Two</a></ul><p>{LONG}</p><ul><li><a href=c>More</a></ul></div>", LONG.strip()),
+        # short text beside the container
+        (f"<body>Note first.<div id=c><p>{LONG}</p><p>{LONG}</p></div>menu words</body>", f"Note first. {LONG}{LONG.strip()}"),
+        # links below many open elements are links
+        (f"<div><p>{LONG * 2}</p><ul><li><a href=x><b><i><u><em><strong>deep link text</strong></em></u></i></b></a></ul></div>", (LONG * 2).strip()),
+        ("<p><a href=x>one<p>two</a>three", "one twothree"),
+    ],
+)
+def test_lists_loose_text_and_deep_links(page, text):
+    assert main_text(page) == text
+
+
+class Node:
+    def __init__(self, tag, parent):
+        self.tag, self.parent, self.children, self.chars, self.links = tag, parent, [], 0, 0
+
+
+def random_page(rng):
+    """A nested page of divs, sections, lists, paragraphs and links, as HTML and as nodes."""
+    order, out = [], []
+
+    def fill(node, depth):
+        for _ in range(rng.randrange(1, 5)):
+            tag = rng.choice(["div", "section", "p", "p", "p", "ul", "h2"]) if depth < 4 else "p"
+            child = Node(tag, node)
+            node.children.append(child)
+            out.append(f"<{tag}>")
+            if tag in ("div", "section"):
+                fill(child, depth + 1)
+            else:
+                words = [f"w{rng.randrange(99)}" + rng.choice([",", "", "", "."]) for _ in range(rng.randrange(1, 40))]
+                text, linked = " ".join(words), tag == "ul" or rng.random() < 0.1
+                holder = child
+                if tag == "ul":
+                    holder = Node("li", child)
+                    child.children.append(holder)
+                    out.append("<li>")
+                out.append(f"<a href=x><b>{text}</b></a>" if linked else text)
+                order.append((holder, text, len(text) if linked else 0))
+            out.append(f"</{tag}>")
+
+    root = Node("", None)
+    body = Node("body", root)
+    root.children.append(body)
+    fill(body, 0)
+    return "<body>" + "".join(out) + "</body>", root, order
+
+
+def brute_text(root, order):
+    """The rules of the operator by walking up and down the nodes for every question."""
+    nodes = []
+
+    def walk(node):
+        nodes.append(node)
+        for child in node.children:
+            walk(child)
+
+    walk(root)
+
+    def up(node):
+        while node is not None:
+            yield node
+            node = node.parent
+
+    for node in nodes:
+        own = [(t, k) for holder, t, k in order if node in up(holder)]
+        node.chars, node.links = sum(len(t) for t, _ in own), sum(k for _, k in own)
+    holders = {"article", "main", "section", "div", "body", "html", "ul", "ol", "dl", "table", "blockquote", "td", "th"}
+
+    def points(node):
+        total = 0.0
+        for holder, text, _ in order:
+            chain = list(up(holder))
+            if node in chain:
+                level = chain.index(node)
+                worth = 1 + text.count(",") + min(len(text) / 100, 3)
+                if level == 0:
+                    total += worth if node.tag in holders else 0
+                elif node is not root:
+                    total += worth * (1.0 if level == 1 else 0.5 if level == 2 else 1 / (3 * (level - 1)))
+        return total * (1 - node.links / node.chars) if node.chars else 0.0
+
+    best = max(nodes, key=lambda n: (round(points(n), 9), -nodes.index(n)))
+
+    def sibling(node):
+        if best.parent is None or node.parent is not best.parent or not node.chars:
+            return False
+        if node.tag in ("p", "h2"):
+            return node.links < 0.25 * node.chars
+        return points(node) >= max(5.0, 0.2 * points(best)) and node.links < 0.5 * node.chars
+
+    def inside(holder):
+        return any(n is best or sibling(n) for n in up(holder))
+
+    def menu(holder):
+        return any(n.tag in ("ul", "div", "section") and n is not best and n.links > 0.6 * n.chars for n in up(holder))
+
+    plain = [k for k, (h, t, links) in enumerate(order) if not menu(h) and links < 0.25 * len(t) and inside(h)]
+    ends = (plain[0], plain[-1]) if plain else (0, -1)
+    return " ".join(t for k, (h, t, _) in enumerate(order) if inside(h) and (ends[0] < k < ends[1] or not menu(h)))
+
+
+@pytest.mark.parametrize("seed", range(150))
+def test_scores_against_brute_force(seed):
+    page, root, order = random_page(random.Random(seed))
+    assert main_text(page) == brute_text(root, order)
+
+
 def test_deep_and_long_pages():
     assert main_text("<div>" * 5000 + "deep" + "</div>" * 5000) == "deep"
     assert main_text("<p>" + "word, " * 200_000 + "</p>") == ("word, " * 200_000).strip()

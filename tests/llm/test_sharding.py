@@ -1,6 +1,9 @@
 import collections
+import random
 import zlib
 
+import pytest
+from pyspark.sql import functions as F
 from samples import documents, empty, frame
 
 from maskloom.llm.sharding import assign, bounded, ring
@@ -37,6 +40,35 @@ def test_hot_text_and_few_moves(spark):
     assert sum(len(s) == 1 for s in home.values()) > 0.97 * len(home)
 
 
+@pytest.mark.parametrize("shards,nodes", [(1, 4), (5, 3), (16, 64)])
+def test_same_as_a_plain_ring(spark, shards, nodes):
+    """Every row walks the ring by itself: a full shard sends it to the next point. Rows of
+    one text are alike, so the shards of each text are compared with their numbers."""
+    rng = random.Random(shards)
+    rows = [(i, "hot" if i % 3 == 0 else f"t{rng.randrange(300)}") for i in range(1500)] + [(None, None), (7, "hot")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    at = {r.text: r.at for r in docs.select("text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("at")).collect()}
+    points = ring(shards, nodes)
+    room = [len(rows) // shards + (s < len(rows) % shards) for s in range(shards)]
+    waiting = [[] for _ in points]
+    for _, text in sorted(rows, key=lambda r: at[r[1]]):
+        waiting[sum(float(p) <= float(at[text]) for p, _ in points) % len(points)].append(text)
+    want = collections.Counter()
+    while any(waiting):
+        onward = [[] for _ in points]
+        for k, texts in enumerate(waiting):
+            for text in texts:
+                if room[points[k][1]]:
+                    room[points[k][1]] -= 1
+                    want[text, points[k][1]] += 1
+                else:
+                    onward[(k + 1) % len(points)].append(text)
+        waiting = onward
+    named = docs.withColumn("name", F.col("text"))
+    got = collections.Counter((r.name, r.shard) for r in assign(named, shards, virtual_nodes=nodes).collect())
+    assert got == want
+
+
 def test_overflow_goes_clockwise():
     owners = [s for _, s in ring(4, 3)]
     moves = bounded([100] + [0] * 11, owners, 4)
