@@ -117,35 +117,41 @@ def permuted_sql(place: str, n: str, seed: object) -> str:
 
 
 ORDER_SQL = (
-    "r AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS place, count(*) OVER () AS n FROM orders), "
-    f"s AS (SELECT o_orderkey, {permuted_sql('place', 'n', f'{SEED}|{EPOCH}')} AS rank, n FROM r)"
+    "r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS place, count(*) OVER () AS n FROM documents), "
+    f"s AS (SELECT doc_id, {permuted_sql('place', 'n', f'{SEED}|{EPOCH}')} AS rank, n FROM r)"
 )
+#: positions that each replica has consumed, and positions of a folder of a written epoch
+COUNTER, SPAN = 16, 4096
 
 
-@query("epoch_order", f"WITH {ORDER_SQL} SELECT o_orderkey, rank FROM s")
+def document_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "documents").select("doc_id")
+
+
+@query("epoch_order", f"WITH {ORDER_SQL} SELECT doc_id, rank FROM s")
 def epoch_order(spark: SparkSession, folder: str) -> DataFrame:
-    return pm.epoch_order(orders(spark, folder), "o_orderkey", SEED, EPOCH).select("o_orderkey", "rank")
+    return pm.epoch_order(document_ids(spark, folder), "doc_id", SEED, EPOCH).select("doc_id", "rank")
 
 
 def epoch_shards(spark: SparkSession, folder: str) -> DataFrame:
-    rows = orders(spark, folder)
-    order = pm.epoch_order(rows, "o_orderkey", SEED, EPOCH)
-    return sp.shard(order, REPLICAS, False, row_total(rows)).select("o_orderkey", "replica", "position")
+    rows = document_ids(spark, folder)
+    order = pm.epoch_order(rows, "doc_id", SEED, EPOCH)
+    return sp.shard(order, REPLICAS, False, row_total(rows)).select("doc_id", "replica", "position")
 
 
-DEALT_SQL = PAD_SQL.replace(SHUFFLE_SQL, ORDER_SQL)
+DEALT_SQL = PAD_SQL.replace(SHUFFLE_SQL, ORDER_SQL).replace("o_orderkey", "doc_id")
 
 
-@query("epoch_order_shards", f"WITH {DEALT_SQL} SELECT o_orderkey, replica, position FROM sh")
+@query("epoch_order_shards", f"WITH {DEALT_SQL} SELECT doc_id, replica, position FROM sh")
 def epoch_order_shards(spark: SparkSession, folder: str) -> DataFrame:
     return epoch_shards(spark, folder)
 
 
-@query("resume_epoch_table", f"WITH {DEALT_SQL} SELECT o_orderkey, replica, position FROM sh WHERE position >= 1000")
+@query("resume_epoch_table", f"WITH {DEALT_SQL} SELECT doc_id, replica, position FROM sh WHERE position >= {COUNTER}")
 def resume_epoch_table(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "epoch")
-    pm.write_epoch(epoch_shards(spark, folder), path, 256)
-    return pm.resumed(spark, path, 1000, 256).select("o_orderkey", "replica", "position")
+    pm.write_epoch(epoch_shards(spark, folder), path, SPAN)
+    return pm.resumed(spark, path, COUNTER, SPAN).select("doc_id", "replica", "position")
 
 
 @query(
