@@ -279,7 +279,7 @@ def classes(
         )
 
     sent = laid.groupBy("seg").applyInArrow(send, repeats.SENT)
-    answers = repeats.matched(sent, False)
+    answers = repeats.matched(sent, ranges, False)
     signed = saved(laid.groupBy("seg").cogroup(answers.groupBy("seg")).applyInArrow(describe, shape), "signed")
     sets = (
         signed.where("tokens is not null")

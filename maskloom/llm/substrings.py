@@ -31,7 +31,7 @@ def levels(first: int, window: int) -> list[int]:
     return sizes
 
 
-def _candidates(words: Words, ranges: int, sizes: list[int], found: list[pa.Table]) -> np.ndarray:
+def _candidates(words: Words, ranges: repeats.Ranges, sizes: list[int], found: list[pa.Table]) -> np.ndarray:
     """Word positions whose window of ``sizes[len(found)]``, or of the last size, may still
     repeat, given the repeated windows of the levels so far."""
     last = len(sizes) - 1
@@ -106,7 +106,7 @@ def repeated_words(
         else:
             both = laid.groupBy("seg").cogroup(found.groupBy("seg"))
             sent = both.applyInArrow(send(level), repeats.SENT)
-        answers = repeats.matched(sent, level == last).withColumn("level", F.lit(level))
+        answers = repeats.matched(sent, ranges, level == last).withColumn("level", F.lit(level))
         found = answers if found is None else found.union(answers)
 
     kind = ArrayType(ArrayType(IntegerType())) if output == "spans" else StringType()

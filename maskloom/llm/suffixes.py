@@ -161,7 +161,7 @@ def _window_names(table: pa.Table, blocks: np.ndarray, window: int) -> np.ndarra
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def _ranges_answer(sent: DataFrame, decide) -> DataFrame:
+def _ranges_answer(sent: DataFrame, decide, ranges: repeats.Ranges) -> DataFrame:
     """Answers of the ranges: ``decide`` gets, for the distinct keys that a range holds, the
     segments and flags of each entry, and returns which entries are answered and how."""
 
@@ -184,7 +184,7 @@ def _ranges_answer(sent: DataFrame, decide) -> DataFrame:
                 rows[3].append(value[part].astype(np.uint32).tobytes())
         return pa.table(list(rows), schema=repeats._FOUND)
 
-    return sent.groupBy("range").applyInArrow(find, repeats.FOUND)
+    return repeats.answered(sent, find, ranges, True, adds=decide is _repeated, owner=decide is _repeated)
 
 
 def _repeated(keys, seg, flag):
@@ -284,15 +284,15 @@ def repeated_bytes(docs: DataFrame, text: str = "text", window: int = 400) -> Da
         windows = _window_names(table, blocks[blocks["state"] != WHOLE], window)
         return repeats.packed(windows, key[0].as_py(), ranges, True)
 
-    cores = repeats.matched(laid.groupBy("seg").applyInArrow(send_cores, repeats.SENT), False)
+    cores = repeats.matched(laid.groupBy("seg").applyInArrow(send_cores, repeats.SENT), ranges, False)
     shape = "seg int, blocks binary"
     alive = laid.groupBy("seg").cogroup(cores.groupBy("seg")).applyInArrow(alive_blocks, shape).repartition("seg")
-    wholes = _ranges_answer(alive.groupBy("seg").applyInArrow(send_all, repeats.SENT), _repeated)
+    wholes = _ranges_answer(alive.groupBy("seg").applyInArrow(send_all, repeats.SENT), _repeated, ranges)
     asked = alive.groupBy("seg").cogroup(wholes.groupBy("seg")).applyInArrow(send_open_cores, repeats.SENT)
-    answers = wholes.withColumn("level", F.lit(1)).union(_ranges_answer(asked, _flagged).withColumn("level", F.lit(2)))
+    answers = wholes.withColumn("level", F.lit(1)).union(_ranges_answer(asked, _flagged, ranges).withColumn("level", F.lit(2)))
     judged = alive.groupBy("seg").cogroup(answers.groupBy("seg")).applyInArrow(judge, shape).repartition("seg")
     sent = laid.groupBy("seg").cogroup(judged.groupBy("seg")).applyInArrow(send_windows, repeats.SENT)
-    windows = repeats.matched(sent, True).withColumn("level", F.lit(3))
+    windows = repeats.matched(sent, ranges, True).withColumn("level", F.lit(3))
     nothing = F.lit(b"").cast("binary")
     last = judged.select("seg", F.lit(-1).alias("range"), F.col("blocks").alias("keys"), nothing.alias("spread"), F.lit(0).alias("level"))
     last = last.union(windows)
