@@ -10,7 +10,7 @@ from maskloom.plans.registry import joined, query, r6, s6, table
 from maskloom.plans.text import SQL_CORPUS, corpus_of, sql_strip
 from maskloom.plans.tokens import CHARS_SQL, ENC, PACKED, SQL_DECODE, encoded, packed
 from maskloom.session import scratch_path
-from maskloom.sources import corpora
+from maskloom.sources import corpora, strings
 
 TRAIN_END, VALID_END, CHUNK = 300_000, 400_000, 256
 
@@ -33,8 +33,8 @@ def src_jsonl(spark: SparkSession, folder: str) -> DataFrame:
     return corpora.read_jsonl(spark, path, "k long")
 
 
-def _ranges_sql(train_size: int) -> str:
-    return f"""c AS (SELECT doc_id, unnest(string_split(text, '')) AS ch, generate_subscripts(string_split(text, ''), 1) AS i FROM documents),
+def _ranges_sql(train_size: int, text: str = "text") -> str:
+    return f"""c AS (SELECT doc_id, unnest(string_split({text}, '')) AS ch, generate_subscripts(string_split({text}, ''), 1) AS i FROM documents),
     g AS (SELECT ch, row_number() OVER (ORDER BY doc_id, i) - 1 AS g FROM c),
     s AS (SELECT ch, g, CASE WHEN g < {TRAIN_END} THEN 'train' WHEN g < {VALID_END} THEN 'validation' ELSE 'test' END AS split FROM g),
     o AS (SELECT ch, g, split, CASE split WHEN 'train' THEN 0 WHEN 'validation' THEN {TRAIN_END} ELSE {VALID_END} END AS low,
@@ -57,6 +57,16 @@ def chunk_chars(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("src_string_file", f"WITH {_ranges_sql(CHUNK, "text || ' '")}")
+def src_string_file(spark: SparkSession, folder: str) -> DataFrame:
+    """The texts as one string in files, each text closed by a blank, read by byte ranges."""
+    path = scratch_path(spark, "string")
+    table(spark, folder, "documents").orderBy("doc_id").select("text").write.text(path, lineSep=" ")
+    return sq.char_chunks(
+        strings.read_string(spark, path), "piece", "text", CHUNK, TRAIN_END, VALID_END, drop_last=False
+    )
+
+
 # written out by hand, so that the comparison does not follow the catalog
 CATALOG_SQL = """cat(name, path, config, text_column, drops, holdout, detokenizer, wrap, streaming, validated_on) AS (VALUES
     ('wikitext103', 'wikitext', 'wikitext-103-raw-v1', 'text', 'text', 'validation', 'wikitext', true, false, NULL),

@@ -137,21 +137,6 @@ def in_file_order(lines: DataFrame, text: Column, keep: Column | None = None) ->
     )
 
 
-def read_string(spark: SparkSession, path: str, words_per_piece: int = 4096) -> DataFrame:
-    """Pieces ``(piece, text)`` of one long string of blank-separated words, in order.
-
-    The string is split at its blanks by the reader, so that a file without line ends is read
-    by many tasks, and joined again to pieces; no piece holds the whole string. A blank at
-    the very end of a file is lost.
-    """
-    words = in_file_order(spark.read.text(path, lineSep=" "), F.col("value"))
-    last = words.agg(F.max("line_no")).scalar()
-    closed = F.when(F.col("line_no") < last, F.concat("text", F.lit(" "))).otherwise(F.col("text"))
-    pieces = words.select(F.floor(F.col("line_no") / F.lit(words_per_piece)).alias("piece"), "line_no", closed.alias("w"))
-    joined = F.transform(F.sort_array(F.collect_list(F.struct("line_no", "w"))), lambda x: x["w"])
-    return pieces.groupBy("piece").agg(F.array_join(joined, "").alias("text"))
-
-
 def read_jsonl(spark: SparkSession, path: str, schema: str = "text string") -> DataFrame:
     """JSON lines with a declared schema; blank lines give no row, broken ones fail."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)

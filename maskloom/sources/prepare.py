@@ -18,9 +18,9 @@ from maskloom.sources.corpora import (
     content_of,
     in_file_order,
     read_jsonl,
-    read_string,
     read_text_lines,
 )
+from maskloom.sources.strings import read_string
 
 # Rows of the ordered hold-out, and character ranges of the long string.
 HOLDOUT_ROWS = 100_000
