@@ -238,18 +238,24 @@ def char_chunks(
     valid_end: int,
     train_size: int | None = None,
     drop_last: bool = True,
+    before: str | None = None,
 ) -> DataFrame:
     """Treat rows in key order as one string, cut it in three ranges, then in chunks.
 
-    ``train_size`` is the chunk length of the first range if it differs.
+    ``train_size`` is the chunk length of the first range if it differs. ``before`` names a
+    column with the number of characters in front of a row, if that is known; the rows are
+    then cut where they are.
     """
     ranges = [
         ("train", 0, train_end, train_size or size),
         ("validation", train_end, valid_end, size),
         ("test", valid_end, 1 << 62, size),
     ]
-    kept = df.where(F.length(text) > 0).select(F.col(key), F.col(text))
-    placed = ranked(kept, key, weight=F.length(text))
+    kept = df.where(F.length(text) > 0)
+    if before is None:
+        placed = ranked(kept.select(F.col(key), F.col(text)), key, weight=F.length(text))
+    else:
+        placed = kept.select(F.col(key), F.col(text), F.col(before).alias("before"))
     length = F.length(text).cast("long")
 
     def overlap(name: str, low: int, high: int, width: int) -> Column:

@@ -62,8 +62,9 @@ def src_string_file(spark: SparkSession, folder: str) -> DataFrame:
     """The texts as one string in files, each text closed by a blank, read by byte ranges."""
     path = scratch_path(spark, "string")
     table(spark, folder, "documents").orderBy("doc_id").select("text").write.text(path, lineSep=" ")
+    pieces = strings.with_places(strings.read_string(spark, path))
     return sq.char_chunks(
-        strings.read_string(spark, path), "piece", "text", CHUNK, TRAIN_END, VALID_END, drop_last=False
+        pieces, "piece", "text", CHUNK, TRAIN_END, VALID_END, drop_last=False, before="before"
     )
 
 

@@ -20,7 +20,7 @@ from maskloom.sources.corpora import (
     read_jsonl,
     read_text_lines,
 )
-from maskloom.sources.strings import read_string
+from maskloom.sources.strings import read_string, with_places
 
 # Rows of the ordered hold-out, and character ranges of the long string.
 HOLDOUT_ROWS = 100_000
@@ -110,11 +110,11 @@ def load(spark: SparkSession, corpus: str, mode: str, root: str, block_size: int
         rows = read_jsonl(spark, f"{root}/{entry.path}")
         return in_file_order(rows, F.col("text")).select(F.col("line_no").alias("doc_id"), "text")
     if corpus in ("text8", "text8-crop"):
-        whole = read_string(spark, f"{root}/{entry.path}").withColumnRenamed("piece", "doc_id")
+        whole = with_places(read_string(spark, f"{root}/{entry.path}"))
         # the cropped training split is cut at twice the already doubled block
         train = 2 * block_size if corpus == "text8-crop" else None
         chunks = sq.char_chunks(
-            whole, "doc_id", "text", block_size, TEXT8_TRAIN_END, TEXT8_VALID_END, train_size=train
+            whole, "piece", "text", block_size, TEXT8_TRAIN_END, TEXT8_VALID_END, train_size=train, before="before"
         )
         return chunks.where(F.col("split") == mode).withColumnRenamed("chunk_id", "doc_id")
     path = "/".join(part for part in (root, entry.path, entry.config) if part)

@@ -15,13 +15,17 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from maskloom.operators.order import ranked
+from maskloom.session import saved
 from maskloom.sources import files
 
 PIECE_BYTES = 1 << 20
 PIECES_PER_TASK = 64
+#: rows of 16 bytes that are broadcast at most: about 10 MB as a hash table
+BROADCAST_ROWS = 100_000
 
 SCHEMA = "piece long, text string"
 _ARROW = pa.schema([("piece", pa.int64()), ("text", pa.string())])
@@ -133,3 +137,15 @@ def read_string(
     spark.dataSource.register(StringSource)
     reader = spark.read.format(StringSource.name()).option("files", json.dumps(listed))
     return reader.option("pieceBytes", piece_bytes).option("piecesPerTask", pieces_per_task).load()
+
+
+def with_places(df: DataFrame) -> DataFrame:
+    """Adds ``before``, the number of characters in the pieces before, to pieces of ``read_string``.
+
+    The string is read once more to count; the text itself does not move for that while
+    there are at most ``BROADCAST_ROWS`` pieces.
+    """
+    lengths = saved(df.select("piece", F.length("text").alias("_n")), "lengths")
+    places = saved(ranked(lengths, "piece", weight=F.col("_n")).select("piece", "before"), "places")
+    few = places.count() <= BROADCAST_ROWS
+    return df.join(F.broadcast(places) if few else places, "piece").select("piece", "before", "text")

@@ -5,7 +5,8 @@ import random
 import pytest
 
 from maskloom.operators import sequence as sq
-from maskloom.sources.strings import border, byte_ranges, opened, read_string
+from maskloom.sources import strings
+from maskloom.sources.strings import border, byte_ranges, opened, read_string, with_places
 
 
 def written(folder, *contents):
@@ -61,10 +62,22 @@ def test_chunks_of_files(spark, tmp_path):
     data = text.encode()
     cut = len(text[:1111].encode())
     path = written(tmp_path / "in", data[:cut], data[cut:])
-    out = sq.char_chunks(read_string(spark, path, 64, 5), "piece", "text", 100, 1050, 2000, drop_last=False).collect()
-    got = {(r.split, r.chunk_id): r.text for r in out}
+    pieces = read_string(spark, path, 64, 5)
     parts = {"train": text[:1050], "validation": text[1050:2000], "test": text[2000:]}
-    assert got == {(s, i // 100): t[i : i + 100] for s, t in parts.items() for i in range(0, len(t), 100)}
+    wanted = {(s, i // 100): t[i : i + 100] for s, t in parts.items() for i in range(0, len(t), 100)}
+    for df, before in ((pieces, None), (with_places(pieces), "before")):
+        out = sq.char_chunks(df, "piece", "text", 100, 1050, 2000, drop_last=False, before=before).collect()
+        assert {(r.split, r.chunk_id): r.text for r in out} == wanted
+
+
+@pytest.mark.parametrize("rows", [0, 100])
+def test_places(spark, tmp_path, rows, monkeypatch):
+    """Joined or broadcast, the places are the same."""
+    monkeypatch.setattr(strings, "BROADCAST_ROWS", rows)
+    text = "ab😀é " * 30
+    got = with_places(read_string(spark, written(tmp_path / "in", text.encode()), 11)).orderBy("piece").collect()
+    assert [r.before for r in got] == [sum(len(x.text) for x in got[:i]) for i in range(len(got))]
+    assert "".join(r.text for r in got) == text
 
 
 def test_names_and_errors(spark, tmp_path):
