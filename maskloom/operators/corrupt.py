@@ -2,23 +2,36 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from maskloom.functions.arrays import let
+from maskloom.functions import batches
+from maskloom.functions.batches import digests
 from maskloom.functions.losses import loss_cov, weight
 from maskloom.functions.noise import EPS, Schedule, antithetic, discretize_t, move_chance, move_chance_cov, spread_t
-from maskloom.functions.rand import hex_lanes, hex_threshold, uniform
+from maskloom.functions.rand import key_text, uniform
 
 
 def mask_tokens(ids: Column, chance: Column, mask: int, seed: object, *keys: Column | str) -> Column:
-    """Each token becomes ``mask`` with the given probability."""
-    lanes = hex_lanes(seed, list(keys), F.size(ids))
-    return let(
-        hex_threshold(chance),
-        lambda bound: F.zip_with(
-            ids, lanes, lambda x, h: F.when(h < bound, F.lit(mask)).otherwise(x)
-        ),
-    )
+    """Each token becomes ``mask`` with the given probability; the numbers drawn are ``rand.uniforms``."""
+
+    @F.arrow_udf("array<int>")
+    def draw(rows: pa.Array, key: pa.Array, chance: pa.Array) -> pa.Array:
+        values, lengths, null = batches.flat(rows)
+        if not len(values):
+            return rows
+        # a number (lane + 0.5) / 2^32 is below the chance where the lane is below this bound
+        bound = np.ceil(pc.fill_null(chance, 0.0).to_numpy(zero_copy_only=False) * 2.0**32 - 0.5)
+        groups = -(-lengths // 4)
+        lanes = digests(key, groups).T.reshape(-1)
+        first = 4 * batches.ends(groups)[:-1] - batches.ends(lengths)[:-1]
+        own = lanes[np.arange(len(values)) + np.repeat(first, lengths)]
+        hidden = own < np.repeat(bound, lengths)
+        return batches.lists(pc.if_else(pa.array(hidden), pa.scalar(mask, pa.int32()), values), lengths, null)
+
+    return draw(ids, key_text(seed, keys), chance.cast("double"))
 
 
 def prior_mask(length: Column, mask: int) -> Column:
