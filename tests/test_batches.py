@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from maskloom.functions import batches
 from maskloom.functions.rand import uniform, uniform_each, uniforms
-from maskloom.operators import corrupt, metrics as mt, sequence as sq, tokens as tk
+from maskloom.operators import bpe, corrupt, merging, metrics as mt, sequence as sq, tokens as tk
 from maskloom.plans.registry import joined
 
 
@@ -36,6 +36,29 @@ def test_draws_equal_the_expressions(spark):
     assert rows.where(corrupt.mask_tokens(F.col("ids"), F.col("p"), 4, 3, "id") != want).count() == 0
 
 
+def test_words_counted_in_tasks(spark, monkeypatch):
+    texts = ["A b  b\u2003é", None, "", " \t", "a\x1cB b", "e\u0301 É"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(2)
+    monkeypatch.setattr(tk, "HELD_WORDS", 1)
+    assert {tuple(r) for r in tk.word_counts(df).collect()} == {("a", 2), ("b", 4), ("e", 3)}
+    # a row for each word of the text no longer leaves the task
+    assert "Generate" not in tk.word_counts(df)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rounds_repeat_few_others(spark, monkeypatch):
+    """A round never applies more than a few earlier batches again."""
+    repeated, plain = [], merging.differences
+
+    def seen(state, done, *rest):
+        repeated.append(len(done))
+        return plain(state, done, *rest)
+
+    monkeypatch.setattr(merging, "differences", seen)
+    words = spark.createDataFrame([("ab" * i + "cd" * (i % 3), 50 - i) for i in range(1, 40)], "word string, n long")
+    bpe.bpe_train(words, vocab_size=30)
+    assert len(repeated) > bpe.NEAR_ROUNDS and max(repeated) < bpe.NEAR_ROUNDS
+
+
 def test_odd_rows(spark):
     rows = [(0, None), (1, []), (2, [5, None, 3, 3]), (3, [99, -1, 9, 8])]
     df = spark.createDataFrame(rows, "i int, ids array<int>")
