@@ -9,7 +9,7 @@ from maskloom.operators import tokens as tk
 from maskloom.plans.metrics import EMA_SQL
 from maskloom.plans.registry import joined, query, r6, s6, table
 from maskloom.plans.text import SPACED, SQL_CORPUS, corpus_of, sql_lambada, sql_lm1b, sql_ptb, sql_wikitext
-from maskloom.plans.tokens import BLOCK, CHARS_SQL, PACKED, token_count, token_ids
+from maskloom.plans.tokens import BLOCK, CHARS_SQL, PACKED, packed_ids, token_count
 from maskloom.session import scratch_path
 from maskloom.streaming import jobs
 
@@ -78,7 +78,7 @@ def stream_pack(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "stream-pack")
     docs = stream(table(spark, folder, "documents").select("doc_id", "text"), "doc_id", path)
     jobs.stream_pack(
-        docs, "doc_id", token_ids(), BLOCK, path, f"{path}/checkpoint", length=token_count()
+        docs, "doc_id", packed_ids(), BLOCK, path, f"{path}/checkpoint", length=token_count()
     ).awaitTermination()
     blocks = jobs.packed_blocks(spark, path, BLOCK, tk.CHAR_BOS, tk.CHAR_EOS)
     return blocks.select("block_id", joined("input_ids").alias("input_ids"))
@@ -106,7 +106,7 @@ def stream_ingest(spark: SparkSession, folder: str) -> DataFrame:
     # the text travels, ids are made behind the exchange
     plain = docs.select("doc_id", "source", detok_for(corpus_of(F.col("source")), spaced).alias("text"))
     jobs.stream_pack_groups(
-        plain, "source", "doc_id", token_ids(), BLOCK, path, f"{path}/checkpoint", length=token_count()
+        plain, "source", "doc_id", packed_ids(), BLOCK, path, f"{path}/checkpoint", length=token_count()
     ).awaitTermination()
     done = jobs.packed_blocks(spark, path, BLOCK, tk.CHAR_BOS, tk.CHAR_EOS, by="source")
     return done.select("source", "block_id", joined("input_ids").alias("input_ids"))

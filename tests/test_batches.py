@@ -88,3 +88,11 @@ def test_no_lambda_per_token(spark, name):
         "windows": lambda: mt.window_ppl(df, "ids", 3),
     }[name]()
     assert "lambda" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_packing_moves_no_ids_again(spark):
+    """Whole blocks are made where the text was brought; an Arrow function would undo that."""
+    from maskloom.plans.tokens import packed
+
+    plan = packed(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" not in plan
