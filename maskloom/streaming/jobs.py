@@ -21,7 +21,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from maskloom.functions.text import detok_for
 from maskloom.operators.ema import ema_warmup
 from maskloom.operators.sequence import frame_block, pack_stream, pack_streams
-from maskloom.operators.tokens import append_eos, char_encode
+from maskloom.operators.tokens import append_eos_batch, char_encode
 from maskloom.sources import files
 
 
@@ -31,7 +31,9 @@ def stream_tokenize(
 ) -> DataFrame:
     """Stateless: detokenize, encode, append EOS; ``keep`` names columns that stay."""
     body = F.col(text) if corpus is None else detok_for(F.col(corpus), F.col(text))
-    return stream.select(key, *(keep or []), append_eos(encode(body), eos).alias("ids"))
+    ids = encode(body)
+    kind = stream.select(ids.alias("ids")).schema["ids"].dataType
+    return stream.select(key, *(keep or []), append_eos_batch(ids, eos, kind).alias("ids"))
 
 
 TO_THE_END = {"availableNow": True}

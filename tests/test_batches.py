@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from maskloom.functions import batches
 from maskloom.functions.rand import uniform, uniform_each, uniforms
 from maskloom.operators import bpe, corrupt, merging, metrics as mt, sequence as sq, tokens as tk
-from maskloom.plans.registry import joined
+from maskloom.plans import streams
+from maskloom.plans.registry import joined, joined_batch
 
 
 def test_digests_of_any_length():
@@ -96,3 +97,41 @@ def test_packing_moves_no_ids_again(spark):
 
     plan = packed(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "ArrowEvalPython" not in plan
+
+
+@pytest.mark.parametrize("kind", ["int", "long"])
+def test_ends_and_joins_in_batches(spark, monkeypatch, kind):
+    monkeypatch.setattr(batches, "SLICE_ROWS", 2)
+    rows = [(0, [5, -7, 12]), (1, None), (2, []), (3, [None, 4]), (4, [None]), (5, [3] * 700), (6, [])]
+    df = spark.createDataFrame(rows, f"id long, ids array<{kind}>").coalesce(1)
+    ended = tk.append_eos_batch(F.col("ids"), 3, df.schema["ids"].dataType)
+    pairs = [(ended, tk.append_eos(F.col("ids"), 3)), (joined_batch("ids"), joined("ids")), (joined_batch(ended), joined(tk.append_eos(F.col("ids"), 3)))]
+    for found, want in pairs:
+        same = df.select(found.alias("found"), want.alias("want")).collect()
+        assert len(same) == 7 and all(r["found"] == r["want"] for r in same)
+    empty = batches.in_slices(pa.array([], pa.list_(pa.int32())), batches.joined)
+    assert empty.type == pa.string() and not len(empty)
+    whole = batches.in_slices(pa.array([x for _, x in rows], pa.list_(pa.int32())), batches.joined)
+    assert whole.to_pylist() == [None if x is None else " ".join(str(i) for i in x if i is not None) for _, x in rows]
+
+
+def test_stream_tokenize_keeps_ids_in_arrow(spark, monkeypatch):
+    """Ids are ended and joined in the step that makes them; they never become Spark's arrays."""
+    monkeypatch.setattr(streams, "stream", lambda df, key, path: df)
+    monkeypatch.setattr(streams, "finished", lambda df, path: df)
+    plan = streams.stream_tokenize(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "array_join" not in plan
+
+
+def test_parts_of_a_stream(spark):
+    from maskloom.session import scratch_path
+
+    keys = [None, 1, 1, 2, 3, 5, 8, 13, 21, None, 34]
+    for rows in ([(k, str(i)) for i, k in enumerate(keys)], []):
+        path = scratch_path(spark, "parts")
+        streams.stream(spark.createDataFrame(rows, "k long, v string"), "k", path)
+        parts = [spark.read.schema("k long, v string").parquet(f"{path}/in/{p}").collect() for p in range(streams.PARTS)]
+        assert sorted(r["v"] for part in parts for r in part) == sorted(v for _, v in rows)
+        spans = [[r["k"] for r in part if r["k"] is not None] for part in parts]
+        assert all(max(a) < min(b) for a, b in zip(spans, spans[1:]) if a and b)
+        assert all(r["k"] is not None for part in parts[1:] for r in part)
