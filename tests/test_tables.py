@@ -498,3 +498,95 @@ def test_loss_by_kind(spark):
     now, before = math.log(0.7 * p / 0.3 + 1), math.log(0.8 * p / 0.2 + 1)
     want = 10 * ((now - (0.7 - whole)) / 3 + 2 / 3 * (now - before)) + whole - 0.7
     assert got["d3pm"] == pytest.approx(want)
+
+
+def test_gen_ppl_makes_log_probabilities_behind_the_join(spark):
+    """The same as from a table that holds them, and no double and no id is moved."""
+    from maskloom.operators import evaluate as ev, sequence as sq
+
+    rng = random.Random(8)
+    rows = [(k, [rng.randrange(5) for _ in range(rng.randrange(0, 30))]) for k in range(40)]
+    docs = spark.createDataFrame(rows, "k long, ids array<int>")
+    # some windows have no scores, some too few
+    given = [(k, w, min(4, len(ids) - 4 * w) - k % 2, k / 7) for k, ids in rows for w in range(-(-len(ids) // 4)) if (k + w) % 5]
+    scores = spark.createDataFrame(given, "k long, window_id int, n int, x double").repartition(3)
+
+    @F.arrow_udf("array<double>")
+    def each(x, n):
+        import pyarrow as pa
+
+        pairs = zip(x.to_pylist(), n.to_pylist())
+        return pa.array([None if v is None else [-v - i for i in range(m)] for v, m in pairs], pa.list_(pa.float64()))
+
+    lps = each(F.col("x"), F.col("n"))
+    made = scores.select("k", "window_id", lps.alias("lps"))
+    windows = ev.context_windows(docs, "k", "ids", 4, 0)
+    want = ev.gen_ppl(windows, "k", made).first()
+    cells = mt.counted_tokens(sq.context_split(docs, "ids", 4), "ids", 0, ["k", "window_id"])
+    each_row = made.select("k", "window_id", F.posexplode("lps").alias("i", "lp"))
+    plain = mt.gen_ppl(cells, each_row, ["k", "window_id", "i"]).first()
+    assert (plain["tokens"], plain["unscored"]) == (want["tokens"], want["unscored"])
+    assert plain["gen_ppl"] == pytest.approx(want["gen_ppl"])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = ev.gen_ppl(windows, "k", scores, lps)
+        got, plan = found.first(), found._jdf.queryExecution().executedPlan()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert (got["tokens"], got["unscored"]) == (want["tokens"], want["unscored"]) and want["unscored"] > 9
+    assert got["gen_ppl"] == pytest.approx(want["gen_ppl"])
+    types = moved(plan)
+    assert "boolean" in types and "array<double>" not in types and "array<int>" not in types
+
+
+def moved(plan):
+    """The types of all columns that the plan's exchanges carry."""
+    out, stack = set(), [plan]
+    while stack:
+        node = stack.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            node = node.initialPlan()
+        if node.nodeName() == "Exchange":
+            out.add(node.schema().simpleString())
+        kids = node.children()
+        stack += [kids.apply(i) for i in range(kids.size())]
+    return " ".join(out)
+
+
+@pytest.mark.parametrize("name", ["gen_ppl", "sample_eval"])
+def test_blocks_are_packed_once(spark, monkeypatch, name):
+    """Every text is packed once."""
+    from maskloom.plans import QUERIES, metrics as plans
+
+    calls, real = [], plans.packed
+    monkeypatch.setattr(plans, "packed", lambda *a: calls.append(1) or real(*a))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = QUERIES[name](spark, "/root/testdata/sf0.001")
+        assert len(df.collect()) == 1 and len(calls) == 1
+        plan = df._jdf.queryExecution().executedPlan()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # what the result reads are tables, and its join moves neither scores nor ids
+    assert "lower(" not in plan.toString()
+    assert "boolean" in moved(plan) and "array<double>" not in moved(plan) and "array<int>" not in moved(plan)
+
+
+def test_retokenized_samples_move_as_they_came(spark):
+    from maskloom.operators import evaluate as ev
+
+    rows = [(i, i // 3, [8 + (i * j) % 9 for j in range(i % 7 + 1)]) for i in range(30)]
+    df = spark.createDataFrame(rows, "id long, b long, ids array<int>")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = df.select("id", "b", tk.decode_ids(F.col("ids"), tk.CHAR_VOCAB).alias("ids"))
+        short = df.withColumn("ids", F.col("ids").cast("array<tinyint>"))
+        out = tk.retokenize(text.repartition(2), "ids", "b", 5, 0, tk.code_points)
+        got, plan = sorted(map(tuple, out.collect())), out._jdf.queryExecution().executedPlan()
+        same = ev.retokenized(short, "ids", "b", lambda ids: tk.decode_ids(ids, tk.CHAR_VOCAB), tk.code_points, 5, 0)
+        whole = tk.retokenize(text.withColumn("ids", tk.code_points(F.col("ids"))), "ids", "b", 5, 0)
+        assert got == sorted(map(tuple, same.collect())) == sorted(map(tuple, whole.collect())) and len(got) == 30
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "string" in moved(plan) and "array" not in moved(plan)
+    assert "array<tinyint>" in moved(same._jdf.queryExecution().executedPlan())
