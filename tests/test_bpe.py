@@ -249,3 +249,59 @@ def test_words_are_normalized_once(spark):
     df = frame(spark, texts)
     whole = df.select(F.explode(split_whitespace(norm_bpe(F.col("text")))).alias("w")).groupBy("w").count()
     assert {tuple(r) for r in tk.word_counts(df).collect()} == {tuple(r) for r in whole.collect()}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_words_cut_at_pairs_that_are_not_merged(spark, monkeypatch, seed):
+    """With shards in Spark, cut again and again, and with a border that is too high at times."""
+    rng = random.Random(seed)
+    parts = ["ab", "ra", "ca", "dab", "xyz", "q", "aa"]
+    texts = [" ".join("".join(rng.choices(parts, [9, 7, 5, 3, 2, 1, 2], k=rng.randint(1, 5))) for _ in range(60)) for _ in range(12)]
+    words = Counter(w for t in texts for w in t.split())
+    want = greedy(words, 60)
+    cut, plain, worth = [], merging.compacted, bpe._worth_keeping
+    monkeypatch.setattr(merging, "HELD_SYMBOLS", 0)
+    monkeypatch.setattr(bpe, "PENDING_ROUNDS", 2)
+    monkeypatch.setattr(bpe, "NEAR_ROUNDS", 2)
+    monkeypatch.setattr(merging, "compacted", lambda *a: cut.append(1) or plain(*a))
+
+    def high(known, missing, floor):
+        # of the pairs that are needed few
+        return worth(known, missing // 20, floor)
+
+    monkeypatch.setattr(bpe, "_worth_keeping", high if seed else lambda known, missing, floor: worth(known, 2, floor))
+    size = len({c for w in words for c in w}) + len(tk.BPE_SPECIALS) + 40
+    model = trained(spark, texts, size)
+    assert model.merges == want[: len(model.merges)] and len(model.tokens) == size and cut
+
+
+def test_few_symbols_take_no_job_a_round(spark, monkeypatch):
+    texts = corpus(4, "abcdef", 40, 8)
+    asked, plain = [], merging._answers
+    monkeypatch.setattr(merging, "_answers", lambda *a: asked.append(1) or plain(*a))
+    held = trained(spark, texts, 90)
+    assert held.rounds > 9 and not asked
+    monkeypatch.setattr(merging, "HELD_SYMBOLS", 0)
+    assert trained(spark, texts, 90).merges == held.merges and asked
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_pieces_of_a_shard(seed):
+    rng = random.Random(seed)
+    words = [([rng.randrange(4) for _ in range(rng.randrange(1, 9))], rng.randrange(1, 5)) for _ in range(60)]
+    live = {(rng.randrange(4), rng.randrange(4)) for _ in range(7 if seed else 0)}
+    flat = np.array([x for ids, _ in words for x in [*ids, merging.SEPARATOR]], np.int32)
+    shard = merging.Shard(flat.tobytes(), np.array([n for _, n in words], np.int64).tobytes())
+    want = Counter()
+    for ids, n in words:
+        run = ids[:1]
+        for pair in zip(ids, ids[1:]):
+            if pair in live:
+                run.append(pair[1])
+            else:
+                want[tuple(run)] += n
+                run = [pair[1]]
+        want[tuple(run)] += n
+    got = merging.pieces(shard, np.array(sorted(a << 32 | b for a, b in live), np.int64)).to_pydict()
+    found = {tuple(np.frombuffer(s, np.int32).tolist()): n for s, n in zip(got["symbols"], got["n"])}
+    assert found == {k: n for k, n in want.items() if len(k) > 1} and len(found) == len(got["n"])
