@@ -305,3 +305,19 @@ def test_pieces_of_a_shard(seed):
     got = merging.pieces(shard, np.array(sorted(a << 32 | b for a, b in live), np.int64)).to_pydict()
     found = {tuple(np.frombuffer(s, np.int32).tolist()): n for s, n in zip(got["symbols"], got["n"])}
     assert found == {k: n for k, n in want.items() if len(k) > 1} and len(found) == len(got["n"])
+
+
+def test_registered_training_ends_with_the_pairs(spark):
+    """No small vocabulary ends it: on the small tables it goes on until no pair occurs twice."""
+    from compare import DATA
+
+    from maskloom.plans import QUERIES
+    from maskloom.plans.tokens import VOCABULARY, words
+
+    folder = f"{DATA}/sf0.001"
+    assert VOCABULARY == 32000
+    rows = QUERIES["bpe_train"](spark, folder).select("left", "right", "merged").collect()
+    size = max(r["merged"] for r in rows) + 1
+    assert 10_000 < size < VOCABULARY
+    model = bpe.bpe_train(words(spark, folder), vocab_size=size + 1000)
+    assert len(model.merges) == len(rows) and len(model.tokens) == size
